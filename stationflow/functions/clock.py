@@ -24,7 +24,7 @@ def micros(column: str | Column) -> Column:
 
 def floor_div(value: Column, width: int) -> Column:
     """Integer division that rounds down for negative values too."""
-    return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
 
 def utc_day(column: str | Column) -> Column:

@@ -17,29 +17,26 @@ from stationflow.functions.clock import DAY_US, MINUTE_US, micros
 from stationflow.operators.buckets import BUCKET, HOME, bucket_of, with_buckets
 
 
-def value_before(
-    order: WindowSpec, us: Column, value: Column, *, reach_us: int, tolerance_us: int
-) -> Column:
-    """Newest value at least ``reach_us`` old and at most ``tolerance_us`` older than that.
+def nearest_columns(
+    order: WindowSpec, us: Column, value: Column, reach_us: int, name: str
+) -> list[Column]:
+    """Time and value of the nearest reading at least ``reach_us`` away, unchecked.
 
-    ``order`` sorts one station's rows by ascending time ``us``.
+    ``order`` sorts one station's rows by time (to look back) or by negated time (to look
+    ahead).
     """
     frame = order.rangeBetween(Window.unboundedPreceding, -reach_us)
-    found_us, found = F.last(us).over(frame), F.last(value).over(frame)
-    return F.when(found_us >= us - F.lit(reach_us + tolerance_us), found)
+    return [
+        F.last(us).over(frame).alias(f"_{name}_us"),
+        F.last(value).over(frame).alias(f"_{name}_value"),
+    ]
 
 
-def value_after(
-    descending: WindowSpec, us: Column, value: Column, *, reach_us: int, tolerance_us: int
-) -> tuple[Column, Column]:
-    """Time and value of the first reading at least ``reach_us`` ahead, within tolerance.
-
-    ``descending`` sorts one station's rows by negated time.
-    """
-    frame = descending.rangeBetween(Window.unboundedPreceding, -reach_us)
-    found_us, found = F.last(us).over(frame), F.last(value).over(frame)
-    close = found_us <= us + F.lit(reach_us + tolerance_us)
-    return F.when(close, found_us), F.when(close, found)
+def within(us: Column, limit_us: int, name: str) -> tuple[Column, Column]:
+    """The columns above as (time, value), null where further than ``limit_us`` away."""
+    found_us, value = F.col(f"_{name}_us"), F.col(f"_{name}_value")
+    close = F.abs(found_us - us) <= F.lit(limit_us)
+    return F.when(close, found_us), F.when(close, value)
 
 
 def asof_join(

@@ -13,11 +13,11 @@ from stationflow import schemas as S
 from stationflow.functions.clock import DAY_US, MINUTE_US, cycle_position, local_hour
 from stationflow.functions.clock import local_weekday, micros
 from stationflow.functions.measures import occupancy_ratio
-from stationflow.operators.asof import asof_join, value_after, value_before
+from stationflow.operators.asof import asof_join, nearest_columns, within
 from stationflow.operators.buckets import BUCKET, HOME, with_buckets
 from stationflow.operators.contract import require_columns
 from stationflow.operators.lookup import attach
-from stationflow.operators.rolling import mean_of, sample_std_of, trailing_parts
+from stationflow.operators.rolling import running_totals, trailing_mean, trailing_std
 from stationflow.session import require_utc
 
 STATUS_FLAGS = ("is_installed", "is_renting", "is_returning")
@@ -93,36 +93,25 @@ def _measured(
     part = [*S.STATION_KEY, BUCKET]
     rising = Window.partitionBy(*part).orderBy(us)
 
-    lags = [
-        value_before(
-            rising,
-            us,
-            vehicles,
-            reach_us=m * MINUTE_US,
-            tolerance_us=spec.lag_tolerance * MINUTE_US,
-        ).alias(f"lag_{m}m_vehicles")
-        for m in spec.lags
-    ]
-    rolling = []
-    for m in sorted({*spec.means, *spec.stds}):
-        count, total, squares = trailing_parts(rising, vehicles, width_us=m * MINUTE_US)
-        if m in spec.means:
-            rolling.append(mean_of(count, total).alias(f"roll_mean_{m}m"))
-        if m in spec.stds:
-            rolling.append(sample_std_of(count, total, squares).alias(f"roll_std_{m}m"))
-
-    measured = spread.select(*S.RAW_COLUMNS, "_us", BUCKET, HOME, *lags, *rolling)
+    windowed = running_totals(rising, vehicles, means=spec.means, stds=spec.stds)
+    for m in spec.lags:
+        windowed += nearest_columns(rising, us, vehicles, m * MINUTE_US, f"lag{m}")
+    measured = spread.select("*", *windowed)
+
+    derived = []
+    for m in spec.lags:
+        _, value = within(us, (m + spec.lag_tolerance) * MINUTE_US, f"lag{m}")
+        derived.append(value.alias(f"lag_{m}m_vehicles"))
+    derived += [trailing_mean(m).alias(f"roll_mean_{m}m") for m in spec.means]
+    derived += [trailing_std(m).alias(f"roll_std_{m}m") for m in spec.stds]
+    measured = measured.select(*S.RAW_COLUMNS, "_us", BUCKET, HOME, *derived)
+
     if label is not None:
-        falling = Window.partitionBy(*part).orderBy(-us)
         horizon, tolerance = label
-        target_us, target = value_after(
-            falling,
-            us,
-            vehicles,
-            reach_us=horizon * MINUTE_US,
-            tolerance_us=tolerance * MINUTE_US,
-        )
-        measured = measured.select(
+        falling = Window.partitionBy(*part).orderBy(-us)
+        ahead = nearest_columns(falling, us, vehicles, horizon * MINUTE_US, "target")
+        target_us, target = within(us, ahead_us, "target")
+        measured = measured.select("*", *ahead).select(
             "*",
             F.timestamp_micros(target_us).alias("target_observed_at"),
             target.alias("target_num_vehicles_available"),
