@@ -17,6 +17,7 @@ from stationflow.plans.features import (
     compute_features,
     labeled_features,
 )
+from stationflow.session import settle
 
 # The given events are sparser than a 5-minute cycle, so the minutes are larger.
 SPEC = FeatureSpec(
@@ -145,6 +146,15 @@ def filtered(v):
     return D.apply_quality_filters(labeled(v), MIN_ROWS)
 
 
+def training_rows(v):
+    """Filtered rows, computed once: the cutoffs and the split both read them."""
+    return settle(
+        filtered(v).select(
+            *S.IDENTITY, "num_vehicles_available", "target_num_vehicles_available", "roll_mean_480m"
+        )
+    )
+
+
 # --- features and labels -----------------------------------------------------
 
 
@@ -420,7 +430,7 @@ def _(v):
        epoch_us(val_cutoff) AS val_cutoff FROM cutoffs""",
 )
 def _(v):
-    return D.split_cutoffs(filtered(v))
+    return D.split_cutoffs(training_rows(v))
 
 
 @query(
@@ -429,7 +439,7 @@ def _(v):
        num_vehicles_available, target_num_vehicles_available, split FROM split""",
 )
 def _(v):
-    return D.time_split(filtered(v)).select(
+    return D.time_split(training_rows(v)).select(
         *S.IDENTITY, "num_vehicles_available", "target_num_vehicles_available", "split"
     )
 
@@ -460,7 +470,7 @@ SELECT split,
 FROM split GROUP BY split""",
 )
 def _(v):
-    return D.split_metrics(D.time_split(filtered(v)))
+    return D.split_metrics(D.time_split(training_rows(v)))
 
 
 @query(
@@ -474,7 +484,7 @@ SELECT split, round(baseline_mae, 6) AS baseline_mae, round(model_mae, 6) AS mod
 FROM errors""",
 )
 def _(v):
-    split = D.time_split(filtered(v))
+    split = D.time_split(training_rows(v))
     return D.compare_to_baseline(
         D.split_metrics(split), D.split_metrics(split, "roll_mean_480m")
     )
@@ -494,7 +504,7 @@ SELECT 120 AS horizon_minutes, 60 AS target_tolerance_minutes, 150 AS min_statio
 FROM split, cutoffs""",
 )
 def _(v):
-    rows = filtered(v)
+    rows = training_rows(v)
     cutoffs = D.split_cutoffs(rows)
     return D.run_parameters(
         D.time_split(rows, cutoffs),
@@ -513,7 +523,7 @@ busiest AS (
 
 @query("busiest_test_station", f"{TO_SPLIT}, {BUSIEST_SQL.strip()} SELECT * FROM busiest")
 def _(v):
-    return D.busiest_test_station(D.time_split(filtered(v)))
+    return D.busiest_test_station(D.time_split(training_rows(v)))
 
 
 @query(
@@ -524,7 +534,7 @@ SELECT system_id, station_id, epoch_us(observed_at) AS observed_at,
 FROM split JOIN busiest USING (system_id, station_id) WHERE split = 'test'""",
 )
 def _(v):
-    split = D.time_split(filtered(v))
+    split = D.time_split(training_rows(v))
     return D.station_series(split, D.busiest_test_station(split))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Instants are stored and compared in UTC; days are UTC days.
@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="stationflow-checkpoint-")
     context.setCheckpointDir(shared)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a frame once, on shared storage, for the several reads that follow."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
