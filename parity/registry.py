@@ -146,6 +146,15 @@ stations AS (
   FROM history GROUP BY ALL)"""
 
 
+# Codes of the catalog, one station left out.
+CODES_SQL = """
+codes AS (
+  SELECT system_id, station_id,
+         CAST(row_number() OVER (ORDER BY system_id, station_id) - 1 AS INTEGER)
+           AS station_id_code
+  FROM (SELECT DISTINCT system_id, station_id FROM history WHERE station_id <> '7'))"""
+
+
 def with_views(*views: str) -> str:
     """A WITH clause over the named view texts."""
     return "WITH " + ",".join(v.strip() for v in views)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parity.registry import HISTORY_SQL, STATIONS_SQL, STATUS_SQL, query, with_views
+from parity.registry import CODES_SQL, HISTORY_SQL, STATIONS_SQL, STATUS_SQL, query, with_views
 from stationflow import schemas as S
 from stationflow.functions import clock, measures
 from stationflow.operators import lookup
@@ -155,14 +155,6 @@ def _(v):
     return dense_codes(v.table("customer"), ["c_name"], code="code")
 
 
-CODES_SQL = """
-codes AS (
-  SELECT system_id, station_id,
-         CAST(row_number() OVER (ORDER BY system_id, station_id) - 1 AS INTEGER)
-           AS station_id_code
-  FROM (SELECT DISTINCT system_id, station_id FROM history WHERE station_id <> '7'))"""
-
-
 @query(
     "encoded_rows",
     f"""{with_views(ST, HI, CODES_SQL)}

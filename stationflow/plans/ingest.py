@@ -11,6 +11,7 @@ from stationflow import schemas as S
 from stationflow.functions.measures import preferred_text
 from stationflow.operators.contract import conform
 from stationflow.operators.lookup import preview, unknown_keys
+from stationflow.session import settle
 from stationflow.sources import feeds as G
 
 
@@ -208,14 +209,20 @@ def empty_status_feeds(payloads: DataFrame) -> DataFrame:
 
 
 def cycle_violations(payloads: DataFrame) -> DataFrame:
-    """Everything wrong with the landed cycles."""
-    return (
-        G.validate(payloads)
-        .unionByName(unnamed_stations(payloads))
-        .unionByName(unknown_stations(payloads))
-        .unionByName(unknown_vehicle_types(payloads))
-        .unionByName(empty_status_feeds(payloads))
+    """Everything wrong with the landed cycles.
+
+    Records are compared across feeds only in cycles whose feeds are all valid. The
+    violations are few and read again and again, so they are computed once and kept.
+    """
+    broken = settle(G.validate(payloads))
+    valid = payloads.join(broken.select("cycle_id").distinct(), "cycle_id", "left_anti")
+    across = (
+        unnamed_stations(valid)
+        .unionByName(unknown_stations(valid))
+        .unionByName(unknown_vehicle_types(valid))
+        .unionByName(empty_status_feeds(valid))
     )
+    return broken.unionByName(settle(across))
 
 
 def domain_violations(rows: DataFrame, table: str) -> DataFrame:
@@ -246,11 +253,7 @@ class Cycles:
 
 
 def flatten_cycles(payloads: DataFrame, violations: DataFrame | None = None) -> Cycles:
-    """Rows of every clean cycle. A cycle with any violation contributes no rows at all.
-
-    The violations are read several times; hand them in persisted or written when the
-    payloads are large.
-    """
+    """Rows of every clean cycle. A cycle with any violation contributes no rows at all."""
     if violations is None:
         violations = cycle_violations(payloads)
     rejected = violations.select("cycle_id").distinct()

@@ -311,10 +311,16 @@ def from_bundles(lines: DataFrame) -> DataFrame:
 
 
 def is_json_object(payload: str | Column) -> Column:
+    """Whether the text is exactly one JSON object.
+
+    Parsing stops after the first value, so the text is read as the only element of a list:
+    anything left over is then an error or a second element.
+    """
     payload = F.col(payload) if isinstance(payload, str) else payload
-    return F.coalesce(
-        F.ltrim(payload).startswith("{") & F.try_parse_json(payload).isNotNull(), F.lit(False)
-    )
+    listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    only = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    text = F.trim(F.translate(payload, "\t\r\n", "   "))
+    return F.coalesce(text.startswith("{") & text.endswith("}") & only, F.lit(False))
 
 
 def parse(payloads: DataFrame, feed: str) -> DataFrame:
