@@ -48,13 +48,12 @@ def split_by_propulsion(
 def vehicle_types(payloads: DataFrame) -> DataFrame:
     """Vehicle types of every cycle."""
     rows = G.items(G.parse(payloads, G.VEHICLE_TYPES), G.VEHICLE_TYPES)
-    names = G.nested(F.col("item.name"), G.TEXTS)
     return rows.select(
         "cycle_id",
         "item.vehicle_type_id",
         "item.form_factor",
         "item.propulsion_type",
-        preferred_text(names).alias("name"),
+        preferred_text(F.expr(G.nested("item.name", G.TEXTS))).alias("name"),
     )
 
 
@@ -80,29 +79,26 @@ def station_rows(payloads: DataFrame) -> DataFrame:
     """One ``stations`` row per station_information record, keyed by cycle."""
     rows = G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
     systems = G.parse(payloads, G.SYSTEM_INFORMATION).select("cycle_id", "body.data.system_id")
-    item = {c: F.col(f"item.{c}") for c in ("lat", "lon", "capacity", "is_charging_station")}
     return rows.join(systems, "cycle_id").select(
         "cycle_id",
         "system_id",
         "item.station_id",
-        preferred_text(G.nested(F.col("item.name"), G.TEXTS)).alias("station_name"),
+        preferred_text(F.expr(G.nested("item.name", G.TEXTS))).alias("station_name"),
         "item.address",
-        G.real(item["lat"]).alias("lat"),
-        G.real(item["lon"]).alias("lon"),
-        G.whole(item["capacity"]).alias("capacity"),
-        G.flag(item["is_charging_station"]).alias("is_charging_station"),
+        F.expr(G.real("item.lat")).alias("lat"),
+        F.expr(G.real("item.lon")).alias("lon"),
+        F.expr(G.whole("item.capacity")).alias("capacity"),
+        F.expr(G.flag("item.is_charging_station")).alias("is_charging_station"),
         "observed_at",
     )
 
 
 def _status_items(payloads: DataFrame) -> DataFrame:
     rows = G.items(G.parse(payloads, G.STATION_STATUS), G.STATION_STATUS)
-    entries = G.nested(F.col("item.vehicle_types_available"), G.TYPE_COUNTS)
-    counted = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["vehicle_type_id"].alias("vehicle_type_id"), G.whole(e["count"]).alias("count")
-        ),
+    entries = G.nested("item.vehicle_types_available", G.TYPE_COUNTS)
+    counted = (
+        f"transform({entries}, e -> named_struct("
+        f"'vehicle_type_id', e.vehicle_type_id, 'count', {G.whole('e.`count`')}))"
     )
     return rows.select(
         "cycle_id",
@@ -110,7 +106,7 @@ def _status_items(payloads: DataFrame) -> DataFrame:
         "pos",
         "item.station_id",
         *[
-            G.whole(F.col(f"item.{c}")).alias(c)
+            F.expr(G.whole(f"item.{c}")).alias(c)
             for c in (
                 "num_vehicles_available",
                 "num_vehicles_disabled",
@@ -119,10 +115,10 @@ def _status_items(payloads: DataFrame) -> DataFrame:
             )
         ],
         *[
-            G.flag(F.col(f"item.{c}")).alias(c)
+            F.expr(G.flag(f"item.{c}")).alias(c)
             for c in ("is_installed", "is_renting", "is_returning")
         ],
-        counted.alias("types_available"),
+        F.expr(counted).alias("types_available"),
     )
 
 
@@ -184,7 +180,7 @@ def unknown_vehicle_types(payloads: DataFrame) -> DataFrame:
 def unnamed_stations(payloads: DataFrame) -> DataFrame:
     """Stations whose list of localized names is empty."""
     rows = G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
-    empty = rows.where(F.size(G.nested(F.col("item.name"), G.TEXTS)) == 0)
+    empty = rows.where(F.size(F.expr(G.nested("item.name", G.TEXTS))) == 0)
     return _violation(
         empty.select("cycle_id", "pos", "item.station_id"),
         G.STATION_INFORMATION,
@@ -300,7 +296,7 @@ def ingestion_summary(payloads: DataFrame, status: DataFrame | None = None) -> D
 
     def feed_time(feed: str, name: str) -> DataFrame:
         return G.parse(payloads, feed).select(
-            "cycle_id", G.moment(F.col("body.last_updated")).alias(name)
+            "cycle_id", F.expr(G.moment("body.last_updated")).alias(name)
         )
 
     def tally(feed: str, distinct: str, rows: str | None = None) -> DataFrame:

@@ -32,38 +32,39 @@ AREA = "struct<type string, coordinates array<array<array<array<double>>>>>"
 URIS = "struct<android string, ios string, web string>"
 
 
-# --- casts of parsed text ---------------------------------------------------
+# --- casts of parsed text, as SQL over a column or field name -----------------
 
 
-def whole(text: Column) -> Column:
+def whole(x: str) -> str:
     """Text as an integer; null when it is not one."""
-    number = text.try_cast("decimal(38, 6)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    number = f"try_cast({x} AS DECIMAL(38, 6))"
+    return f"(CASE WHEN {number} % 1 = 0 THEN try_cast({number} AS BIGINT) END)"
 
 
-def real(text: Column) -> Column:
-    return text.try_cast("double")
+def real(x: str) -> str:
+    return f"try_cast({x} AS DOUBLE)"
 
 
-def flag(text: Column) -> Column:
-    word = F.lower(text)
+def flag(x: str) -> str:
     return (
-        F.when(word.isin("true", "t", "yes", "y", "on", "1"), True)
-        .when(word.isin("false", "f", "no", "n", "off", "0"), False)
+        f"(CASE WHEN lower({x}) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true"
+        f" WHEN lower({x}) IN ('false', 'f', 'no', 'n', 'off', '0') THEN false END)"
     )
 
 
-def moment(text: Column) -> Column:
+def moment(x: str) -> str:
     """ISO text or epoch seconds (milliseconds above 2e10) as an instant."""
-    iso = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
-    epoch = text.try_cast("double")
-    seconds = F.when(F.abs(epoch) > 2e10, epoch / 1000).otherwise(epoch)
-    return F.coalesce(iso, F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")))
+    epoch = f"try_cast({x} AS DOUBLE)"
+    seconds = f"(CASE WHEN abs({epoch}) > 2e10 THEN {epoch} / 1000 ELSE {epoch} END)"
+    return (
+        f"coalesce(CASE WHEN {x} RLIKE r'^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}' THEN try_to_timestamp({x}) END,"
+        f" timestamp_micros(try_cast({seconds} * 1000000 AS BIGINT)))"
+    )
 
 
-def nested(text: Column, ddl: str) -> Column:
+def nested(x: str, ddl: str) -> str:
     """Nested JSON kept as text, parsed; null when absent or of another shape."""
-    return F.from_json(text, ddl)
+    return f"from_json({x}, '{ddl}')"
 
 
 # --- rules -------------------------------------------------------------------
@@ -71,87 +72,86 @@ def nested(text: Column, ddl: str) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``broken(value)`` is true for a value that is present and wrong."""
+    """``broken`` gives the SQL that is true for a value that is present and wrong."""
 
     path: str
     name: str
-    broken: Callable[[Column], Column]
+    broken: Callable[[str], str]
     required: bool = False
 
 
-def _unless(ok: Column) -> Column:
-    return ~F.coalesce(ok, F.lit(False))
+def _unless(ok: str) -> str:
+    return f"NOT coalesce({ok}, false)"
 
 
-def _none(entries: Column, bad: Callable[[Column], Column]) -> Column:
-    return F.forall(entries, lambda e: ~F.coalesce(bad(e), F.lit(True)))
+def _values(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def text_rule(path: str, required: bool = True) -> Rule:
-    return Rule(path, "text", lambda v: F.lit(False), required)
+    return Rule(path, "text", lambda x: "false", required)
 
 
 def count_rule(path: str, required: bool = False) -> Rule:
-    return Rule(path, "count", lambda v: _unless(whole(v) >= 0), required)
+    return Rule(path, "count", lambda x: _unless(f"{whole(x)} >= 0"), required)
 
 
 def range_rule(path: str, low: float, high: float) -> Rule:
-    return Rule(path, "range", lambda v: _unless(real(v).between(low, high)), True)
+    return Rule(path, "range", lambda x: _unless(f"{real(x)} BETWEEN {low} AND {high}"), True)
 
 
 def flag_rule(path: str, required: bool = False) -> Rule:
-    return Rule(path, "flag", lambda v: flag(v).isNull(), required)
+    return Rule(path, "flag", lambda x: f"{flag(x)} IS NULL", required)
 
 
 def enum_rule(path: str, values: tuple[str, ...], required: bool = False) -> Rule:
-    return Rule(path, "enum", lambda v: ~v.isin(*values), required)
+    return Rule(path, "enum", lambda x: f"{x} NOT IN ({_values(values)})", required)
 
 
 def time_rule(path: str) -> Rule:
-    return Rule(path, "time", lambda v: moment(v).isNull(), True)
+    return Rule(path, "time", lambda x: f"{moment(x)} IS NULL", True)
 
 
 def url_rule(path: str) -> Rule:
-    web = r"^\s*(https?|wss?|ftp):/*[^/?#\s]+\S*\s*$"
-    other = r"^\s*(?!https?:|wss?:|ftp:)[A-Za-z][A-Za-z0-9+.\-]*:\S*\s*$"
-    return Rule(path, "url", lambda v: ~(v.rlike(web) | v.rlike(other)), True)
+    web = r"r'^\s*(https?|wss?|ftp):/*[^/?#\s]+\S*\s*$'"
+    other = r"r'^\s*(?!https?:|wss?:|ftp:)[A-Za-z][A-Za-z0-9+.\-]*:\S*\s*$'"
+    return Rule(path, "url", lambda x: f"NOT ({x} RLIKE {web} OR {x} RLIKE {other})", True)
 
 
-def texts_rule(path: str, required: bool = False) -> Rule:
-    def broken(v: Column) -> Column:
-        fine = _none(nested(v, TEXTS), lambda e: e["text"].isNull() | e["language"].isNull())
-        return _unless(fine)
+def _every(x: str, ddl: str, condition: str) -> str:
+    """SQL that is true unless every entry ``e`` of a nested list meets a condition."""
+    return _unless(f"forall({nested(x, ddl)}, e -> coalesce({condition}, false))")
 
-    return Rule(path, "localized", broken, required)
+
+def texts_rule(path: str, required: bool = False) -> Rule:
+    fine = "e.text IS NOT NULL AND e.language IS NOT NULL"
+    return Rule(path, "localized", lambda x: _every(x, TEXTS, fine), required)
 
 
 def enum_list_rule(path: str, values: tuple[str, ...]) -> Rule:
-    return Rule(
-        path, "enum", lambda v: _unless(_none(nested(v, "array<string>"), lambda e: ~e.isin(*values)))
-    )
+    return Rule(path, "enum", lambda x: _every(x, "array<string>", f"e IN ({_values(values)})"))
 
 
 def counts_rule(path: str, ddl: str) -> Rule:
     """A list of entries with an id (or ids) and a count."""
     ids = "vehicle_type_id" if ddl == TYPE_COUNTS else "vehicle_type_ids"
-
-    def bad(e: Column) -> Column:
-        return e[ids].isNull() | ~(whole(e["count"]) >= 0)
-
-    return Rule(path, "counts", lambda v: _unless(_none(nested(v, ddl), bad)))
+    fine = f"e.{ids} IS NOT NULL AND {whole('e.`count`')} >= 0"
+    return Rule(path, "counts", lambda x: _every(x, ddl, fine))
 
 
 def area_rule(path: str) -> Rule:
-    def broken(v: Column) -> Column:
-        shape = nested(v, AREA)
-        points = F.flatten(F.flatten(F.flatten(shape["coordinates"])))
-        return _unless((shape["type"] == "MultiPolygon") & F.forall(points, lambda p: p.isNotNull()))
+    def broken(x: str) -> str:
+        shape = nested(x, AREA)
+        points = f"flatten(flatten(flatten({shape}.coordinates)))"
+        return _unless(
+            f"{shape}.type = 'MultiPolygon' AND forall({points}, p -> p IS NOT NULL)"
+        )
 
     return Rule(path, "area", broken)
 
 
 def uris_rule(path: str) -> Rule:
-    return Rule(path, "uris", lambda v: nested(v, URIS).isNull())
+    return Rule(path, "uris", lambda x: f"{nested(x, URIS)} IS NULL")
 
 
 ENVELOPE_RULES = (
@@ -343,56 +343,53 @@ def items(parsed: DataFrame, feed: str) -> DataFrame:
     )
 
 
-def _broken(rules: tuple[Rule, ...], prefix: str) -> Column:
-    """Array of the broken rules of a row."""
+FINDINGS = "array<struct<path: string, rule: string, value: string>>"
+
+
+def _broken(rules: tuple[Rule, ...], prefix: str) -> str:
+    """SQL of the array of broken rules of a row."""
     checks = []
     for rule in rules:
-        value = F.col(f"{prefix}.{rule.path}")
-        wrong = F.when(value.isNull(), F.lit(rule.required)).otherwise(rule.broken(value))
+        x = f"{prefix}.{rule.path}"
+        absent = _finding(rule.path, "required") if rule.required else "NULL"
         checks.append(
-            F.when(
-                wrong,
-                F.struct(
-                    F.lit(rule.path).alias("path"),
-                    F.when(value.isNull(), "required").otherwise(rule.name).alias("rule"),
-                    value.alias("value"),
-                ),
-            )
+            f"CASE WHEN {x} IS NULL THEN {absent} "
+            f"WHEN {rule.broken(x)} THEN {_finding(rule.path, rule.name, x)} END"
         )
-    return F.array_compact(F.array(*checks))
+    return f"CAST(array_compact(array({', '.join(checks)})) AS {FINDINGS})"
 
 
-def _finding(rule: str, path: str, value: Column) -> Column:
-    return F.array(
-        F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"), value.alias("value"))
-    )
+def _finding(path: str, rule: str, value: str = "CAST(NULL AS STRING)") -> str:
+    return f"named_struct('path', '{path}', 'rule', '{rule}', 'value', {value})"
 
 
 VIOLATION = ("cycle_id", "feed", "pos", "path", "rule", "value")
 
 
-def _report(rows: DataFrame, feed: str, pos: Column, findings: Column) -> DataFrame:
+def _report(rows: DataFrame, feed: str, pos: str, findings: str) -> DataFrame:
     return rows.select(
-        "cycle_id", F.lit(feed).alias("feed"), pos.cast("int").alias("pos"), F.inline(findings)
+        "cycle_id",
+        F.lit(feed).alias("feed"),
+        F.expr(f"CAST({pos} AS INT)").alias("pos"),
+        F.inline(F.expr(findings)),
     ).select(*VIOLATION)
 
 
 def feed_violations(payloads: DataFrame, feed: str) -> DataFrame:
     """Broken rules of one feed, one row each; ``pos`` is null for the envelope."""
     spec, parsed = FEEDS[feed], parse(payloads, feed)
-    field = f"body.data.{spec.list_field}" if spec.list_field else "body.data"
-    record_list = F.when(
-        F.col(field).isNull(),
-        _finding("required", field.removeprefix("body."), F.lit(None).cast("string")),
-    ).otherwise(F.array().cast("array<struct<path:string,rule:string,value:string>>"))
-    envelope = F.when(
-        ~F.col("is_object"), _finding("object", "", F.lit(None).cast("string"))
-    ).otherwise(F.concat(_broken(ENVELOPE_RULES, "body"), record_list))
-    found = _report(parsed, feed, F.lit(None), envelope)
+    field = f"data.{spec.list_field}" if spec.list_field else "data"
+    envelope = (
+        f"CASE WHEN NOT is_object THEN array({_finding('', 'object')}) ELSE"
+        f" concat({_broken(ENVELOPE_RULES, 'body')},"
+        f" CASE WHEN body.{field} IS NULL THEN array({_finding(field, 'required')})"
+        f" ELSE CAST(array() AS {FINDINGS}) END) END"
+    )
+    found = _report(parsed, feed, "NULL", envelope)
     records = items(parsed, feed)
     if spec.list_field is None:
         records = records.where(F.col("item").isNotNull())
-    return found.unionByName(_report(records, feed, F.col("pos"), _broken(spec.rules, "item")))
+    return found.unionByName(_report(records, feed, "pos", _broken(spec.rules, "item")))
 
 
 def resolve_feed_urls(payloads: DataFrame) -> DataFrame:
