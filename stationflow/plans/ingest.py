@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stationflow import schemas as S
 from stationflow.functions.measures import preferred_text
 from stationflow.operators.contract import conform
-from stationflow.operators.lookup import preview, unknown_keys
+from stationflow.operators.lookup import preview
 from stationflow.session import settle
 from stationflow.sources import feeds as G
 
@@ -136,71 +136,35 @@ def status_rows(payloads: DataFrame) -> DataFrame:
 # --- checks across feeds -----------------------------------------------------
 
 
-def _violation(rows: DataFrame, feed: str, path: str, rule: str, value: str) -> DataFrame:
-    return rows.select(
-        "cycle_id",
-        F.lit(feed).alias("feed"),
-        F.col("pos").cast("int").alias("pos"),
-        F.lit(path).alias("path"),
-        F.lit(rule).alias("rule"),
-        F.col(value).alias("value"),
-    )
-
+def reference_violations(payloads: DataFrame) -> DataFrame:
+    """Status records that name stations or vehicle types their cycle does not describe.
 
-def unknown_stations(payloads: DataFrame) -> DataFrame:
-    """Status records of stations the same cycle does not describe."""
-    status = G.items(G.parse(payloads, G.STATION_STATUS), G.STATION_STATUS)
-    described = G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
-    missing = unknown_keys(
-        status.select("cycle_id", "pos", "item.station_id"),
-        described.select("cycle_id", "item.station_id"),
-        ["cycle_id", "station_id"],
-    )
-    return _violation(missing, G.STATION_STATUS, "station_id", "unknown_station", "station_id")
-
-
-def unknown_vehicle_types(payloads: DataFrame) -> DataFrame:
-    """Per-type counts, at known stations, of types the same cycle does not describe."""
-    bad = unknown_stations(payloads).select("cycle_id", "pos")
-    used = (
-        _status_items(payloads)
-        .join(bad, ["cycle_id", "pos"], "left_anti")
-        .select("cycle_id", "pos", F.explode("types_available.vehicle_type_id").alias("vehicle_type_id"))
+    The types of an unknown station are not looked at.
+    """
+    described = (
+        G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
+        .select("cycle_id", "item.station_id")
+        .distinct()
+        .withColumn("described", F.lit(True))
     )
-    missing = unknown_keys(used, vehicle_types(payloads), ["cycle_id", "vehicle_type_id"])
-    return _violation(
-        missing,
-        G.STATION_STATUS,
-        "vehicle_types_available.vehicle_type_id",
-        "unknown_vehicle_type",
-        "vehicle_type_id",
+    status = _status_items(payloads).select(
+        "cycle_id", "pos", "station_id", F.expr("types_available.vehicle_type_id").alias("used")
     )
-
-
-def unnamed_stations(payloads: DataFrame) -> DataFrame:
-    """Stations whose list of localized names is empty."""
-    rows = G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
-    empty = rows.where(F.size(F.expr(G.nested("item.name", G.TEXTS))) == 0)
-    return _violation(
-        empty.select("cycle_id", "pos", "item.station_id"),
-        G.STATION_INFORMATION,
-        "name",
-        "no_localized_name",
-        "station_id",
+    checked = status.join(_cycle_context(payloads), "cycle_id", "left").join(
+        described, ["cycle_id", "station_id"], "left"
     )
-
-
-def empty_status_feeds(payloads: DataFrame) -> DataFrame:
-    """Cycles whose status feed is an empty list."""
-    parsed = G.parse(payloads, G.STATION_STATUS).where(F.size("body.data.stations") == 0)
-    return _violation(
-        parsed.select(
-            "cycle_id", F.lit(None).alias("pos"), F.lit(None).cast("string").alias("station_id")
-        ),
-        G.STATION_STATUS,
-        "data.stations",
-        "no_rows",
-        "station_id",
+    unknown = "coalesce(array_except(used, coalesce(known_types, array())), array())"
+    findings = f"""CASE WHEN described IS NULL
+        THEN array(named_struct(
+            'path', 'station_id', 'rule', 'unknown_station', 'value', station_id))
+        ELSE transform({unknown}, t -> named_struct(
+            'path', 'vehicle_types_available.vehicle_type_id', 'rule', 'unknown_vehicle_type',
+            'value', t)) END"""
+    return checked.select(
+        "cycle_id",
+        F.lit(G.STATION_STATUS).alias("feed"),
+        F.col("pos").cast("int").alias("pos"),
+        F.inline(F.expr(findings)),
     )
 
 
@@ -212,13 +176,7 @@ def cycle_violations(payloads: DataFrame) -> DataFrame:
     """
     broken = settle(G.validate(payloads))
     valid = payloads.join(broken.select("cycle_id").distinct(), "cycle_id", "left_anti")
-    across = (
-        unnamed_stations(valid)
-        .unionByName(unknown_stations(valid))
-        .unionByName(unknown_vehicle_types(valid))
-        .unionByName(empty_status_feeds(valid))
-    )
-    return broken.unionByName(settle(across))
+    return broken.unionByName(settle(reference_violations(valid)))
 
 
 def domain_violations(rows: DataFrame, table: str) -> DataFrame:

@@ -128,6 +128,11 @@ def texts_rule(path: str, required: bool = False) -> Rule:
     return Rule(path, "localized", lambda x: _every(x, TEXTS, fine), required)
 
 
+def named_rule(path: str) -> Rule:
+    """A list of localized texts must hold at least one."""
+    return Rule(path, "no_localized_name", lambda x: f"size({nested(x, TEXTS)}) = 0")
+
+
 def enum_list_rule(path: str, values: tuple[str, ...]) -> Rule:
     return Rule(path, "enum", lambda x: _every(x, "array<string>", f"e IN ({_values(values)})"))
 
@@ -217,6 +222,7 @@ FEEDS = {
             (
                 text_rule("station_id"),
                 texts_rule("name", required=True),
+                named_rule("name"),
                 range_rule("lat", -90.0, 90.0),
                 range_rule("lon", -180.0, 180.0),
                 texts_rule("short_name"),
@@ -310,17 +316,17 @@ def from_bundles(lines: DataFrame) -> DataFrame:
 # --- parsing -----------------------------------------------------------------
 
 
-def is_json_object(payload: str | Column) -> Column:
-    """Whether the text is exactly one JSON object.
+def is_json_object(payload: str = "payload") -> Column:
+    """Whether a text column is exactly one JSON object.
 
-    Parsing stops after the first value, so the text is read as the only element of a list:
-    anything left over is then an error or a second element.
+    Spark's JSON functions stop after the first value. Read as the only element of a list
+    and as the only value of an object, anything left over breaks at least one of the two.
     """
-    payload = F.col(payload) if isinstance(payload, str) else payload
-    listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    only = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    text = F.trim(F.translate(payload, "\t\r\n", "   "))
-    return F.coalesce(text.startswith("{") & text.endswith("}") & only, F.lit(False))
+    return F.expr(
+        f"coalesce({payload} RLIKE r'^\\s*\\{{'"
+        f" AND json_array_length(concat('[', {payload}, ']')) = 1"
+        f""" AND size(json_object_keys(concat('{{"p":', {payload}, '}}'))) = 1, false)"""
+    )
 
 
 def parse(payloads: DataFrame, feed: str) -> DataFrame:
@@ -328,7 +334,7 @@ def parse(payloads: DataFrame, feed: str) -> DataFrame:
     return payloads.where(F.col("feed") == feed).select(
         "cycle_id",
         "observed_at",
-        is_json_object("payload").alias("is_object"),
+        is_json_object().alias("is_object"),
         F.from_json("payload", FEEDS[feed].body).alias("body"),
     )
 
@@ -366,30 +372,53 @@ def _finding(path: str, rule: str, value: str = "CAST(NULL AS STRING)") -> str:
 VIOLATION = ("cycle_id", "feed", "pos", "path", "rule", "value")
 
 
-def _report(rows: DataFrame, feed: str, pos: str, findings: str) -> DataFrame:
-    return rows.select(
-        "cycle_id",
-        F.lit(feed).alias("feed"),
-        F.expr(f"CAST({pos} AS INT)").alias("pos"),
-        F.inline(F.expr(findings)),
-    ).select(*VIOLATION)
+def _envelope_findings(spec: Feed) -> str:
+    """SQL of the array of findings about a payload as a whole."""
+    if spec.list_field is None:
+        records = f"CASE WHEN body.data IS NULL THEN array({_finding('data', 'required')}) END"
+    else:
+        path = f"data.{spec.list_field}"
+        records = f"CASE WHEN body.{path} IS NULL THEN array({_finding(path, 'required')})"
+        if spec.name == STATION_STATUS:
+            records += f" WHEN size(body.{path}) = 0 THEN array({_finding(path, 'no_rows')})"
+        if spec.name == DISCOVERY:
+            listed = f"transform(body.{path}, f -> f.name)"
+            missing = f"array_except(array({_values(CYCLE_FEEDS[1:])}), {listed})"
+            records += f" ELSE transform({missing}, f -> {_finding(path, 'unlisted_feed', 'f')})"
+        records += " END"
+    nothing = f"CAST(array() AS {FINDINGS})"
+    return (
+        f"CASE WHEN NOT is_object THEN array({_finding('', 'object')}) ELSE"
+        f" concat({_broken(ENVELOPE_RULES, 'body')}, coalesce({records}, {nothing})) END"
+    )
 
 
 def feed_violations(payloads: DataFrame, feed: str) -> DataFrame:
-    """Broken rules of one feed, one row each; ``pos`` is null for the envelope."""
-    spec, parsed = FEEDS[feed], parse(payloads, feed)
-    field = f"data.{spec.list_field}" if spec.list_field else "data"
-    envelope = (
-        f"CASE WHEN NOT is_object THEN array({_finding('', 'object')}) ELSE"
-        f" concat({_broken(ENVELOPE_RULES, 'body')},"
-        f" CASE WHEN body.{field} IS NULL THEN array({_finding(field, 'required')})"
-        f" ELSE CAST(array() AS {FINDINGS}) END) END"
-    )
-    found = _report(parsed, feed, "NULL", envelope)
-    records = items(parsed, feed)
+    """Broken rules of one feed, one row each; ``pos`` is null for the payload as a whole.
+
+    One pass: the findings about the payload travel with its first record.
+    """
+    spec = FEEDS[feed]
+    checked = parse(payloads, feed).withColumn("_whole", F.expr(_envelope_findings(spec)))
     if spec.list_field is None:
-        records = records.where(F.col("item").isNotNull())
-    return found.unionByName(_report(records, feed, "pos", _broken(spec.rules, "item")))
+        records = checked.select(
+            "cycle_id", "_whole", F.lit(0).alias("pos"), F.col("body.data").alias("item")
+        )
+    else:
+        records = checked.select(
+            "cycle_id", "_whole", F.posexplode_outer(f"body.data.{spec.list_field}").alias("pos", "item")
+        )
+    has_record = "pos IS NOT NULL" if spec.list_field else "item IS NOT NULL"
+    findings = f"""concat(
+        CASE WHEN coalesce(pos, 0) = 0
+             THEN transform(_whole, f -> named_struct('pos', CAST(NULL AS INT), 'f', f))
+             ELSE CAST(array() AS array<struct<pos: int, f: {FINDINGS[6:-1]}>>) END,
+        CASE WHEN {has_record}
+             THEN transform({_broken(spec.rules, 'item')}, f -> named_struct('pos', pos, 'f', f))
+             ELSE CAST(array() AS array<struct<pos: int, f: {FINDINGS[6:-1]}>>) END)"""
+    return records.select("cycle_id", F.inline(F.expr(findings))).select(
+        "cycle_id", F.lit(feed).alias("feed"), "pos", "f.*"
+    )
 
 
 def resolve_feed_urls(payloads: DataFrame) -> DataFrame:
@@ -436,27 +465,10 @@ def missing_feeds(payloads: DataFrame) -> DataFrame:
     )
 
 
-def unlisted_feeds(payloads: DataFrame) -> DataFrame:
-    """Violations for wanted feeds the discovery document does not list."""
-    return (
-        resolve_feed_urls(payloads)
-        .where(F.col("url").isNull())
-        .select(
-            "cycle_id",
-            F.lit(DISCOVERY).alias("feed"),
-            F.lit(None).cast("int").alias("pos"),
-            F.lit("data.feeds").alias("path"),
-            F.lit("unlisted_feed").alias("rule"),
-            F.col("feed").alias("value"),
-        )
-    )
-
-
 def validate(payloads: DataFrame) -> DataFrame:
     """All violations of the landed cycles, before records are compared across feeds."""
     parts = [feed_violations(payloads, feed) for feed in CYCLE_FEEDS]
-    parts += [missing_feeds(payloads), unlisted_feeds(payloads)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, missing_feeds(payloads)])
 
 
 def feed_verdicts(payloads: DataFrame) -> DataFrame:
