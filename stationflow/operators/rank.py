@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.functions.clock import DAY_US, SECOND_US, floor_div, micros
-from stationflow.session import settle
+from stationflow.session import settle_in_order
 
 
 def positional_cutoffs(
@@ -76,7 +76,7 @@ def dense_codes(
     rows inside partitions and adding each partition's offset sees one fixed layout. Only
     one row per partition passes through the running sum.
     """
-    ordered = settle(df.select(*columns).dropna().distinct().orderBy(*columns))
+    ordered = settle_in_order(df.select(*columns).dropna().distinct().orderBy(*columns))
     position = F.monotonically_increasing_id()
     placed = ordered.select(
         *columns,

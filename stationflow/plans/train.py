@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stationflow import schemas as S
 from stationflow.plans import dataset as D
 from stationflow.plans.features import DEFAULT_SPEC, FeatureSpec, labeled_features
-from stationflow.session import ensure_checkpoint_dir
+from stationflow.session import shared_folder
 from stationflow.sources import storage
 
 DELTA = "target_delta"
@@ -70,7 +70,7 @@ def fit(
     assembled: DataFrame, n_codes: int, settings: TreeSettings = TreeSettings()
 ) -> GBTRegressionModel:
     """Fit on the train rows, stopping early by the val rows."""
-    ensure_checkpoint_dir(assembled.sparkSession)
+    shared_folder(assembled.sparkSession)
     rows = assembled.where(F.col("split").isin("train", "val")).withColumn(
         "is_validation", F.col("split") == "val"
     )

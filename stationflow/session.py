@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,20 +40,32 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"session time zone must be UTC, got {zone}")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one is made only where none is named."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+    named = context.getCheckpointDir()
+    if named is not None:
+        return named
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="stationflow-checkpoint-")
     context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute a frame once, on shared storage, for the several reads that follow."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Compute a frame once, into a table on shared storage, for the reads that follow.
+
+    Unlike a checkpoint, the table is columnar: later reads prune columns and rows.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_in_order(df: DataFrame) -> DataFrame:
+    """Compute a sorted frame once, keeping its partitions and their order."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
