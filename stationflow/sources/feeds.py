@@ -29,7 +29,6 @@ TEXTS = "array<struct<text string, language string>>"
 TYPE_COUNTS = "array<struct<vehicle_type_id string, count string>>"
 GROUP_COUNTS = "array<struct<vehicle_type_ids array<string>, count string>>"
 AREA = "struct<type string, coordinates array<array<array<array<double>>>>>"
-URIS = "struct<android string, ios string, web string>"
 
 
 # --- casts of parsed text, as SQL over a column or field name -----------------
@@ -156,7 +155,7 @@ def area_rule(path: str) -> Rule:
 
 
 def uris_rule(path: str) -> Rule:
-    return Rule(path, "uris", lambda x: f"{nested(x, URIS)} IS NULL")
+    return Rule(path, "uris", lambda x: f"json_object_keys({x}) IS NULL")
 
 
 ENVELOPE_RULES = (
@@ -293,11 +292,9 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     name = F.col("_metadata.file_path")
     cycle = F.regexp_extract(name, r"/([^/]+)/[^/]+\.json$", 1)
     return (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(path)
-        .select(
+        spark.read.text(
+            path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"
+        ).select(
             cycle.alias("cycle_id"),
             cycle_time(cycle).alias("observed_at"),
             F.regexp_extract(name, r"/([^/]+)\.json$", 1).alias("feed"),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationflow import schemas as S
 from stationflow.functions.clock import day_bounds, instant
@@ -72,13 +73,11 @@ def staged_path(root: str, table: str) -> str:
 
 def read_staged(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Every staged snapshot, with its ``date`` and ``cycle`` partition columns."""
-    path = staged_path(root, table)
-    if not storage.exists(spark, path):
-        empty = spark.createDataFrame([], S.TABLE_SCHEMAS[table])
-        return empty.select(
-            "*", F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("cycle")
-        )
-    return spark.read.schema(S.TABLE_SCHEMAS[table]).parquet(path)
+    path, schema = staged_path(root, table), T.StructType(list(S.TABLE_SCHEMAS[table]))
+    schema = schema.add("date", T.DateType()).add("cycle", T.StringType())
+    if not storage.data_files(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def staged_keys_for_day(spark: SparkSession, root: str, table: str, day: dt.date) -> list[str]:
