@@ -14,7 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stationflow.functions.clock import DAY_US, MINUTE_US, micros
-from stationflow.operators.buckets import BUCKET, HOME, bucket_of, with_buckets
+from stationflow.operators.buckets import (
+    BUCKET,
+    HOME,
+    HOT_ROWS,
+    SLICE,
+    hot_buckets,
+    with_buckets,
+)
 
 
 def nearest_columns(
@@ -52,6 +59,7 @@ def asof_join(
     tolerance_minutes: int,
     matched_time: str | None = None,
     bucket_us: int = DAY_US,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Left join each row to the nearest right row in one direction of time.
 
@@ -78,25 +86,26 @@ def asof_join(
         F.struct(right_us.alias("us"), F.col(right_time).alias("t"),
                  *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]).alias("_right"),
     )
-    readings = with_buckets(
-        readings,
-        F.col("_at"),
-        width_us=bucket_us,
-        back_us=tolerance_us if backward else 0,
-        ahead_us=0 if backward else tolerance_us,
-    ).drop(HOME)
-
     search_us = micros(left_time) + F.lit(offset_minutes * MINUTE_US)
-    anchors = left.select(
-        *by,
-        search_us.alias("_at"),
-        bucket_of(search_us, bucket_us).alias(BUCKET),
-        F.struct(*left.columns).alias("_left"),
-    )
+    anchors = left.select(*by, search_us.alias("_at"), F.struct(*left.columns).alias("_left"))
+
+    at = F.col("_at")
+    hot = None
+    if hot_rows is not None:
+        points = anchors.select(*by, "_at").unionByName(readings.select(*by, "_at"))
+        hot = hot_buckets(points, by, at, bucket_us, hot_rows)
+    reach = {
+        "back_us": tolerance_us if backward else 0,
+        "ahead_us": 0 if backward else tolerance_us,
+    }
+    readings = with_buckets(readings, by, at, width_us=bucket_us, hot=hot, **reach).drop(HOME)
+    # an anchor reads others and is read by none, so only its own copy is of use
+    anchors = with_buckets(anchors, by, at, width_us=bucket_us, hot=hot, **reach)
+    anchors = anchors.where(HOME).drop(HOME)
 
     order = F.col("_at") if backward else -F.col("_at")
     frame = (
-        Window.partitionBy(*by, BUCKET)
+        Window.partitionBy(*by, BUCKET, SLICE)
         .orderBy(order)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )

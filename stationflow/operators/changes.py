@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stationflow.functions.clock import DAY_US, HOUR_US, floor_div, micros
+from stationflow.functions.clock import DAY_US, HOUR_US, SECOND_US, floor_div, micros
+from stationflow.operators.buckets import BUCKET, HOT_ROWS, SLICE, hot_buckets
 from stationflow.schemas import STATION_KEY, TRACKED_STATION_FIELDS
 
 
@@ -20,41 +21,49 @@ def with_previous(
     time: str = "observed_at",
     reset_us: int = DAY_US,
     bucket_us: int = HOUR_US,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``_now`` and ``_previous`` (structs) of ``columns`` per key and reset period.
 
     ``_previous`` is null on the first row of a period. Rows are ordered inside short
-    buckets; the last state of a bucket is carried to the next non-empty one, so no task
-    has to hold a whole period of one key.
+    buckets (seconds, where a bucket is hot); the last state of a bucket is carried to the
+    next non-empty one, so no task has to hold a whole period of one key.
     """
     if reset_us % bucket_us:
         raise ValueError("the bucket must divide the reset period")
-    us = micros(time)
+    us = F.col("_us")
     keyed = df.select(
         "*",
-        us.alias("_us"),
+        micros(time).alias("_us"),
         F.struct(*columns).alias("_now"),
-        floor_div(us, bucket_us).alias("_slot"),
-    )
-    part = [*keys, "_slot"]
+    ).withColumn(BUCKET, floor_div(us, bucket_us))
+    if hot_rows is None:
+        keyed = keyed.withColumn(SLICE, F.lit(0).cast("bigint"))
+    else:
+        hot = hot_buckets(keyed.select(*keys, "_us"), keys, us, bucket_us, hot_rows)
+        fine = F.when(F.col("_hot"), floor_div(us, SECOND_US)).otherwise(0)
+        keyed = (
+            keyed.join(F.broadcast(hot), [*keys, BUCKET], "left")
+            .withColumn(SLICE, fine)
+            .drop("_hot")
+        )
+    part = [*keys, BUCKET, SLICE]
 
     tails = keyed.groupBy(*part).agg(F.max_by("_now", "_us").alias("_tail"))
     periods = Window.partitionBy(
-        *keys, floor_div(F.col("_slot"), reset_us // bucket_us)
-    ).orderBy("_slot")
-    carried = tails.select(
-        *[F.col(k).alias(f"_{k}") for k in part],
-        F.lag("_tail").over(periods).alias("_carried"),
-    ).where(F.col("_carried").isNotNull())
+        *keys, floor_div(F.col(BUCKET), reset_us // bucket_us)
+    ).orderBy(BUCKET, SLICE)
+    carried = tails.select(*part, F.lag("_tail").over(periods).alias("_carried")).where(
+        F.col("_carried").isNotNull()
+    )
 
     inside = keyed.withColumn(
         "_inside", F.lag("_now").over(Window.partitionBy(*part).orderBy("_us"))
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in part]
     return (
-        inside.join(carried, on=same, how="left")
+        inside.join(carried, part, "left")
         .withColumn("_previous", F.coalesce("_inside", "_carried"))
-        .drop("_us", "_slot", "_inside", "_carried", *[f"_{k}" for k in part])
+        .drop("_us", BUCKET, SLICE, "_inside", "_carried")
     )
 
 

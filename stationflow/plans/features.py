@@ -14,7 +14,8 @@ from stationflow.functions.clock import DAY_US, MINUTE_US, cycle_position, local
 from stationflow.functions.clock import local_weekday, micros
 from stationflow.functions.measures import occupancy_ratio
 from stationflow.operators.asof import asof_join, nearest_columns, within
-from stationflow.operators.buckets import BUCKET, HOME, with_buckets
+from stationflow.operators.buckets import BUCKET, HOME, HOT_ROWS, SLICE
+from stationflow.operators.buckets import hot_buckets, with_buckets
 from stationflow.operators.contract import require_columns
 from stationflow.operators.lookup import attach
 from stationflow.operators.rolling import running_totals, trailing_mean, trailing_std
@@ -25,7 +26,11 @@ STATUS_FLAGS = ("is_installed", "is_renting", "is_returning")
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Minutes and zone of the feature columns; defaults fit a 5-minute cycle."""
+    """Minutes and zone of the feature columns; defaults fit a 5-minute cycle.
+
+    ``hot_rows`` is the size above which one station's bucket is sliced; ``None`` skips the
+    counting pass, for histories known to be even.
+    """
 
     lags: tuple[int, ...] = S.LAG_MINUTES
     lag_tolerance: int = S.LAG_TOLERANCE_MINUTES
@@ -34,6 +39,7 @@ class FeatureSpec:
     stds: tuple[int, ...] = (30,)
     zone: str = S.LOCAL_ZONE
     bucket_us: int = DAY_US
+    hot_rows: int | None = HOT_ROWS
 
     @property
     def reach_us(self) -> int:
@@ -83,14 +89,20 @@ def _measured(
     """All windowed columns (and the label, if asked for) behind one shuffle."""
     ahead_us = 0 if label is None else sum(label) * MINUTE_US
     us, vehicles = F.col("_us"), F.col("num_vehicles_available")
+    rows = raw.select(*S.RAW_COLUMNS, micros("observed_at").alias("_us"))
+    hot = None
+    if spec.hot_rows is not None:
+        hot = hot_buckets(rows, S.STATION_KEY, us, spec.bucket_us, spec.hot_rows)
     spread = with_buckets(
-        raw.select(*S.RAW_COLUMNS, micros("observed_at").alias("_us")),
+        rows,
+        S.STATION_KEY,
         us,
         width_us=spec.bucket_us,
         back_us=spec.reach_us,
         ahead_us=ahead_us,
+        hot=hot,
     )
-    part = [*S.STATION_KEY, BUCKET]
+    part = [*S.STATION_KEY, BUCKET, SLICE]
     rising = Window.partitionBy(*part).orderBy(us)
 
     windowed = running_totals(rising, vehicles, means=spec.means, stds=spec.stds)
@@ -104,7 +116,7 @@ def _measured(
         derived.append(value.alias(f"lag_{m}m_vehicles"))
     derived += [trailing_mean(m).alias(f"roll_mean_{m}m") for m in spec.means]
     derived += [trailing_std(m).alias(f"roll_std_{m}m") for m in spec.stds]
-    measured = measured.select(*S.RAW_COLUMNS, "_us", BUCKET, HOME, *derived)
+    measured = measured.select(*S.RAW_COLUMNS, "_us", BUCKET, SLICE, HOME, *derived)
 
     if label is not None:
         horizon, tolerance = label

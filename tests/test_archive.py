@@ -115,13 +115,14 @@ def test_collapse(spark, tmp_path):
     assert changes.collapse_changes(collapsed).count() == 3
 
 
-def test_collapse_matches_brute_force_over_gaps(spark):
+@pytest.mark.parametrize("hot_rows", [None, 5, 10**6])
+def test_collapse_matches_brute_force_over_gaps(spark, hot_rows):
     """States carried over empty hours and reset at midnight, one busy station."""
     rng = random.Random(11)
     points = []
     for station, n in (("hot", 600), ("cold", 20)):
         for minute in sorted(rng.sample(range(3 * 24 * 60), n)):
-            time = at(2026, 9, 1) + dt.timedelta(minutes=minute)
+            time = at(2026, 9, 1) + dt.timedelta(minutes=minute, seconds=rng.random() * 50)
             points.append((time, station, rng.choice([10, 10, 10, 20, None])))
     expected, last = set(), {}
     for time, station, capacity in sorted(points, key=lambda p: (p[1], p[0])):
@@ -129,7 +130,7 @@ def test_collapse_matches_brute_force_over_gaps(spark):
         if key not in last or last[key] != capacity:
             expected.add((station, time))
         last[key] = capacity
-    out = changes.collapse_changes(station_rows(spark, points)).collect()
+    out = changes.collapse_changes(station_rows(spark, points), hot_rows=hot_rows).collect()
     assert {(r.station_id, r.observed_at.replace(tzinfo=dt.timezone.utc)) for r in out} == expected
 
 
