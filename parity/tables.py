@@ -244,7 +244,8 @@ def _(v):
 
 PRESENT = "present AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)"
 ARCHIVED = """archived AS (
-  SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE day(ts) % 3 <> 0)"""
+  SELECT CAST(ts AS DATE) AS day FROM events GROUP BY ALL
+  HAVING count(*) FILTER (event_type = 'purchase') > count(*) FILTER (event_type = 'view'))"""
 
 
 def _present(v):
@@ -252,7 +253,12 @@ def _present(v):
 
 
 def _archived(v):
-    return days.days_present(v.status.where(F.day("observed_at") % 3 != 0))
+    """Days with more purchases than views stand for those already published."""
+    kind = F.col("event_type")
+    per_day = v.table("events").groupBy(clock.utc_day("ts").alias("day")).agg(
+        F.count_if(kind == "purchase").alias("bought"), F.count_if(kind == "view").alias("seen")
+    )
+    return per_day.where("bought > seen").select("day")
 
 
 @query(
@@ -275,22 +281,21 @@ def _(v):
 @query(
     "staged_days_of_keys",
     """SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM events
-WHERE event_id % 7 NOT IN (0, 1, 2) AND day(ts) <> 13""",
+WHERE event_type IN ('signup', 'error')""",
 )
 def _(v):
     """Keys of other tables, malformed days and other file types are skipped."""
-    kind, status = F.col("event_id") % 7, v.table("events").where(F.day("ts") != 13)
-    day = F.date_format("ts", "yyyy-MM-dd")
+    kind, day = F.col("event_type"), F.date_format("ts", "yyyy-MM-dd")
     key = (
-        F.when(kind == 0, F.concat(F.lit("snapshots/stations/date="), day, F.lit("/a.parquet")))
-        .when(kind == 1, F.lit("snapshots/station_status/date=2024-13-45/a.parquet"))
-        .when(kind == 2, F.concat(F.lit("snapshots/station_status/date="), day, F.lit("/a.json")))
+        F.when(kind == "view", F.concat(F.lit("snapshots/stations/date="), day, F.lit("/a.parquet")))
+        .when(kind == "click", F.lit("snapshots/station_status/date=2024-13-45/a.parquet"))
+        .when(kind == "purchase", F.concat(F.lit("snapshots/station_status/date="), day, F.lit("/a.json")))
         .otherwise(
             F.concat(F.lit("snapshots/station_status/date="), day, F.lit("/"),
                      clock.cycle_stamp("ts"), F.lit(".parquet"))
         )
     )
-    return days.staged_days(status.select(key.alias("key")), S.STATION_STATUS)
+    return days.staged_days(v.table("events").select(key.alias("key")), S.STATION_STATUS)
 
 
 NEEDED = """needed AS (

@@ -364,7 +364,7 @@ def _(v):
   SELECT *, 0 AS source FROM status
   UNION ALL BY NAME
   SELECT * REPLACE (num_vehicles_available + 1 AS num_vehicles_available), 1 AS source
-  FROM status WHERE num_vehicles_available % 3 = 0)
+  FROM status WHERE is_renting)
 SELECT system_id, station_id, epoch_us(observed_at) AS observed_at, num_vehicles_available, source
 FROM replayed
 QUALIFY row_number() OVER (PARTITION BY system_id, station_id, observed_at
@@ -372,7 +372,7 @@ QUALIFY row_number() OVER (PARTITION BY system_id, station_id, observed_at
 )
 def _(v):
     first = v.status.withColumn("source", F.lit(0))
-    again = v.status.where("num_vehicles_available % 3 = 0").withColumns(
+    again = v.status.where("is_renting").withColumns(
         {"num_vehicles_available": F.col("num_vehicles_available") + 1, "source": F.lit(1)}
     )
     return newest.keep_last(first.unionByName(again), ["source"]).select(

@@ -168,15 +168,16 @@ def reference_violations(payloads: DataFrame) -> DataFrame:
     )
 
 
-def cycle_violations(payloads: DataFrame) -> DataFrame:
+def cycle_violations(payloads: DataFrame, folder: str | None = None) -> DataFrame:
     """Everything wrong with the landed cycles.
 
     Records are compared across feeds only in cycles whose feeds are all valid. The
-    violations are few and read again and again, so they are computed once and kept.
+    violations are few and read again and again, so they are computed once and kept (in
+    ``folder``, if given).
     """
-    broken = settle(G.validate(payloads))
+    broken = settle(G.validate(payloads), folder)
     valid = payloads.join(broken.select("cycle_id").distinct(), "cycle_id", "left_anti")
-    return broken.unionByName(settle(reference_violations(valid)))
+    return broken.unionByName(settle(reference_violations(valid), folder))
 
 
 def domain_violations(rows: DataFrame, table: str) -> DataFrame:

@@ -55,12 +55,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder on shared storage, for whoever asks to delete when done."""
+    return f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Compute a frame once, into a table on shared storage, for the reads that follow.
 
-    Unlike a checkpoint, the table is columnar: later reads prune columns and rows.
+    Unlike a checkpoint, the table is columnar: later reads prune columns and rows. Without
+    a ``folder`` it stays in the checkpoint folder, as a checkpoint would.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = f"{folder or scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

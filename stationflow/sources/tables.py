@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationflow import schemas as S
-from stationflow.functions.clock import day_bounds, instant
+from stationflow.functions.clock import day_bounds, instant, utc_day
 from stationflow.operators.contract import require_columns
 from stationflow.operators.newest import current_capacity, newest_rows
 from stationflow.sources import storage
@@ -92,10 +92,13 @@ def read_staged_day(spark: SparkSession, root: str, table: str, day: dt.date) ->
 
 
 def day_rows(df: DataFrame, day: dt.date) -> DataFrame:
-    """Rows of one UTC day, oldest first."""
+    """Rows of one UTC day, oldest first; a ``date`` partition column limits the scan."""
     start, end = day_bounds(day)
     time = F.col("observed_at")
-    return df.where((time >= start) & (time < end)).orderBy("observed_at")
+    rows = df.where((time >= start) & (time < end))
+    if "date" in df.columns:
+        rows = rows.where(F.col("date") == F.lit(day)).drop("date")
+    return rows.orderBy("observed_at")
 
 
 def status_history(
@@ -107,11 +110,14 @@ def status_history(
 ) -> DataFrame:
     """One system's history with the columns training needs.
 
+    ``since`` also prunes by a ``date`` partition column, where there is one.
     ``ordered=False`` skips the global sort, which window operators do not need.
     """
     rows = df.where(F.col("system_id") == system_id)
     if since is not None:
         rows = rows.where(F.col("observed_at") >= instant(since))
+        if "date" in df.columns:
+            rows = rows.where(F.col("date") >= utc_day(instant(since)))
     rows = rows.select(*S.RAW_COLUMNS)
     return rows.orderBy("station_id", "observed_at") if ordered else rows
 

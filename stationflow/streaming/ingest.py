@@ -15,8 +15,9 @@ from stationflow.functions.clock import instant
 from stationflow.operators.contract import conform
 from stationflow.plans.ingest import cycle_violations, flatten_cycles
 from stationflow.plans.monitor import readiness
+from stationflow.session import scratch_folder
 from stationflow.sources import feeds as G
-from stationflow.sources import sinks
+from stationflow.sources import sinks, storage
 
 
 def read_bundles(spark: SparkSession, landing: str, files_per_batch: int = 100) -> DataFrame:
@@ -76,9 +77,10 @@ def ingest_batch(
     the last row per identity, and logs are kept per batch.
     """
     started = now()
-    payloads = payloads.persist()
+    spark, payloads = payloads.sparkSession, payloads.persist()
+    folder = scratch_folder(spark)
     try:
-        violations = cycle_violations(payloads)
+        violations = cycle_violations(payloads, folder)
         cycles = flatten_cycles(payloads, violations)
         status = cycles.status.persist()
         version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
@@ -86,7 +88,7 @@ def ingest_batch(
         violations.write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
         log = run_log(payloads, status, violations, batch_id, started, now())
         log.write.mode("overwrite").parquet(f"{root}/ingestion_runs/batch={batch_id}")
-        window = sinks.read_current(payloads.sparkSession, root, S.STATION_STATUS)
+        window = sinks.read_current(spark, root, S.STATION_STATUS)
         readiness(window, instant(now())).write.mode("overwrite").parquet(
             f"{root}/readiness/batch={batch_id}"
         )
@@ -94,6 +96,7 @@ def ingest_batch(
         return staged
     finally:
         payloads.unpersist()
+        storage.delete(spark, folder)
 
 
 def start_ingest(

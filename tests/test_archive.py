@@ -83,6 +83,27 @@ def test_export_writes_days_and_only_those(spark, status, tmp_path):
     assert sizes.where("bytes_per_row <= 0").count() == 0
 
 
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_are_pruned(spark, status, tmp_path):
+    archive, root = str(tmp_path / "archive"), str(tmp_path / "root")
+    sinks.export_table_days(status, archive, S.STATION_STATUS, [D(2026, 9, 4), D(2026, 9, 6)])
+    table = tables.read_table(spark, f"{archive}/{S.STATION_STATUS}", S.STATION_STATUS)
+    plan = scan_of(tables.status_history(table, "toronto", since=at(2026, 9, 6), ordered=False))
+    assert "PushedFilters: [IsNotNull(system_id), IsNotNull(observed_at), EqualTo(system_id,toronto)" in plan
+    assert "PartitionFilters: [isnotnull(date" in plan and "is_returning" in plan
+    assert "num_vehicles_electric" not in plan
+    assert tables.status_history(table, "toronto", since=at(2026, 9, 6)).count() == 1
+    one = tables.day_rows(table, D(2026, 9, 4))
+    assert "PartitionFilters: [isnotnull(date" in scan_of(one) and one.count() == 3
+    day = staged_day(spark, root)
+    assert "PartitionFilters: [isnotnull(date" in scan_of(
+        tables.read_staged_day(spark, root, S.STATIONS, day)
+    )
+
+
 def test_exported_files_are_compressed(spark, status, tmp_path):
     import pyarrow.parquet as pq
 
