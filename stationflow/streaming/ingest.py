@@ -18,6 +18,7 @@ from stationflow.plans.monitor import readiness
 from stationflow.session import scratch_folder
 from stationflow.sources import feeds as G
 from stationflow.sources import sinks, storage
+from stationflow.streaming.features import batch_features
 
 
 def read_bundles(spark: SparkSession, landing: str, files_per_batch: int = 100) -> DataFrame:
@@ -89,6 +90,10 @@ def ingest_batch(
         log = run_log(payloads, status, violations, batch_id, started, now())
         log.write.mode("overwrite").parquet(f"{root}/ingestion_runs/batch={batch_id}")
         window = sinks.read_current(spark, root, S.STATION_STATUS)
+        stations = sinks.read_current(spark, root, S.STATIONS)
+        batch_features(window, stations, status).write.mode("overwrite").parquet(
+            f"{root}/features/batch={batch_id}"
+        )
         readiness(window, instant(now())).write.mode("overwrite").parquet(
             f"{root}/readiness/batch={batch_id}"
         )

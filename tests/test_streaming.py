@@ -53,6 +53,10 @@ def test_cycles_replays_gaps_and_bad_cycles(spark, tmp_path):
     ready = spark.read.parquet(f"{root}/readiness").first()
     assert not ready.data_fresh or not ready.history_deep_enough
 
+    features = spark.read.parquet(f"{root}/features").orderBy("observed_at").collect()
+    assert [f.lag_5m_vehicles for f in features] == [None, 0, 1]
+    assert [f.roll_mean_30m for f in features] == [0.0, 0.5, 1.0]
+
     # a replay of a cycle with another value: counted once, the last wins
     replay = write_bundle(landing, stamp(10), feeds(9))
     replay.rename(landing / "replayed.json")
