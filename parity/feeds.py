@@ -167,7 +167,7 @@ def _(v):
 @query(
     "violation_preview",
     f"""WITH {EVENTS}, found AS ({RULES_SQL} {MISSING_SQL} {ACROSS_SQL})
-SELECT cycle_id, rule, list(value ORDER BY value) AS preview
+SELECT cycle_id, rule, array_to_string(list(value ORDER BY value), ', ') AS preview
 FROM (SELECT DISTINCT cycle_id, rule, value FROM found WHERE value IS NOT NULL) GROUP BY ALL""",
 )
 def _(v):
@@ -289,9 +289,10 @@ SELECT cycle_id, system_id,
        epoch_us(date_trunc('second', ts)) AS station_information_last_updated,
        CASE WHEN e % 37 <> 8 THEN epoch_us(date_trunc('second', ts)) END
          AS station_status_last_updated,
-       2 AS station_count, CASE WHEN e % 37 = 8 THEN 0 ELSE 2 END AS status_count,
-       CASE WHEN e % 37 = 8 THEN 0 ELSE 2 END AS processed_station_status_count,
-       CASE WHEN e % 37 = 8 THEN 0 WHEN e % 17 = 7 THEN 1 ELSE 2 END
+       2::BIGINT AS station_count,
+       CAST(CASE WHEN e % 37 = 8 THEN 0 ELSE 2 END AS BIGINT) AS status_count,
+       CAST(CASE WHEN e % 37 = 8 THEN 0 ELSE 2 END AS BIGINT) AS processed_station_status_count,
+       CAST(CASE WHEN e % 37 = 8 THEN 0 WHEN e % 17 = 7 THEN 1 ELSE 2 END AS BIGINT)
          AS matched_station_status_count
 FROM ev""",
 )

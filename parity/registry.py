@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Instants as epoch microseconds, days as text, doubles rounded: comparable anywhere."""
+    """Instants as epoch microseconds, days and lists as text, doubles rounded."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
@@ -27,6 +27,8 @@ def plain(df: DataFrame) -> DataFrame:
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(field.dataType, T.DoubleType):
             column = F.round(column, 6) + F.lit(0.0)
+        elif isinstance(field.dataType, T.ArrayType):
+            column = F.array_join(column.cast("array<string>"), ", ")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

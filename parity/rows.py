@@ -202,7 +202,7 @@ def _unknown(v):
 
 @query(
     "unknown_customer_preview",
-    """SELECT list(o_custkey ORDER BY o_custkey) AS preview FROM (
+    """SELECT array_to_string(list(o_custkey ORDER BY o_custkey), ', ') AS preview FROM (
   SELECT o_custkey FROM orders
   WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
   ORDER BY o_custkey LIMIT 5)""",
@@ -213,7 +213,8 @@ def _(v):
 
 @query(
     "unknown_customer_preview_by_priority",
-    """SELECT o_orderpriority, list(o_custkey ORDER BY o_custkey) AS preview FROM (
+    """SELECT o_orderpriority,
+       array_to_string(list(o_custkey ORDER BY o_custkey), ', ') AS preview FROM (
   SELECT DISTINCT o_orderpriority, o_custkey FROM orders
   WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
   QUALIFY dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) <= 5)
