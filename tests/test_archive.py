@@ -252,3 +252,11 @@ def test_single_day_plan(spark):
     present = day_frame(spark, D(2026, 9, 3))
     plan = days.plan_export(present, present, today=D(2026, 9, 6), day=D(2026, 9, 5))
     assert listed(plan) == [D(2026, 9, 5)]
+
+
+def test_status_without_stations_is_published(spark, tmp_path):
+    root, archive = str(tmp_path / "root"), str(tmp_path / "archive")
+    assert sinks.publish(spark, root, archive, today=D(2026, 10, 1)) == {}
+    sinks.write_snapshots(status_rows(spark, [(at(2026, 9, 1), "a", 1)]), root, S.STATION_STATUS)
+    written = sinks.publish(spark, root, archive, today=D(2026, 10, 1))
+    assert written == {S.STATION_STATUS: {D(2026, 9, 1): 1}, S.STATIONS: {}}
