@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stationflow.llm.token_counts import token_counts_query
+from stationflow.llm.token_files import token_files_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": token_files_query,
     "op8_token_counts": token_counts_query,
 }
 
