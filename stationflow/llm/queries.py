@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stationflow.llm.fingerprints import FINGERPRINT_SQL, fingerprint_query
 from stationflow.llm.language import language_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
 from stationflow.llm.quality import quality_query
@@ -15,11 +16,13 @@ from stationflow.llm.token_files import token_files_query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files_query,
     "op4_quality_rules": quality_query,
+    "op5_fingerprints": fingerprint_query,
     "op6_mixing": mixing_query,
     "op8_token_counts": token_counts_query,
     "op10_language": language_query,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_fingerprints": FINGERPRINT_SQL,
     "op6_mixing": MIXING_SQL,
 }
