@@ -45,7 +45,7 @@ def write_token_files(
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     ordered = (
-        rows.repartitionByRange(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        rows.repartitionByRange(F.col("id").asc_nulls_first())
         .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .withColumn("shard", F.spark_partition_id())
     )
