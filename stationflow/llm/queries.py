@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stationflow.llm.fingerprints import FINGERPRINT_SQL, fingerprint_query
 from stationflow.llm.language import language_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
+from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_query
 from stationflow.llm.quality import quality_query
 from stationflow.llm.token_counts import token_counts_query
 from stationflow.llm.token_files import token_files_query
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": quality_query,
     "op5_fingerprints": fingerprint_query,
     "op6_mixing": mixing_query,
+    "op7_near_duplicates": near_duplicate_query,
     "op8_token_counts": token_counts_query,
     "op10_language": language_query,
 }
@@ -25,4 +27,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_fingerprints": FINGERPRINT_SQL,
     "op6_mixing": MIXING_SQL,
+    "op7_near_duplicates": NEAR_DUPLICATE_SQL,
 }
