@@ -13,6 +13,7 @@ from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_q
 from stationflow.llm.quality import quality_query
 from stationflow.llm.token_counts import token_counts_query
 from stationflow.llm.token_files import token_files_query
+from stationflow.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": token_files_query,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing_query,
     "op7_near_duplicates": near_duplicate_query,
     "op8_token_counts": token_counts_query,
+    "op9_toxicity": toxicity_query,
     "op10_language": language_query,
 }
 
