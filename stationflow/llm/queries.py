@@ -11,11 +11,13 @@ from stationflow.llm.language import language_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
 from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_query
 from stationflow.llm.quality import quality_query
+from stationflow.llm.segmentations import segmentation_query
 from stationflow.llm.token_counts import token_counts_query
 from stationflow.llm.token_files import token_files_query
 from stationflow.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_segmentations": segmentation_query,
     "op3_token_files": token_files_query,
     "op4_quality_rules": quality_query,
     "op5_fingerprints": fingerprint_query,
