@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stationflow.llm.fingerprints import FINGERPRINT_SQL, fingerprint_query
 from stationflow.llm.language import language_query
+from stationflow.llm.lm_scoring import lm_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
 from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_query
 from stationflow.llm.quality import quality_query
@@ -17,6 +18,7 @@ from stationflow.llm.token_files import token_files_query
 from stationflow.llm.toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": lm_query,
     "op2_segmentations": segmentation_query,
     "op3_token_files": token_files_query,
     "op4_quality_rules": quality_query,
