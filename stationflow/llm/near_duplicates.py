@@ -1,7 +1,7 @@
 """Near duplicates by an LSH forest over MinHash signatures.
 
 Every text is a set of word shingles. Texts with equal sets are one class; its signature holds
-256 minima. Each tree of the forest sorts the classes by its own sequence of minima: classes that
+512 minima. Each tree of the forest sorts the classes by its own sequence of minima: classes that
 agree on the first three are a region, and inside a region the order goes on with further values,
 so classes with the longest common prefix are neighbours. A region that is too large is cut where
 the prefix becomes longer, deeper only where needed. In the pieces signatures are compared.
@@ -31,7 +31,7 @@ from stationflow.session import settle
 LEAST_PERCENT = 85
 SEED = 11
 #: Minima of a signature (each kept as one byte), trees, and minima that make a region.
-MINIMA = 256
+MINIMA = 512
 TREES = 14
 PREFIX = 3
 #: Values that order a region.
@@ -41,7 +41,7 @@ PIECE = 512
 #: Classes of one region held at once; a longer one goes on with the last piece of these.
 HELD = 32 * PIECE
 #: Estimates this far below the limit, four standard errors, rule a pair out.
-MARGIN = 0.09
+MARGIN = 0.063
 #: Bits of the filter that spares reading texts without partners; its size never grows.
 FILTER_BITS = 24
 
