@@ -74,11 +74,20 @@ def trigrams(text: str | None) -> np.ndarray | None:
         return None
     kept = letters.copy()
     kept[1:] |= letters[:-1]  # of a run without letters, only the place after a letter stays
-    line = np.zeros(int(kept.sum()) + 2, np.int64)
-    line[1:-1] = symbols[kept]  # a gap opens and closes every text
+    found = symbols[kept]
+    line = np.zeros(len(found) + (2 if found[-1] else 1), np.int64)
+    line[1 : 1 + len(found)] = found  # a gap opens and closes every text
     return (line[:-2] * SYMBOLS + line[1:-1]) * SYMBOLS + line[2:]
 
 
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    """What trigrams of a text weigh: the root of their count, in eighths, as whole numbers.
+
+    A text that repeats itself does not take over a language's prototype.
+    """
+    return np.rint(8 * np.sqrt(counts)).astype(np.int64)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigram counts per language of a partition; memory is bounded by languages x trigrams."""
     counts: dict[str, np.ndarray] = {}
@@ -89,7 +98,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 continue
             if lang not in counts:
                 counts[lang] = np.zeros(TRIGRAMS, np.int64)
-            counts[lang] += np.bincount(found, minlength=TRIGRAMS)
+            seen, times = np.unique(found, return_counts=True)
+            counts[lang][seen] += weights_of(times)
     for lang, of_lang in counts.items():
         seen = np.flatnonzero(of_lang)
         yield pa.record_batch(
@@ -151,13 +161,13 @@ def predict_languages(
         found = trigrams(text) if names else None
         if found is None:
             return UNKNOWN, 0.0
-        counts = np.bincount(found, minlength=TRIGRAMS)
-        seen = np.flatnonzero(counts)
+        seen, times = np.unique(found, return_counts=True)
+        weights = weights_of(times).astype(np.float32)
         vector = np.zeros(width, np.float32)
         vectors = trigram_vectors(width, seed)
         for start in range(0, len(seen), 2048):
-            part = seen[start : start + 2048]
-            vector += counts[part].astype(np.float32) @ vectors[part].astype(np.float32)
+            part = slice(start, start + 2048)
+            vector += weights[part] @ vectors[seen[part]].astype(np.float32)
         cosines = matrix @ vector / max(float(np.linalg.norm(vector)), 1e-30)
         best = int(np.argmax(cosines))
         return names[best], min(1.0, max(0.0, float(cosines[best])))
