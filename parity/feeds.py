@@ -167,8 +167,12 @@ def _(v):
 @query(
     "violation_preview",
     f"""WITH {EVENTS}, found AS ({RULES_SQL} {MISSING_SQL} {ACROSS_SQL})
-SELECT cycle_id, rule, array_to_string(list(value ORDER BY value), ', ') AS preview
-FROM (SELECT DISTINCT cycle_id, rule, value FROM found WHERE value IS NOT NULL) GROUP BY ALL""",
+SELECT cycle_id, rule, array_to_string(list(value ORDER BY value)[1:5], ', ') AS preview
+FROM (SELECT cycle_id, rule, value FROM found
+      WHERE value IS NOT NULL AND rule <> 'unknown_vehicle_type'
+      UNION ALL
+      SELECT DISTINCT cycle_id, rule, value FROM found
+      WHERE value IS NOT NULL AND rule = 'unknown_vehicle_type') GROUP BY ALL""",
 )
 def _(v):
     return I.violation_preview(I.cycle_violations(payloads(v)))

@@ -13,15 +13,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stationflow.functions.clock import DAY_US, MINUTE_US, micros
-from stationflow.operators.buckets import (
-    BUCKET,
-    HOME,
-    HOT_ROWS,
-    SLICE,
-    hot_buckets,
-    with_buckets,
-)
+from stationflow.functions.clock import MINUTE_US, micros
+from stationflow.operators.buckets import BUCKET, HOME, with_buckets
 
 
 def nearest_columns(
@@ -58,8 +51,7 @@ def asof_join(
     offset_minutes: int = 0,
     tolerance_minutes: int,
     matched_time: str | None = None,
-    bucket_us: int = DAY_US,
-    hot_rows: int | None = HOT_ROWS,
+    bucket_us: int | None = None,
 ) -> DataFrame:
     """Left join each row to the nearest right row in one direction of time.
 
@@ -90,22 +82,19 @@ def asof_join(
     anchors = left.select(*by, search_us.alias("_at"), F.struct(*left.columns).alias("_left"))
 
     at = F.col("_at")
-    hot = None
-    if hot_rows is not None:
-        points = anchors.select(*by, "_at").unionByName(readings.select(*by, "_at"))
-        hot = hot_buckets(points, by, at, bucket_us, hot_rows)
     reach = {
+        "width_us": bucket_us,
         "back_us": tolerance_us if backward else 0,
         "ahead_us": 0 if backward else tolerance_us,
     }
-    readings = with_buckets(readings, by, at, width_us=bucket_us, hot=hot, **reach).drop(HOME)
+    readings = with_buckets(readings, at, **reach).drop(HOME)
     # an anchor reads others and is read by none, so only its own copy is of use
-    anchors = with_buckets(anchors, by, at, width_us=bucket_us, hot=hot, **reach)
+    anchors = with_buckets(anchors, at, **reach)
     anchors = anchors.where(HOME).drop(HOME)
 
     order = F.col("_at") if backward else -F.col("_at")
     frame = (
-        Window.partitionBy(*by, BUCKET, SLICE)
+        Window.partitionBy(*by, BUCKET)
         .orderBy(order)
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -1,79 +1,46 @@
 """Time buckets with copied edges.
 
-A window keyed by station alone puts a busy station's whole history into one task.
-Keying by station and time bucket spreads it; the rows near a bucket's edge are copied
-into the neighbour that looks at them, so every frame is still complete. A bucket that
-holds very many rows is cut into slices the same way.
+A window keyed by station alone puts a busy station's whole history into one task. Keying by
+station and time bucket spreads it; the rows near a bucket's edge are copied into the neighbour
+that looks at them, so every frame is still complete. The width follows from the reach alone, so
+the layout is the same for every table and nothing has to be counted first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions.clock import MINUTE_US, floor_div
 
 BUCKET = "_bucket"
-SLICE = "_slice"
 HOME = "_home"
 
-# Rows of one bucket above which it is sliced.
-HOT_ROWS = 2_000_000
-
+# A bucket is so many times as wide as the reach: a third of the rows are copied.
+REACHES = 3
 
-def hot_buckets(
-    df: DataFrame, keys: Sequence[str], us: Column, width_us: int, limit: int = HOT_ROWS
-) -> DataFrame:
-    """Keys and buckets with more than ``limit`` rows.
 
-    There are at most (rows / limit) of them, a few megabytes for a trillion rows, which is
-    what makes it safe to broadcast them.
-    """
-    counts = df.groupBy(*keys, floor_div(us, width_us).alias(BUCKET)).agg(
-        F.count("*").alias("_rows")
-    )
-    return counts.where(F.col("_rows") > limit).select(*keys, BUCKET, F.lit(True).alias("_hot"))
+def bucket_width(reach_us: int) -> int:
+    return max(MINUTE_US, REACHES * reach_us)
 
 
 def with_buckets(
     df: DataFrame,
-    keys: Sequence[str],
     us: Column,
     *,
-    width_us: int,
     back_us: int = 0,
     ahead_us: int = 0,
-    hot: DataFrame | None = None,
+    width_us: int | None = None,
 ) -> DataFrame:
-    """Copy each row into every bucket (and slice of a hot bucket) that needs it.
+    """Copy each row into every bucket that needs it.
 
-    A row is read by anchors up to ``back_us`` later (they look back) and up to
-    ``ahead_us`` earlier (they look ahead). ``_home`` marks the one copy that is the row
-    itself. With a bucket much wider than the reach, few rows are copied; a slice is about
-    half the reach, so rows of a hot bucket are copied about three times.
+    A row is read by anchors up to ``back_us`` later (they look back) and up to ``ahead_us``
+    earlier (they look ahead). ``_home`` marks the one copy that is the row itself.
     """
+    width = width_us or bucket_width(back_us + ahead_us)
     first, last = us - F.lit(ahead_us), us + F.lit(back_us)
     spread = df.select(
         "*",
-        F.explode(F.sequence(floor_div(first, width_us), floor_div(last, width_us))).alias(BUCKET),
-    )
-    home = F.col(BUCKET) == floor_div(us, width_us)
-    if hot is None:
-        return spread.withColumns({SLICE: F.lit(0).cast("bigint"), HOME: home})
-
-    slice_us = min(width_us, max(MINUTE_US, (back_us + ahead_us) // 2))
-    start = F.col(BUCKET) * F.lit(width_us)
-    inside = F.sequence(
-        floor_div(F.greatest(first, start), slice_us),
-        floor_div(F.least(last, start + F.lit(width_us - 1)), slice_us),
-    )
-    slices = F.when(F.col("_hot"), inside).otherwise(F.array(F.lit(0).cast("bigint")))
-    own = F.col("_hot").isNull() | (F.col(SLICE) == floor_div(us, slice_us))
-    return (
-        spread.join(F.broadcast(hot), [*keys, BUCKET], "left")
-        .select("*", F.explode(slices).alias(SLICE))
-        .withColumn(HOME, home & own)
-        .drop("_hot")
+        F.explode(F.sequence(floor_div(first, width), floor_div(last, width))).alias(BUCKET),
     )
+    return spread.withColumn(HOME, F.col(BUCKET) == floor_div(us, width))

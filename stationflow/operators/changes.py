@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stationflow.functions.clock import DAY_US, HOUR_US, SECOND_US, floor_div, micros
-from stationflow.operators.buckets import BUCKET, HOT_ROWS, SLICE, hot_buckets
+from stationflow.functions.clock import DAY_US, MINUTE_US, floor_div, micros
+from stationflow.operators.buckets import BUCKET
 from stationflow.schemas import STATION_KEY, TRACKED_STATION_FIELDS
 
 
+# A state is carried from bucket to bucket; a day has 144 of them.
+CARRY_US = 10 * MINUTE_US
+
+
 def with_previous(
     df: DataFrame,
     columns: Sequence[str],
@@ -20,14 +24,13 @@ def with_previous(
     keys: Sequence[str] = STATION_KEY,
     time: str = "observed_at",
     reset_us: int = DAY_US,
-    bucket_us: int = HOUR_US,
-    hot_rows: int | None = HOT_ROWS,
+    bucket_us: int = CARRY_US,
 ) -> DataFrame:
     """Add ``_now`` and ``_previous`` (structs) of ``columns`` per key and reset period.
 
     ``_previous`` is null on the first row of a period. Rows are ordered inside short
-    buckets (seconds, where a bucket is hot); the last state of a bucket is carried to the
-    next non-empty one, so no task has to hold a whole period of one key.
+    buckets; the last state of a bucket is carried to the next non-empty one, so no task has
+    to hold a whole period of one key, and the input is not counted first.
     """
     if reset_us % bucket_us:
         raise ValueError("the bucket must divide the reset period")
@@ -37,22 +40,12 @@ def with_previous(
         micros(time).alias("_us"),
         F.struct(*columns).alias("_now"),
     ).withColumn(BUCKET, floor_div(us, bucket_us))
-    if hot_rows is None:
-        keyed = keyed.withColumn(SLICE, F.lit(0).cast("bigint"))
-    else:
-        hot = hot_buckets(keyed.select(*keys, "_us"), keys, us, bucket_us, hot_rows)
-        fine = F.when(F.col("_hot"), floor_div(us, SECOND_US)).otherwise(0)
-        keyed = (
-            keyed.join(F.broadcast(hot), [*keys, BUCKET], "left")
-            .withColumn(SLICE, fine)
-            .drop("_hot")
-        )
-    part = [*keys, BUCKET, SLICE]
+    part = [*keys, BUCKET]
 
     tails = keyed.groupBy(*part).agg(F.max_by("_now", "_us").alias("_tail"))
     periods = Window.partitionBy(
         *keys, floor_div(F.col(BUCKET), reset_us // bucket_us)
-    ).orderBy(BUCKET, SLICE)
+    ).orderBy(BUCKET)
     carried = tails.select(*part, F.lag("_tail").over(periods).alias("_carried")).where(
         F.col("_carried").isNotNull()
     )
@@ -63,7 +56,7 @@ def with_previous(
     return (
         inside.join(carried, part, "left")
         .withColumn("_previous", F.coalesce("_inside", "_carried"))
-        .drop("_us", BUCKET, SLICE, "_inside", "_carried")
+        .drop("_us", BUCKET, "_inside", "_carried")
     )
 
 

@@ -10,12 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stationflow import schemas as S
-from stationflow.functions.clock import DAY_US, MINUTE_US, cycle_position, local_hour
+from stationflow.functions.clock import MINUTE_US, cycle_position, local_hour
 from stationflow.functions.clock import local_weekday, micros
 from stationflow.functions.measures import occupancy_ratio
 from stationflow.operators.asof import asof_join, nearest_columns, within
-from stationflow.operators.buckets import BUCKET, HOME, HOT_ROWS, SLICE
-from stationflow.operators.buckets import hot_buckets, with_buckets
+from stationflow.operators.buckets import BUCKET, HOME, with_buckets
 from stationflow.operators.contract import require_columns
 from stationflow.operators.lookup import attach
 from stationflow.operators.rolling import running_totals, trailing_mean, trailing_std
@@ -28,8 +27,7 @@ STATUS_FLAGS = ("is_installed", "is_renting", "is_returning")
 class FeatureSpec:
     """Minutes and zone of the feature columns; defaults fit a 5-minute cycle.
 
-    ``hot_rows`` is the size above which one station's bucket is sliced; ``None`` skips the
-    counting pass, for histories known to be even.
+    ``bucket_us`` is the width of a station's time buckets; it follows from the reach if left out.
     """
 
     lags: tuple[int, ...] = S.LAG_MINUTES
@@ -38,8 +36,7 @@ class FeatureSpec:
     means: tuple[int, ...] = (30, 60)
     stds: tuple[int, ...] = (30,)
     zone: str = S.LOCAL_ZONE
-    bucket_us: int = DAY_US
-    hot_rows: int | None = HOT_ROWS
+    bucket_us: int | None = None
 
     @property
     def reach_us(self) -> int:
@@ -90,19 +87,10 @@ def _measured(
     ahead_us = 0 if label is None else sum(label) * MINUTE_US
     us, vehicles = F.col("_us"), F.col("num_vehicles_available")
     rows = raw.select(*S.RAW_COLUMNS, micros("observed_at").alias("_us"))
-    hot = None
-    if spec.hot_rows is not None:
-        hot = hot_buckets(rows, S.STATION_KEY, us, spec.bucket_us, spec.hot_rows)
     spread = with_buckets(
-        rows,
-        S.STATION_KEY,
-        us,
-        width_us=spec.bucket_us,
-        back_us=spec.reach_us,
-        ahead_us=ahead_us,
-        hot=hot,
+        rows, us, back_us=spec.reach_us, ahead_us=ahead_us, width_us=spec.bucket_us
     )
-    part = [*S.STATION_KEY, BUCKET, SLICE]
+    part = [*S.STATION_KEY, BUCKET]
     rising = Window.partitionBy(*part).orderBy(us)
 
     windowed = running_totals(rising, vehicles, means=spec.means, stds=spec.stds)
@@ -116,7 +104,7 @@ def _measured(
         derived.append(value.alias(f"lag_{m}m_vehicles"))
     derived += [trailing_mean(m).alias(f"roll_mean_{m}m") for m in spec.means]
     derived += [trailing_std(m).alias(f"roll_std_{m}m") for m in spec.stds]
-    measured = measured.select(*S.RAW_COLUMNS, "_us", BUCKET, SLICE, HOME, *derived)
+    measured = measured.select(*S.RAW_COLUMNS, "_us", BUCKET, HOME, *derived)
 
     if label is not None:
         horizon, tolerance = label

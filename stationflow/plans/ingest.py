@@ -221,13 +221,15 @@ def flatten_cycles(payloads: DataFrame, violations: DataFrame | None = None) ->
 
 
 def violation_preview(violations: DataFrame, size: int = 5) -> DataFrame:
-    """First distinct offending values per cycle and rule."""
-    return preview(
-        violations.where(F.col("value").isNotNull()),
-        "value",
-        by=["cycle_id", "rule"],
-        size=size,
-        distinct=True,
+    """First offending values per cycle and rule; of unknown vehicle types, distinct ones.
+
+    A station that several records name is listed as often, as the records are.
+    """
+    found = violations.where(F.col("value").isNotNull())
+    types = F.col("rule") == "unknown_vehicle_type"
+    by = ["cycle_id", "rule"]
+    return preview(found.where(types), "value", by=by, size=size, distinct=True).unionByName(
+        preview(found.where(~types), "value", by=by, size=size)
     )
 
 

@@ -40,6 +40,9 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"session time zone must be UTC, got {zone}")
 
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; one is made only where none is named."""
     context = spark.sparkContext
@@ -50,7 +53,9 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="stationflow-checkpoint-")
+        # one machine only; the folder goes when this process ends
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="stationflow-checkpoint-"))
+        shared = _LOCAL[-1].name
     context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 

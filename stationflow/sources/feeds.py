@@ -303,13 +303,33 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def from_bundles(lines: DataFrame) -> DataFrame:
-    """Payload rows from bundle lines ``{cycle_id, feed, payload}``."""
+# When a line landed: its file's time, then its name.
+FILE_ARRIVAL = "struct(_metadata.file_modification_time, _metadata.file_path)"
+
+
+def from_bundles(lines: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Payload rows from bundle lines ``{cycle_id, feed, payload}``.
+
+    ``arrival`` is SQL for a sortable ``arrived`` column, such as ``FILE_ARRIVAL``.
+    """
+    arrived = [] if arrival is None else [F.expr(arrival).alias("arrived")]
     return lines.select(
-        "cycle_id", cycle_time(F.col("cycle_id")).alias("observed_at"), "feed", "payload"
+        "cycle_id", cycle_time(F.col("cycle_id")).alias("observed_at"), "feed", "payload", *arrived
     )
 
 
+def last_arrivals(payloads: DataFrame) -> DataFrame:
+    """Each cycle's feeds as they landed last; without ``arrived`` nothing can be told apart.
+
+    The payloads themselves are not shuffled to compare arrivals. A feed that one file holds
+    twice stays twice, which is a violation.
+    """
+    if "arrived" not in payloads.columns:
+        return payloads
+    last = payloads.groupBy("cycle_id", "feed").agg(F.max("arrived").alias("arrived"))
+    return payloads.join(last, ["cycle_id", "feed", "arrived"], "left_semi").drop("arrived")
+
+
 # --- parsing -----------------------------------------------------------------
 
 

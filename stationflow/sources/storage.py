@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,29 +39,50 @@ def data_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has anything but marker files, one level down at most."""
+    names = [n for n in children(spark, path) if not n.startswith(("_", "."))]
+    return any(n.endswith(".parquet") or children(spark, f"{path}/{n}") for n in names)
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, target = _open(spark, path)
     return fs.delete(target, True)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small UTF-8 file, or None when it is missing."""
     fs, target = _open(spark, path)
     if not fs.exists(target):
         return None
     stream = fs.open(target)
     try:
-        return stream.readUTF()
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
     finally:
         stream.close()
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small UTF-8 file under another name, then put it in place in one step.
+
+    A reader finds the old content or the new one, never a part.
+    """
+    jvm = spark._jvm
     fs, target = _open(spark, path)
-    stream = fs.create(target, True)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    fs.mkdirs(target.getParent())
+    stream = fs.create(fresh, True)
     try:
-        stream.writeUTF(text)
+        stream.write(bytearray(text.encode()))
     finally:
         stream.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration()
+    )
+    files.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
 
 
 def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
@@ -73,7 +95,7 @@ def partition_days(spark: SparkSession, path: str) -> list[dt.date]:
             day = dt.date.fromisoformat(name.removeprefix("date="))
         except ValueError:
             continue
-        if data_files(spark, f"{path}/{name}"):
+        if has_data(spark, f"{path}/{name}"):
             days.append(day)
     return days
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +33,20 @@ def read_table(spark: SparkSession, path: str, table: str, *, strict: bool = Fal
 
 
 def read_serving(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A serving table, or an empty typed frame when it is missing or unreadable."""
+    """A serving table, or an empty typed frame when it is missing or unreadable.
+
+    All or nothing: one part whose footer cannot be read makes the whole table unreadable, and
+    damage further inside a part is an error for whoever reads it.
+    """
     schema = S.TABLE_SCHEMAS[table]
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     try:
-        reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true")
-        return reader.parquet(path).select(*schema.fieldNames())
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+        rows.count()  # from the footers of all parts
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
+    return rows
 
 
 def read_jdbc(
@@ -75,7 +81,7 @@ def read_staged(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Every staged snapshot, with its ``date`` and ``cycle`` partition columns."""
     path, schema = staged_path(root, table), T.StructType(list(S.TABLE_SCHEMAS[table]))
     schema = schema.add("date", T.DateType()).add("cycle", T.StringType())
-    if not storage.data_files(spark, path):
+    if not storage.children(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -136,8 +137,8 @@ def test_collapse(spark, tmp_path):
     assert changes.collapse_changes(collapsed).count() == 3
 
 
-@pytest.mark.parametrize("hot_rows", [None, 5, 10**6])
-def test_collapse_matches_brute_force_over_gaps(spark, hot_rows):
+@pytest.mark.parametrize("bucket_us", [changes.CARRY_US, 3600 * 10**6])
+def test_collapse_matches_brute_force_over_gaps(spark, bucket_us):
     """States carried over empty hours and reset at midnight, one busy station."""
     rng = random.Random(11)
     points = []
@@ -151,7 +152,7 @@ def test_collapse_matches_brute_force_over_gaps(spark, hot_rows):
         if key not in last or last[key] != capacity:
             expected.add((station, time))
         last[key] = capacity
-    out = changes.collapse_changes(station_rows(spark, points), hot_rows=hot_rows).collect()
+    out = changes.collapse_changes(station_rows(spark, points), bucket_us=bucket_us).collect()
     assert {(r.station_id, r.observed_at.replace(tzinfo=dt.timezone.utc)) for r in out} == expected
 
 
@@ -218,6 +219,26 @@ def test_serving_table_missing_or_corrupt(spark, tmp_path):
     broken.mkdir()
     (broken / "part-0.parquet").write_bytes(b"this is not parquet")
     assert tables.read_serving(spark, str(broken), S.STATIONS).count() == 0
+    # one bad part among several: all or nothing, never a part
+    points = [(at(2026, 9, 10), f"s{i}", i) for i in range(40)]
+    several = str(tmp_path / "several")
+    status_rows(spark, points).repartition(4).write.parquet(several)
+    assert tables.read_serving(spark, several, S.STATION_STATUS).count() == 40
+    (tmp_path / "several" / "part-9.parquet").write_bytes(b"PAR1 damaged PAR1")
+    assert tables.read_serving(spark, several, S.STATION_STATUS).count() == 0
+
+
+def test_small_files_are_plain_and_replaced_whole(spark, tmp_path):
+    from stationflow.sources import storage
+
+    path, text = str(tmp_path / "new" / "metadata.json"), json.dumps({"é": "x" * 100_000})
+    storage.write_text(spark, path, "old")
+    storage.write_text(spark, path, text)
+    assert json.loads((tmp_path / "new" / "metadata.json").read_bytes()) == json.loads(text)
+    assert storage.read_text(spark, path) == text
+    assert [p.name for p in (tmp_path / "new").iterdir() if not p.name.startswith(".")] == [
+        "metadata.json"
+    ]
 
 
 @pytest.mark.parametrize(

@@ -125,16 +125,14 @@ def reference_rows(points, lags, tolerance, means, horizon, label_tolerance):
     return out
 
 
-@pytest.mark.parametrize(
-    "bucket_us, hot_rows", [(HOUR_US, None), (24 * HOUR_US, 10**9), (24 * HOUR_US, 50)]
-)
-def test_matches_brute_force_across_buckets(make_raw, make_stations, bucket_us, hot_rows):
+@pytest.mark.parametrize("bucket_us", [None, HOUR_US, 24 * HOUR_US])
+def test_matches_brute_force_across_buckets(make_raw, make_stations, bucket_us):
     """Irregular times, a bucket narrower than the reach, and one station with most rows."""
     rng = random.Random(7)
     hot = sorted(rng.sample(range(0, 4000), 700))
     points = {"A": [(m, rng.randint(0, 30)) for m in hot], "B": [(m, 1) for m in (0, 700, 705)]}
     raw = make_raw(points["A"]).unionByName(make_raw(points["B"], station="B"))
-    spec = FeatureSpec(bucket_us=bucket_us, stds=(30, 60), hot_rows=hot_rows)
+    spec = FeatureSpec(bucket_us=bucket_us, stds=(30, 60))
     stations = make_stations(("A", 20), ("B", 5))
     features = compute_features(raw, stations, spec).cache()
     fused = labeled_features(raw, stations, spec, horizon_minutes=120, tolerance_minutes=10)
@@ -178,8 +176,8 @@ def test_asof_between_tables_keeps_null_apart_from_no_match(spark):
 
 
 @pytest.mark.parametrize("strategy", ["backward", "forward"])
-@pytest.mark.parametrize("hot_rows", [None, 20])
-def test_asof_join_matches_brute_force(spark, strategy, hot_rows):
+@pytest.mark.parametrize("bucket_us", [None, 24 * HOUR_US])
+def test_asof_join_matches_brute_force(spark, strategy, bucket_us):
     rng = random.Random(3)
     start = at(2026, 1, 1)
     lefts = [(k, rng.randrange(3000)) for k in "aaaab" for _ in range(60)]
@@ -193,7 +191,7 @@ def test_asof_join_matches_brute_force(spark, strategy, hot_rows):
     )
     out = asof_join(
         left, right, by=["k"], left_time="t", right_time="u", values={"v": "v"},
-        strategy=strategy, offset_minutes=7, tolerance_minutes=15, hot_rows=hot_rows,
+        strategy=strategy, offset_minutes=7, tolerance_minutes=15, bucket_us=bucket_us,
     )
     steps = [s if strategy == "forward" else -s for s in range(16)]
     want = sorted(
@@ -203,6 +201,14 @@ def test_asof_join_matches_brute_force(spark, strategy, hot_rows):
     assert sorted((r.k, r.m, -1 if r.v is None else r.v) for r in out.collect()) == want
 
 
+def test_the_input_is_read_once(spark, make_raw, make_stations, tmp_path):
+    make_raw(EVERY_FIVE).write.parquet(str(tmp_path / "status"))
+    raw = spark.read.parquet(str(tmp_path / "status"))
+    plan = labeled_features(raw, make_stations(("A", 20)))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 1
+
+
 def test_one_shuffle_for_all_frames(make_raw, make_stations):
     plan = labeled_features(make_raw(EVERY_FIVE), make_stations(("A", 20)))
     text = plan._jdf.queryExecution().optimizedPlan().toString()

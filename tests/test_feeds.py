@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from feed_fixtures import bundle_lines, cycle
+from feed_fixtures import TANDEM, bundle_lines, cycle
 from stationflow.plans import ingest as I
 from stationflow.sources import feeds as G
 
@@ -40,7 +40,7 @@ BROKEN = {
     "negative": ({STATUS + "num_vehicles_available": -1}, "count"),
     "fraction": ({STATUS + "num_vehicles_available": 1.5}, "count"),
     "no_count": ({STATUS + "num_vehicles_available": None}, "required"),
-    "bad_entry": ({STATUS + "vehicle_types_available": [{"vehicle_type_id": "CLASSIC"}]}, "counts"),
+    "bad_entry": ({STATUS + "vehicle_types_available": [{"vehicle_type_id": TANDEM}]}, "counts"),
     "bad_flag": ({STATUS + "is_renting": "maybe"}, "flag"),
     "bad_time": ({STATUS + "last_reported": "yesterday"}, "time"),
     "plain_name": ({INFO + "name": "Main St"}, "localized"),
@@ -63,7 +63,7 @@ BROKEN = {
     "empty": ({"station_status__data": {"stations": []}}, "no_rows"),
     "unknown_station": ({STATUS + "station_id": "ghost"}, "unknown_station"),
     "unknown_type": (
-        {STATUS + "vehicle_types_available": [{"vehicle_type_id": "CARGO_TRIKE", "count": 1}]},
+        {STATUS + "vehicle_types_available": [{"vehicle_type_id": "rickshaw-1", "count": 1}]},
         "unknown_vehicle_type",
     ),
 }
@@ -89,24 +89,24 @@ def test_each_rule_rejects_its_cycle_only(spark):
     assert found["20260910T160000Z"] == {"object"}
     assert "20260910T130000Z" not in found
     status, stations = result.status.collect(), result.stations.collect()
-    assert len(status) == len(stations) == 1
-    assert (status[0].num_vehicles_electric, status[0].num_vehicles_human) == (2, 5)
-    assert (status[0].num_vehicles_disabled, status[0].num_docks_disabled) == (3, 1)
-    assert stations[0].station_name == "Station One" and stations[0].capacity == 20
+    assert len(status) == len(stations) == 1 and status[0].num_vehicles_available == 11
+    assert (status[0].num_vehicles_electric, status[0].num_vehicles_human) == (10, 1)
+    assert (status[0].num_vehicles_disabled, status[0].num_docks_disabled) == (2, 0)
+    assert stations[0].station_name == "Harbour Steps" and stations[0].capacity == 31
     with pytest.raises(I.FeedError, match="num_vehicles_available"):
         I.require_clean(result.violations.where("rule = 'count'"))
 
 
 def test_lenient_values_are_accepted(spark):
     feeds = changed(**{
-        STATUS + "num_vehicles_available": "7", STATUS + "is_renting": 1,
+        STATUS + "num_vehicles_available": "11", STATUS + "is_renting": 1,
         STATUS + "last_reported": 1788000000, INFO + "lat": "43.5",
-        STATUS + "num_docks_available": 13.0, STATUS + "surprise": {"a": [1]},
+        STATUS + "num_docks_available": 18.0, STATUS + "surprise": {"a": [1]},
     })
     result = I.flatten_cycles(landed(spark, (CYCLE, feeds)))
     assert result.violations.count() == 0
     row = result.status.first()
-    assert row.num_vehicles_available == 7 and row.is_renting and row.num_docks_available == 13
+    assert row.num_vehicles_available == 11 and row.is_renting and row.num_docks_available == 18
     I.require_clean(result.violations)
 
 
@@ -127,7 +127,7 @@ def test_object_check(spark):
 
 
 def test_landed_files(spark, tmp_path):
-    for name, body in cycle().items():
+    for name, body in cycle(stations=3).items():
         path = tmp_path / CYCLE / f"{name}.json"
         path.parent.mkdir(exist_ok=True)
         path.write_text(json.dumps(body, indent=1))
@@ -135,10 +135,29 @@ def test_landed_files(spark, tmp_path):
     assert {(r.cycle_id, r.feed) for r in rows.collect()} == {(CYCLE, f) for f in cycle()}
     assert G.complete_cycles(rows).first().complete
     urls = {r.feed: r.url for r in G.resolve_feed_urls(rows).collect()}
-    assert urls["station_status"] == "https://x.example.org/station_status.json"
+    assert urls["station_status"] == "https://feeds.example.net/station_status.json"
     summary = I.ingestion_summary(rows).first()
-    assert (summary.station_count, summary.status_count) == (1, 1)
-    assert summary.matched_station_status_count == summary.processed_station_status_count == 1
+    assert (summary.station_count, summary.status_count) == (3, 3)
+    assert summary.matched_station_status_count == summary.processed_station_status_count == 3
+
+
+def test_three_stations_of_one_cycle(spark):
+    rows = I.flatten_cycles(landed(spark, (CYCLE, cycle(stations=3)))).status.collect()
+    split = {r.station_id: (r.num_vehicles_electric, r.num_vehicles_human) for r in rows}
+    assert split == {"q-101": (10, 1), "q-102": (0, 3), "q-103": (0, 0)}
+
+
+def test_preview_repeats_stations_but_not_types(spark):
+    feeds = cycle(stations=2)
+    for record in feeds["station_status"]["data"]["stations"]:
+        record["station_id"] = "ghost"
+    types = cycle(stations=2)
+    for record in types["station_status"]["data"]["stations"]:
+        record["vehicle_types_available"] = [{"vehicle_type_id": "sled", "count": 1}]
+    found = I.cycle_violations(landed(spark, (CYCLE, feeds), ("20260910T120500Z", types)))
+    shown = {r.rule: r.preview for r in I.violation_preview(found).collect()}
+    assert list(shown["unknown_station"]) == ["ghost", "ghost"]
+    assert list(shown["unknown_vehicle_type"]) == ["sled"]
 
 
 def test_rules_table(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import at
@@ -80,6 +82,24 @@ def test_cycles_replays_gaps_and_bad_cycles(spark, tmp_path):
     assert [s.capacity for s in stations] == [33]
 
 
+@pytest.mark.parametrize("files_per_batch", [1, 100])
+def test_a_cycle_landed_twice_counts_as_it_landed_last(spark, tmp_path, files_per_batch):
+    landing, root = tmp_path / "landing", tmp_path / "root"
+    landing.mkdir()
+    for name, vehicles, second in (("b-first", 3, 100), ("a-last", 8, 200)):
+        path = write_bundle(landing, stamp(0), feeds(vehicles)).rename(landing / f"{name}.json")
+        os.utime(path, (1_788_000_000 + second,) * 2)
+    query = start_ingest(
+        spark, str(landing), str(root), str(root) + "-checkpoint", once=True,
+        files_per_batch=files_per_batch, now=lambda: at(2026, 9, 10, 12, 30),
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+    assert window(spark, root) == [8]
+    log = spark.read.parquet(f"{root}/ingestion_runs")
+    assert log.where("status = 'failure'").count() == 0
+
+
 def test_running_a_batch_twice_changes_nothing(spark, tmp_path):
     from stationflow.sources.feeds import BUNDLE_SCHEMA, from_bundles
     from stationflow.streaming.ingest import ingest_batch
