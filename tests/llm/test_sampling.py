@@ -268,7 +268,8 @@ def test_scores_of_documents(odd_docs, corpus, no_docs, bpe, monkeypatch):
         for r in rows
     )
     assert found == wanted
-    assert all(-20 * r["n_tokens"] < r["score"] < 0 or r["n_tokens"] > 3000 for r in rows)
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert all(r["score"] > -20 * r["n_tokens"] for r in rows if (r["doc_id"] or 0) < 60)
     assert S.score_documents(no_docs, train, bpe).count() == 0
     untaught = S.score_documents(odd_docs, no_docs, bpe).collect()
     assert len(untaught) == len(corpus) and all(r["n_known"] == 0 for r in untaught)
