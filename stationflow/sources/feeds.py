@@ -66,8 +66,16 @@ def nested(x: str, ddl: str) -> str:
     return f"from_json({x}, '{ddl}')"
 
 
+def kind(x: str) -> str:
+    """What a variant holds; VOID is a JSON null."""
+    return f"schema_of_variant({x})"
+
+
 # --- rules -------------------------------------------------------------------
 
+# The fields of a record that should be texts and are not.
+ODD = "_odd"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -88,7 +96,12 @@ def _values(values: tuple[str, ...]) -> str:
 
 
 def text_rule(path: str, required: bool = True) -> Rule:
-    return Rule(path, "text", lambda x: "false", required)
+    """A value must be a JSON text; ``parse`` notes the fields of a record that are not."""
+
+    def broken(x: str) -> str:
+        return f"array_contains({x.rpartition('.')[0]}.{ODD}, '{path}')"
+
+    return Rule(path, "text", broken, required)
 
 
 def count_rule(path: str, required: bool = False) -> Rule:
@@ -155,7 +168,16 @@ def area_rule(path: str) -> Rule:
 
 
 def uris_rule(path: str) -> Rule:
-    return Rule(path, "uris", lambda x: f"json_object_keys({x}) IS NULL")
+    """An object of texts."""
+    links = "map_values({})".format(nested("{x}", "map<string, variant>"))
+
+    def broken(x: str) -> str:
+        return (
+            f"json_object_keys({x}) IS NULL OR NOT coalesce("
+            f"forall({links.format(x=x)}, e -> e IS NULL OR {kind('e')} IN ('STRING', 'VOID')), false)"
+        )
+
+    return Rule(path, "uris", broken)
 
 
 ENVELOPE_RULES = (
@@ -174,13 +196,48 @@ class Feed:
     fields: str
     rules: tuple[Rule, ...]
 
+    @property
+    def texts(self) -> tuple[str, ...]:
+        """Fields whose JSON type matters."""
+        return tuple(r.path for r in self.rules if r.name == "text")
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(f.split()[0] for f in self.fields.split(","))
+
     @property
     def body(self) -> str:
-        inner = self.fields
-        if self.list_field:
-            inner = f"{self.list_field} array<struct<{self.fields}>>"
+        fields = ", ".join(
+            f"{n} {'variant' if n in self.texts else 'string'}" for n in self.names
+        )
+        inner = f"{self.list_field} array<struct<{fields}>>" if self.list_field else fields
         return f"last_updated string, ttl string, version string, data struct<{inner}>"
 
+    def plain(self, body: str) -> str:
+        """SQL of the parsed body with texts as strings, and each record's odd fields noted."""
+
+        def record(e: str) -> str:
+            fields, odd = [], []
+            for name in self.names:
+                x = f"{e}.{name}"
+                if name in self.texts:
+                    odd.append(f"CASE WHEN {kind(x)} NOT IN ('STRING', 'VOID') THEN '{name}' END")
+                    x = (
+                        f"CASE {kind(x)} WHEN 'STRING' THEN variant_get({x}, '$', 'string')"
+                        f" WHEN 'VOID' THEN NULL ELSE to_json({x}) END"
+                    )
+                fields.append(f"'{name}', {x}")
+            noted = f"array_compact(array({', '.join(odd) or 'CAST(NULL AS STRING)'}))"
+            return f"if({e} IS NULL, NULL, named_struct({', '.join(fields)}, '{ODD}', {noted}))"
+
+        if self.list_field is None:
+            data = record(f"{body}.data")
+        else:
+            inner = f"transform({body}.data.{self.list_field}, e -> {record('e')})"
+            data = f"if({body}.data IS NULL, NULL, named_struct('{self.list_field}', {inner}))"
+        kept = ", ".join(f"'{n}', {body}.{n}" for n in ("last_updated", "ttl", "version"))
+        return f"if({body} IS NULL, NULL, named_struct({kept}, 'data', {data}))"
+
 
 def _text_fields(*names: str) -> str:
     return ", ".join(f"{name} string" for name in names)
@@ -225,6 +282,11 @@ FEEDS = {
                 range_rule("lat", -90.0, 90.0),
                 range_rule("lon", -180.0, 180.0),
                 texts_rule("short_name"),
+                *[
+                    text_rule(name, required=False)
+                    for name in ("address", "cross_street", "region_id", "post_code",
+                                 "station_opening_hours", "contact_phone")
+                ],
                 enum_list_rule("rental_methods", S.RENTAL_METHODS),
                 flag_rule("is_virtual_station"),
                 area_rule("station_area"),
@@ -352,7 +414,9 @@ def parse(payloads: DataFrame, feed: str) -> DataFrame:
         "cycle_id",
         "observed_at",
         is_json_object().alias("is_object"),
-        F.from_json("payload", FEEDS[feed].body).alias("body"),
+        F.from_json("payload", FEEDS[feed].body).alias("raw"),
+    ).select(
+        "cycle_id", "observed_at", "is_object", F.expr(FEEDS[feed].plain("raw")).alias("body")
     )
 
 

@@ -61,6 +61,13 @@ BROKEN = {
     "feed_url": ({"gbfs__data__feeds__0__url": "not a url"}, "url"),
     "no_list": ({"station_status__data": {}}, "required"),
     "empty": ({"station_status__data": {"stations": []}}, "no_rows"),
+    "number_id": ({STATUS + "station_id": 7}, "text"),
+    "object_id": ({INFO + "station_id": {"a": 1}}, "text"),
+    "number_system": ({"system_information__data__system_id": 12}, "text"),
+    "number_type": ({"vehicle_types__data__vehicle_types__0__vehicle_type_id": 3}, "text"),
+    "number_address": ({INFO + "address": 5}, "text"),
+    "flag_phone": ({INFO + "contact_phone": True}, "text"),
+    "uri_member": ({INFO + "rental_uris": {"web": 5}}, "uris"),
     "unknown_station": ({STATUS + "station_id": "ghost"}, "unknown_station"),
     "unknown_type": (
         {STATUS + "vehicle_types_available": [{"vehicle_type_id": "rickshaw-1", "count": 1}]},
@@ -102,6 +109,8 @@ def test_lenient_values_are_accepted(spark):
         STATUS + "num_vehicles_available": "11", STATUS + "is_renting": 1,
         STATUS + "last_reported": 1788000000, INFO + "lat": "43.5",
         STATUS + "num_docks_available": 18.0, STATUS + "surprise": {"a": [1]},
+        INFO + "cross_street": "", INFO + "rental_uris": {"web": "https://x.example.net", "ios": "y"},
+        INFO + "post_code": "K7L",
     })
     result = I.flatten_cycles(landed(spark, (CYCLE, feeds)))
     assert result.violations.count() == 0
