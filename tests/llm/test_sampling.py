@@ -181,13 +181,13 @@ def test_piece_counts_are_the_librarys(docs, corpus, sp_model, pieces):
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    model = A.Parameters.start(50, 20)
+    model = A.Parameters.start(50, 3 * A.GROUP)
     model = A.Parameters({k: v.astype(np.float64) for k, v in model.values.items()})
     lengths = np.array([5, 130, A.SCORED, 1])
     rows, exists = A.windows(lengths)
     assert exists[:, A.CONTEXT:].sum() == lengths.sum()
     inputs = np.where(exists, rng.integers(0, 50, lengths.sum())[rows], 0)
-    targets = np.where(exists, rng.integers(0, 20, lengths.sum())[rows], -1)[:, A.CONTEXT:]
+    targets = np.where(exists, rng.integers(0, 3 * A.GROUP, lengths.sum())[rows], -1)[:, A.CONTEXT:]
     _, slopes = A.gradient(model, inputs, exists, targets)
     for name in A.NAMES:
         value = model.values[name]
@@ -214,16 +214,17 @@ def plain_odds(model, inputs, place):
     seen = sum(weight[i] * (x[i] @ p["value"]) for i in x) / sum(weight.values())
     mixed = x[place] + seen @ p["mixed"]
     top = mixed + np.maximum(mixed @ p["grow"], 0) @ p["shrink"]
-    return np.exp(top @ p["out"] + p["bias"])
+    return np.exp(top @ p["top"] + p["top_bias"]), top @ p["out"] + p["bias"]
 
 
 def test_windows_score_every_place_once_as_by_loops():
     rng = np.random.default_rng(1)
-    model = A.Parameters.start(40, 9)
+    model = A.Parameters.start(40, 2 * A.GROUP)
     lengths = np.array([3, 2 * A.SCORED + 7])
     rows, exists = A.windows(lengths)
     symbols = rng.integers(0, 40, lengths.sum())
-    odds = A.forward(model, symbols[rows], exists).reshape(len(rows), A.SCORED, 9)
+    odds, scores = A.forward(model, symbols[rows], exists)
+    odds, scores = (v.reshape(len(rows), A.SCORED, -1) for v in (odds, scores))
     begins = np.cumsum(lengths) - lengths
     scored = Counter()
     for row, line in enumerate(rows[:, A.CONTEXT:]):
@@ -232,7 +233,8 @@ def test_windows_score_every_place_once_as_by_loops():
                 scored[place] += 1
                 text = int(place >= begins[1])
                 wanted = plain_odds(model, symbols[begins[text]:], place - begins[text])
-                assert np.allclose(odds[row, at], wanted, rtol=1e-3)
+                assert np.allclose(odds[row, at], wanted[0], rtol=1e-3)
+                assert np.allclose(scores[row, at], wanted[1], rtol=1e-3, atol=1e-4)
     assert scored == Counter(range(lengths.sum()))
 
 
