@@ -191,6 +191,58 @@ def _(v):
     return G.feed_verdicts(payloads(v))
 
 
+@query(
+    "replayed_cycle_last_wins",
+    f"""WITH {EVENTS}, found AS ({RULES_SQL})
+SELECT cycle_id, feed, e % 2 = 0 AND NOT EXISTS (
+  SELECT 1 FROM found f WHERE f.cycle_id = ev.cycle_id AND f.feed = n.feed) AS valid
+FROM ev, (SELECT unnest(['gbfs', 'system_information', 'vehicle_types', 'station_information',
+                         'station_status']) AS feed) n
+WHERE NOT (feed = 'vehicle_types' AND e % 29 = 2)""",
+)
+def _(v):
+    """Every cycle lands twice, once broken: first in even cycles, last in odd ones."""
+    rows, odd = payloads(v), F.col("cycle_id").cast("bigint") % 2
+    landed = rows.withColumn("arrived", F.lit(2)).unionByName(
+        rows.withColumn("payload", F.lit("[]")).withColumn("arrived", 1 + 2 * odd.cast("int"))
+    )
+    return G.feed_verdicts(G.last_arrivals(landed))
+
+
+@query(
+    "text_type_violations",
+    f"""WITH {EVENTS}
+SELECT cycle_id, 'station_information' AS feed, 0 AS pos, 'station_id' AS path, 'text' AS rule,
+       CAST(u AS VARCHAR) AS value FROM ev WHERE e % 5 = 1
+UNION ALL SELECT cycle_id, 'station_information', 0, 'address', 'text', '{{"n":' || u || '}}'
+FROM ev WHERE e % 5 = 2
+UNION ALL SELECT cycle_id, 'station_information', 0, 'rental_uris', 'uris', '{{"web":' || u || '}}'
+FROM ev WHERE e % 5 = 3
+UNION ALL SELECT cycle_id, 'station_information', 0, 'rental_methods', 'enum',
+       '["cash","phone"]' FROM ev WHERE e % 5 = 4
+UNION ALL SELECT cycle_id, 'station_information', 0, 'lat', 'required', NULL
+FROM ev WHERE e % 5 = 0""",
+)
+def _(v):
+    """Numbers and objects where texts belong, a bad link, a bad method, a missing field."""
+    rows = payloads(v).where(F.col("feed") == G.STATION_INFORMATION)
+    kind = F.col("cycle_id").cast("bigint") % 5
+
+    def changed(pattern, by):
+        return F.regexp_replace("payload", pattern, by)
+
+    payload = (
+        F.when(kind == 1, changed('"station_id":"st-([0-9]+)"', '"station_id":$1'))
+        .when(kind == 2, changed('"address":"([0-9]+) Main St"', '"address":{"n":$1}'))
+        .when(kind == 3, changed('("station_id":"st-)([0-9]+)(")', '"rental_uris":{"web":$2},$1$2$3'))
+        .when(kind == 4, changed('"key","phone"', '"cash","phone"'))
+        .otherwise(changed(',"lat":[0-9.]+', ""))
+    )
+    found = G.feed_violations(rows.withColumn("payload", payload), G.STATION_INFORMATION)
+    paths = ("station_id", "address", "rental_uris", "rental_methods", "lat")
+    return found.where(F.col("path").isin(*paths) & (F.col("rule") != "range"))
+
+
 @query(
     "complete_cycles",
     f"""WITH {EVENTS}
