@@ -27,8 +27,9 @@ from stationflow.llm.shingles import mix, shingle_sets
 from stationflow.llm.text import documents
 from stationflow.session import settle
 
-#: Per cent of the union that two sets must share.
-LEAST_PERCENT = 85
+#: Per cent of the union that two sets must share, and what the query asks for.
+LEAST_PERCENT = 80
+QUERY_PERCENT = 85
 SEED = 11
 #: Minima of a signature (each kept as one byte), trees, and minima that make a region.
 MINIMA = 512
@@ -134,14 +135,14 @@ def _agreement(signatures: np.ndarray) -> np.ndarray:
 
 
 def _candidates(
-    signatures: np.ndarray, deep: np.ndarray, groups: np.ndarray | None
+    signatures: np.ndarray, deep: np.ndarray, groups: np.ndarray | None, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one region worth confirming.
 
     Without ``groups``, each row's two best partners; with them, all pairs of different groups.
     """
     left, right = [], []
-    least = LEAST_PERCENT / 100 - MARGIN
+    least = percent / 100 - MARGIN
     for low, high in _pieces(deep, 0, len(signatures)):
         if groups is not None and (groups[low:high] == groups[low]).all():
             continue
@@ -164,7 +165,7 @@ def _candidates(
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidate_pairs(rows: DataFrame, grouped: bool) -> DataFrame:
+def candidate_pairs(rows: DataFrame, grouped: bool, percent: int) -> DataFrame:
     """Distinct pairs ``u, v`` of classes from ``tree, region, class, signature[, component]``.
 
     The orders of all trees are one range sort, so a region of any size is spread over tasks; a
@@ -191,7 +192,7 @@ def candidate_pairs(rows: DataFrame, grouped: bool) -> DataFrame:
         for low, high in zip(starts, [*starts[1:], part.num_rows]):
             if high - low > 1:
                 of_region = None if groups is None else groups[low:high]
-                a, b = _candidates(signatures[low:high], deep[low:high], of_region)
+                a, b = _candidates(signatures[low:high], deep[low:high], of_region, percent)
                 for i, j in zip(a.tolist(), b.tolist()):
                     one, two = names[low + i], names[low + j]
                     if one != two:
@@ -265,7 +266,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
     return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = sets.select(F.col("class").alias("u"), F.col("shingles").alias("of_u"))
     right = sets.select(F.col("class").alias("v"), F.col("shingles").alias("of_v"))
@@ -277,24 +278,27 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for one, two in zip(batch.column("of_u"), batch.column("of_v")):
                 a = np.frombuffer(one.as_buffer(), "<u8")
                 b = np.frombuffer(two.as_buffer(), "<u8")
-                verdict.append(similar(a, b))
+                verdict.append(similar(a, b, percent))
             yield batch.select(["u", "v"]).filter(pa.array(verdict, pa.bool_()))
 
     return both.select("u", "v", "of_u", "of_v").mapInArrow(confirm, "u binary, v binary")
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets share enough of their union."""
-    if 100 * min(len(a), len(b)) < LEAST_PERCENT * max(len(a), len(b)):
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     together = np.concatenate([a, b])
     together.sort(kind="stable")
     shared = int((together[1:] == together[:-1]).sum())
-    return 100 * shared >= LEAST_PERCENT * (len(a) + len(b) - shared)
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = LEAST_PERCENT,
 ) -> DataFrame:
     """``id, n_shingles, component_id, kept`` of every row.
 
@@ -323,8 +327,8 @@ def near_duplicates(
     forest = settle(shared.join(partners.select("class", "signature"), "class"))
     sets = settle(_full_sets(docs, partners, id_column, text_column))
 
-    best = settle(candidate_pairs(forest, grouped=False))
-    links = settle(confirmed(best, sets))
+    best = settle(candidate_pairs(forest, False, percent))
+    links = settle(confirmed(best, sets, percent))
     found = settle(components(links))
 
     component = F.coalesce("component", "class").alias("component")
@@ -344,9 +348,9 @@ def near_duplicates(
         )
     )
     others = settle(
-        candidate_pairs(open_rows, grouped=True).join(best, ["u", "v"], "left_anti")
+        candidate_pairs(open_rows, True, percent).join(best, ["u", "v"], "left_anti")
     )
-    more = settle(confirmed(others, sets))
+    more = settle(confirmed(others, sets, percent))
     joined = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     found = settle(components(joined))
 
@@ -370,17 +374,20 @@ def near_duplicates(
 
 
 def near_duplicate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=QUERY_PERCENT)
 
 
 def keep_one_of_each(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    percent: int = LEAST_PERCENT,
 ) -> DataFrame:
     """The documents of ``docs`` without those that a near duplicate with a smaller id stands for.
 
     Rows that repeat a kept id all stay; documents with a null id stay.
     """
-    gone = near_duplicates(docs, id_column, text_column).where("not kept").select(
+    gone = near_duplicates(docs, id_column, text_column, percent).where("not kept").select(
         F.col(id_column).alias("_gone")
     )
     return docs.join(gone.distinct(), F.col(id_column) == F.col("_gone"), "left_anti")

@@ -22,7 +22,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def groups(texts):
+def groups(texts, percent):
     """Smallest place that links reach, by brute force."""
     sets = [shingles(t) for t in texts]
     home = list(range(len(texts)))
@@ -30,7 +30,7 @@ def groups(texts):
     links = [
         (i, j) for i in range(len(texts)) for j in range(i)
         if sets[i] and sets[j]
-        and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])
+        and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
     ]
     while changed:
         changed = False
@@ -61,13 +61,14 @@ def family(seed, n):
     return texts
 
 
-def test_near_duplicates_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, percent):
     # small pieces, so that regions of this family are cut and both passes have work
     monkeypatch.setattr(N, "PIECE", 24)
     texts = [t for seed, n in ((1, 90), (2, 30), (3, 3)) for t in family(seed, n)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    rows = sorted(N.near_duplicates(docs).collect())
-    assert [r["component_id"] for r in rows] == groups(texts)
+    rows = sorted(N.near_duplicates(docs, percent=percent).collect())
+    assert [r["component_id"] for r in rows] == groups(texts, percent)
     assert [r["n_shingles"] for r in rows] == [len(shingles(t)) for t in texts]
 
 
