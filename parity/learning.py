@@ -16,7 +16,7 @@ from stationflow.plans.features import compute_features, labeled_features
 from stationflow.session import settle
 
 LOOKBACK = 2880
-SETTINGS = T.TreeSettings(rounds=10, depth=4)
+SETTINGS = T.TreeSettings()
 
 NUMERIC = SPEC.columns[1:]
 MODEL_OUT = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in NUMERIC)

@@ -25,14 +25,17 @@ PREDICTED = "predicted"
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Boosting settings; depth 6 holds about as many leaves as a 63-leaf tree."""
+    """Boosting settings; depth 6 holds about as many leaves as a 63-leaf tree.
+
+    Boosting stops after ``patience`` rounds without a smaller error on the val rows.
+    """
 
     rounds: int = 500
     step: float = 0.05
     depth: int = 6
     min_rows_per_leaf: int = 50
     seed: int = 42
-    validation_tolerance: float = 0.001
+    patience: int = 30
 
 
 def _inputs(spec: FeatureSpec) -> list[str]:
@@ -69,25 +72,71 @@ def assemble(
 def fit(
     assembled: DataFrame, n_codes: int, settings: TreeSettings = TreeSettings()
 ) -> GBTRegressionModel:
-    """Fit on the train rows, stopping early by the val rows."""
+    """Fit on the train rows; the trees up to the best round on the val rows are kept.
+
+    A fit of fewer rounds is the beginning of a longer one, so rounds are doubled until the best
+    one is followed by ``patience`` without gain or the settings' rounds are used up.
+    """
     shared_folder(assembled.sparkSession)
-    rows = assembled.where(F.col("split").isin("train", "val")).withColumn(
-        "is_validation", F.col("split") == "val"
-    )
-    trees = GBTRegressor(
+    train_rows = assembled.where(F.col("split") == "train")
+    val_rows = assembled.where(F.col("split") == "val")
+    rounds = min(settings.rounds, 2 * settings.patience)
+    while True:
+        model = _boosted(n_codes, settings, rounds).fit(train_rows)
+        errors = model.evaluateEachIteration(val_rows, "squared")
+        best = best_round(errors, settings.patience)
+        if best + settings.patience <= rounds or rounds >= settings.rounds:
+            return first_trees(model, best)
+        rounds = min(settings.rounds, 2 * rounds)
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """The first round that no round within ``patience`` after it improves on; counted from 1.
+
+    Errors that are not numbers (no val rows) stop nothing: all rounds are kept.
+    """
+    best = 0
+    for place, error in enumerate(errors):
+        if not error < errors[best] and place:
+            if place - best >= patience:
+                break
+        else:
+            best = place
+    return len(errors) if errors and errors[best] != errors[best] else best + 1
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The same model with its first ``n`` trees."""
+    if n >= model.getNumTrees:
+        return model
+    own, spark = model._java_obj, SparkSession.getActiveSession()
+    gateway = spark.sparkContext._gateway
+    regression = spark._jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = own.trees()[i], own.treeWeights()[i]
+    short = regression.GBTRegressionModel(own.uid(), trees, weights, own.numFeatures())
+    kept = GBTRegressionModel(short)
+    kept._resetUid(own.uid())
+    for name in ("featuresCol", "labelCol", "predictionCol"):
+        short.set(short.getParam(name), own.getOrDefault(own.getParam(name)))
+    kept._transfer_params_from_java()
+    return kept
+
+
+def _boosted(n_codes: int, settings: TreeSettings, rounds: int) -> GBTRegressor:
+    return GBTRegressor(
         labelCol=DELTA,
         featuresCol="features",
         predictionCol=PREDICTED_DELTA,
-        maxIter=settings.rounds,
+        maxIter=rounds,
         stepSize=settings.step,
         maxDepth=settings.depth,
         minInstancesPerNode=settings.min_rows_per_leaf,
         seed=settings.seed,
         maxBins=max(32, n_codes),
-        validationIndicatorCol="is_validation",
-        validationTol=settings.validation_tolerance,
     )
-    return trees.fit(rows)
 
 
 def predict(model: GBTRegressionModel, assembled: DataFrame) -> DataFrame:
@@ -124,6 +173,12 @@ def save_artifacts(
     storage.write_text(spark, f"{path}/metadata.json", json.dumps(metadata, sort_keys=True))
 
 
+def save_record(path: str, **tables: DataFrame) -> None:
+    """What a run was and how it went, one small table each, beside its artifacts."""
+    for name, rows in tables.items():
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/record/{name}")
+
+
 def artifacts_exist(spark: SparkSession, path: str) -> bool:
     """A model is usable only with its codes and its metadata."""
     parts = ("model", "station_codes", "metadata.json")
@@ -238,6 +293,13 @@ def train(
         "feature_columns": spec.columns,
     }
     save_artifacts(model_path, model, codes, metadata)
+    save_record(
+        model_path,
+        round_history=round_history(model, assembled),
+        baseline=baseline,
+        metrics=metrics,
+        parameters=parameters,
+    )
     assembled.unpersist()
     return TrainingRun(model, codes, parameters, baseline, metrics, comparison, metadata)
 

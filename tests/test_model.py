@@ -77,6 +77,39 @@ def test_artifacts_round_trip(spark, run):
     assert storage.read_text(spark, path + "/nothing") is None
 
 
+def test_the_record_is_kept(spark, run):
+    trained, path = run
+    history = spark.read.parquet(f"{path}/record/round_history")
+    assert history.where("split = 'val'").count() == trained.model.getNumTrees
+    for name in ("baseline", "metrics", "parameters"):
+        kept = spark.read.parquet(f"{path}/record/{name}")
+        assert kept.count() == getattr(trained, name).count()
+
+
+@pytest.mark.parametrize("errors, patience, best", [
+    ([5, 4, 4.5, 3], 2, 4),  # a weak round before the best
+    ([5, 4, 4.5, 4.4, 3], 2, 2),  # too many weak rounds
+    ([5, 5, 5], 30, 1),
+    ([3.0], 30, 1),
+    ([float("nan")] * 4, 2, 4),
+])
+def test_best_round(errors, patience, best):
+    assert T.best_round(errors, patience) == best
+
+
+def test_first_trees_are_the_rounds(spark, run, seeded, catalog):
+    trained, _ = run
+    split = compute_features(seeded, catalog).withColumns(
+        {"split": F.lit("val"), "target_delta": F.lit(0)}
+    )
+    rows = T.assemble(split, trained.codes, 3)
+    short = T.first_trees(trained.model, 2)
+    assert short.getNumTrees == 2
+    errors = trained.model.evaluateEachIteration(rows, "squared")
+    mean = T.predict(short, rows).select(F.avg(F.col(T.PREDICTED_DELTA) ** 2)).first()[0]
+    assert math.isclose(mean, errors[1], rel_tol=1e-9)
+
+
 def test_rounds(spark, run, seeded, catalog):
     trained, _ = run
     features = compute_features(seeded, catalog)
