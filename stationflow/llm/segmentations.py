@@ -38,9 +38,9 @@ SHARPNESS = 0.5
 PRIOR = 0.1
 SEED = 2024
 #: Texts whose lattices are held together.
-TOGETHER = 3000
+TOGETHER = 800
 #: Characters of them at most, unless a single text has more.
-CHARACTERS = 10_000_000
+CHARACTERS = 2_500_000
 
 _PIECES: dict[str, Pieces] = {}
 
