@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ SHARPNESS = 0.5
 PRIOR = 0.1
 SEED = 2024
 #: Texts whose lattices are held together.
-TOGETHER = 800
+TOGETHER = 250
 #: Characters of them at most, unless a single text has more.
-CHARACTERS = 2_500_000
+CHARACTERS = 900_000
 
 _PIECES: dict[str, Pieces] = {}
 
@@ -317,18 +318,16 @@ def sample_segmentations(
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary)
         for batch in batches:
-            keys, texts = batch.column("id"), batch.column("text").to_pylist()
+            keys, texts = batch.column("id"), batch.column("text")
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            through = np.concatenate([[0], np.cumsum(lengths)])
             low = 0
             while low < len(texts):
-                high, held = low, 0
-                while high < len(texts) and high - low < TOGETHER and (
-                    high == low or held + len(texts[high] or "") <= CHARACTERS
-                ):
-                    held += len(texts[high] or "")
-                    high += 1
+                fits = int(np.searchsorted(through, through[low] + CHARACTERS, "right")) - 1
+                high = min(max(fits, low + 1), low + TOGETHER, len(texts))
                 found = sample_texts(
-                    texts[low:high], keys.slice(low, high - low).to_pylist(), pieces,
-                    weights.value, draws, seed,
+                    texts.slice(low, high - low).to_pylist(),
+                    keys.slice(low, high - low).to_pylist(), pieces, weights.value, draws, seed,
                 )
                 flat = [(row, draw, *one) for row, of_row in enumerate(found, low)
                         for draw, one in enumerate(of_row, 1)]
