@@ -6,11 +6,13 @@ agree on the first three are a region, and inside a region the order goes on wit
 so classes with the longest common prefix are neighbours. A region that is too large is cut where
 the prefix becomes longer, deeper only where needed. In the pieces signatures are compared.
 
-Links are found in two passes. The first confirms each class's best neighbours on the full sets
-and joins what is linked. The second compares, in the regions that still hold several components,
-every pair from different components that the signatures do not rule out. A family of thousands
-of near copies is thus linked by few confirmed pairs, and no link that could change the result is
-left out by a cap.
+Links are found in three passes. The first confirms each class's best neighbours in its piece on
+the full sets and joins what is linked. The others compare, in the regions that still hold several
+components, every pair from different components, whatever the region's size and wherever it was
+cut: the classes outside a region's largest component visit all its blocks. The second confirms a
+visitor's likeliest partner of each component in a block, the third every pair that is then still
+between components and that the signatures do not rule out. A family of thousands of near copies
+is thus linked by few confirmed pairs, and no region is too large to be compared as a whole.
 """
 
 from __future__ import annotations
@@ -37,9 +39,10 @@ TREES = 14
 PREFIX = 3
 #: Values that order a region.
 DEPTH = 16
-#: Classes of one piece of a region; larger ones are cut at a longer common prefix.
+#: Classes of one piece of a region; larger ones are cut at a longer common prefix. Also the
+#: classes of a block, on average, when whole regions are compared.
 PIECE = 512
-#: Classes of one region held at once; a longer one goes on with the last piece of these.
+#: Classes of one region held at once in the first pass; a longer one goes on with the last piece.
 HELD = 32 * PIECE
 #: Estimates this far below the limit, four standard errors, rule a pair out.
 MARGIN = 0.063
@@ -123,59 +126,53 @@ def _pieces(deep: np.ndarray, low: int, high: int, depth: int = 0) -> list[tuple
     return [p for a, b in zip(edges, edges[1:]) for p in _pieces(deep, a, b, depth + 1)]
 
 
-def _agreement(signatures: np.ndarray) -> np.ndarray:
-    """Estimated similarity of all pairs of a piece."""
-    n = len(signatures)
-    same = np.empty((n, n), np.float32)
-    block = max(1, (1 << 22) // (n * MINIMA))
-    for start in range(0, n, block):
-        part = signatures[start : start + block, None, :] == signatures[None, :, :]
+def _agreement(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated similarity of all pairs of two sets of signatures."""
+    same = np.empty((len(some), len(others)), np.float32)
+    block = max(1, (1 << 22) // (max(len(others), 1) * MINIMA))
+    for start in range(0, len(some), block):
+        part = some[start : start + block, None, :] == others[None, :, :]
         same[start : start + block] = part.sum(axis=2, dtype=np.int32)
     return (same / MINIMA - 1 / 256) / (1 - 1 / 256)
 
 
 def _candidates(
-    signatures: np.ndarray, deep: np.ndarray, groups: np.ndarray | None, percent: int
+    signatures: np.ndarray, deep: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one region worth confirming.
-
-    Without ``groups``, each row's two best partners; with them, all pairs of different groups.
-    """
+    """Each row's two best partners in its piece of one region, if they are worth confirming."""
     left, right = [], []
     least = percent / 100 - MARGIN
     for low, high in _pieces(deep, 0, len(signatures)):
-        if groups is not None and (groups[low:high] == groups[low]).all():
-            continue
-        likely = _agreement(signatures[low:high])
+        likely = _agreement(signatures[low:high], signatures[low:high])
         np.fill_diagonal(likely, -1)
-        if groups is None:
-            for _ in range(2):
-                best = likely.argmax(axis=1)
-                rows = np.flatnonzero(likely[np.arange(high - low), best] >= least)
-                left.append(low + rows)
-                right.append(low + best[rows])
-                likely[rows, best[rows]] = -1
-        else:
-            a, b = np.nonzero(np.triu(likely >= least, 1))
-            apart = groups[low + a] != groups[low + b]
-            left.append(low + a[apart])
-            right.append(low + b[apart])
+        for _ in range(2):
+            best = likely.argmax(axis=1)
+            rows = np.flatnonzero(likely[np.arange(high - low), best] >= least)
+            left.append(low + rows)
+            right.append(low + best[rows])
+            likely[rows, best[rows]] = -1
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidate_pairs(rows: DataFrame, grouped: bool, percent: int) -> DataFrame:
-    """Distinct pairs ``u, v`` of classes from ``tree, region, class, signature[, component]``.
+def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch(
+        [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())],
+        names=["u", "v"],
+    )
+
+
+def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``u, v`` of neighbouring classes from ``tree, region, class, signature``.
 
-    The orders of all trees are one range sort, so a region of any size is spread over tasks; a
-    region that a task boundary cuts is cut elsewhere in the other trees.
+    The orders of all trees are one range sort, so a region of any size is spread over tasks. What
+    a piece or a task boundary cuts is left to ``pairs_between``.
     """
     deep = F.expr(f"substring(signature, tree * {DEPTH} + 1, {DEPTH})")
-    wanted = ["tree", "region", "deep", "class", "signature", *(["component"] * grouped)]
     ordered = (
         rows.withColumn("deep", deep)
-        .select(*wanted)
+        .select("tree", "region", "deep", "class", "signature")
         .repartitionByRange("tree", "region", "deep")
         .sortWithinPartitions("tree", "region", "deep", "class")
     )
@@ -184,24 +181,15 @@ def candidate_pairs(rows: DataFrame, grouped: bool, percent: int) -> DataFrame:
         signatures = _matrix(part.column("signature"), MINIMA)
         deep = _matrix(part.column("deep"), DEPTH)
         names = part.column("class").to_pylist()
-        groups = None
-        if grouped:
-            groups = part.column("component").combine_chunks().dictionary_encode()
-            groups = groups.indices.to_numpy()
         found = set()
         for low, high in zip(starts, [*starts[1:], part.num_rows]):
             if high - low > 1:
-                of_region = None if groups is None else groups[low:high]
-                a, b = _candidates(signatures[low:high], deep[low:high], of_region, percent)
+                a, b = _candidates(signatures[low:high], deep[low:high], percent)
                 for i, j in zip(a.tolist(), b.tolist()):
                     one, two = names[low + i], names[low + j]
                     if one != two:
                         found.add((one, two) if one < two else (two, one))
-        return pa.record_batch(
-            [pa.array([x for x, _ in found], pa.binary()),
-             pa.array([y for _, y in found], pa.binary())],
-            names=["u", "v"],
-        )
+        return _pair_batch(found)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -224,7 +212,93 @@ def candidate_pairs(rows: DataFrame, grouped: bool, percent: int) -> DataFrame:
     return ordered.mapInArrow(pairs, "u binary, v binary").distinct()
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _likely_partners(
+    likely: np.ndarray, of_visitors: np.ndarray, of_hosts: np.ndarray, least: float, every: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of likely pairs from different components: all, or one for a visitor and component."""
+    a, b = np.nonzero((likely >= least) & (of_visitors[:, None] != of_hosts[None, :]))
+    if every or not len(a):
+        return a, b
+    order = np.lexsort((-likely[a, b], of_hosts[b], a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (of_hosts[b[1:]] != of_hosts[b[:-1]])
+    return a[first], b[first]
+
+
+def pairs_between(
+    labels: DataFrame, signatures: DataFrame, percent: int, every: bool
+) -> DataFrame:
+    """Distinct likely pairs ``u, v`` from different components of a region, of any size.
+
+    ``labels`` are ``tree, region, class, component``, ``signatures`` are ``class, signature``. A
+    region is dealt into blocks by a hash of the class; a class outside its largest component
+    visits every block and is compared with all that live there. Blocks of a region are spread
+    over tasks; a task holds one block and reads its visitors as they come.
+    """
+    by_component = labels.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    regions = settle(
+        by_component.groupBy("tree", "region").agg(
+            F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")
+        )
+        .where("n > most.n")
+        .select(
+            "tree", "region", F.col("most.component").alias("main"),
+            F.ceil(F.col("n") / PIECE).cast("int").alias("blocks"),
+        )
+    )
+    rows = settle(labels.join(regions, ["tree", "region"]).join(signatures, "class"))
+    wanted = ["tree", "region", "block", "visits", "class", "component", "signature"]
+    hosts = rows.withColumns({
+        "block": F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int"),
+        "visits": F.lit(False),
+    })
+    visitors = rows.where("component != main").withColumns({
+        "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "visits": F.lit(True),
+    })
+    dealt = (
+        hosts.select(*wanted).unionByName(visitors.select(*wanted))
+        .repartition("tree", "region", "block")
+        .sortWithinPartitions("tree", "region", "block", "visits")
+    )
+    least = percent / 100 - MARGIN
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, living = None, []
+        for batch in batches:
+            found = set()
+            keys = [batch.column(c).to_numpy() for c in ("tree", "region", "block")]
+            visits = batch.column("visits").to_numpy(zero_copy_only=False)
+            changed = visits[1:] != visits[:-1]
+            for key in keys:
+                changed |= key[1:] != key[:-1]
+            starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+                here = tuple(int(key[low]) for key in keys)
+                if here != block:
+                    block, living = here, []
+                part = batch.slice(low, high - low)
+                if not visits[low]:
+                    living.append(part)
+                elif living:
+                    home = pa.Table.from_batches(living)
+                    of_both = pa.chunked_array(
+                        [*home.column("component").chunks, part.column("component")]
+                    ).combine_chunks().dictionary_encode().indices.to_numpy()
+                    known = _matrix(home.column("signature"), MINIMA)
+                    likely = _agreement(_matrix(part.column("signature"), MINIMA), known)
+                    a, b = _likely_partners(
+                        likely, of_both[home.num_rows :], of_both[: home.num_rows], least, every
+                    )
+                    one = part.column("class").take(pa.array(a)).to_pylist()
+                    two = home.column("class").take(pa.array(b)).to_pylist()
+                    found.update((x, y) if x < y else (y, x) for x, y in zip(one, two))
+            yield _pair_batch(found)
+
+    return dealt.mapInArrow(pairs, "u binary, v binary").distinct()
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     whole = b"".join(column.to_pylist())
     return np.frombuffer(whole, np.uint8).reshape(-1, width)
 
@@ -327,32 +401,22 @@ def near_duplicates(
     forest = settle(shared.join(partners.select("class", "signature"), "class"))
     sets = settle(_full_sets(docs, partners, id_column, text_column))
 
-    best = settle(candidate_pairs(forest, False, percent))
-    links = settle(confirmed(best, sets, percent))
-    found = settle(components(links))
-
-    component = F.coalesce("component", "class").alias("component")
-    labels = settle(
-        shared.join(found.withColumnRenamed("node", "class"), "class", "left")
-        .select("tree", "region", "class", component)
-    )
-    open_regions = (
-        labels.groupBy("tree", "region")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low != high")
-        .select("tree", "region")
-    )
-    open_rows = settle(
-        labels.join(settle(open_regions), ["tree", "region"]).join(
-            partners.select("class", "signature"), "class"
+    tried = settle(candidate_pairs(forest, percent))
+    found = settle(components(settle(confirmed(tried, sets, percent))))
+    for every in (False, True):
+        component = F.coalesce("component", "class").alias("component")
+        labels = settle(
+            shared.join(found.withColumnRenamed("node", "class"), "class", "left")
+            .select("tree", "region", "class", component)
         )
-    )
-    others = settle(
-        candidate_pairs(open_rows, True, percent).join(best, ["u", "v"], "left_anti")
-    )
-    more = settle(confirmed(others, sets, percent))
-    joined = found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    found = settle(components(joined))
+        others = settle(
+            pairs_between(labels, partners.select("class", "signature"), percent, every)
+            .join(tried, ["u", "v"], "left_anti")
+        )
+        more = settle(confirmed(others, sets, percent))
+        tried = tried.unionByName(others)
+        joined = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = settle(components(joined.unionByName(more)))
 
     least = settle(
         found.join(classes.select(F.col("class").alias("node"), "id"), "node")

@@ -72,6 +72,30 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, percent):
     assert [r["n_shingles"] for r in rows] == [len(shingles(t)) for t in texts]
 
 
+def test_links_across_the_cuts_of_a_large_region(spark, monkeypatch):
+    """Twins in one region of more classes than a piece holds, alike in pairs only."""
+    monkeypatch.setattr(N, "TREES", 1)
+    monkeypatch.setattr(N, "PREFIX", 1)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for at in range(450):
+        words = list(base)
+        for place in rng.sample(range(5, 115), 3):
+            words[place] = f"n{at}x{place}"
+        texts.append(" ".join(words))
+        words[rng.randrange(5, 115)] = f"t{at}"
+        texts.append(" ".join(words))
+    least = [N._minima(s, *N._functions())[0] for s in shingle_sets(pa.array(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    home = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs, percent=85).collect()}
+    same_region = [i for i in range(0, len(texts), 2) if least[i] == least[i + 1]]
+    alike = [i for i in same_region if groups(texts[i : i + 2], 85) == [0, 0]]
+    apart = [i for i in alike if home[i] != home[i + 1]]
+    assert max(least.count(v) for v in set(least)) > N.PIECE and len(alike) > 300
+    assert not apart, f"{len(apart)} of {len(alike)} twins are apart"
+
+
 def test_near_duplicates_of_awkward_rows(odd_docs, corpus, no_docs):
     found = N.near_duplicates(odd_docs)
     rows = {(r["doc_id"], r["n_shingles"]): r for r in found.collect()}
