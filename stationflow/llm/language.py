@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm.text import documents, in_fold
+from stationflow.session import settle
 
 UNKNOWN = "und"
 SEED = 20240607
@@ -28,8 +29,10 @@ WIDTH = 512
 #: Symbol 0 is any run without letters, then a-z; other letters share the rest by code point.
 SYMBOLS = 40
 TRIGRAMS = SYMBOLS**3
-#: A text below this cosine to every prototype is in no learnt language.
-LEAST_SCORE = 0.05
+#: A text is in no learnt language below this share of the labelled texts' median score, each left
+#: out of its own prototype; five standard deviations of the cosine of unrelated vectors at least.
+LEAST_SHARE = 1 / 3
+CHANCE_SCORE = 5 / WIDTH**0.5
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -137,6 +140,21 @@ def learn_prototypes(training: DataFrame, width: int = WIDTH, seed: int = SEED)
     return counts.groupBy("lang").applyInPandas(bundle, "lang string, prototype binary")
 
 
+def text_vector(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray | None:
+    """The bundled vector of a text; None if it has no letter."""
+    found = trigrams(text)
+    if found is None:
+        return None
+    seen, times = np.unique(found, return_counts=True)
+    weights = weights_of(times).astype(np.float32)
+    vector = np.zeros(width, np.float32)
+    vectors = trigram_vectors(width, seed)
+    for start in range(0, len(seen), 2048):
+        part = slice(start, start + 2048)
+        vector += weights[part] @ vectors[seen[part]].astype(np.float32)
+    return vector
+
+
 def predict_languages(
     docs: DataFrame,
     prototypes: DataFrame,
@@ -158,16 +176,9 @@ def predict_languages(
     rest = docs.drop("lang_pred", "score")
 
     def of_text(text: str | None) -> tuple[str, float]:
-        found = trigrams(text) if names else None
-        if found is None:
+        vector = text_vector(text, width, seed) if names else None
+        if vector is None:
             return UNKNOWN, 0.0
-        seen, times = np.unique(found, return_counts=True)
-        weights = weights_of(times).astype(np.float32)
-        vector = np.zeros(width, np.float32)
-        vectors = trigram_vectors(width, seed)
-        for start in range(0, len(seen), 2048):
-            part = slice(start, start + 2048)
-            vector += weights[part] @ vectors[seen[part]].astype(np.float32)
         cosines = matrix @ vector / max(float(np.linalg.norm(vector)), 1e-30)
         best = int(np.argmax(cosines))
         return names[best], min(1.0, max(0.0, float(cosines[best])))
@@ -188,11 +199,39 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(rows, prototypes).drop("text")
 
 
-def keep_known_languages(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def least_score(training: DataFrame, prototypes: DataFrame) -> float:
+    """The score that a text in a learnt language reaches, from all of ``training`` (lang, text).
+
+    A text is measured against its language's prototype without its own vector, as a new text
+    would be. A language's only text has nothing to be measured against.
+    """
+    learnt = {r["lang"]: np.frombuffer(bytes(r["prototype"])) for r in prototypes.collect()}
+
+    def left_out(lang: str | None, text: str | None) -> float | None:
+        vector = text_vector(text) if lang in learnt else None
+        if vector is None:
+            return None
+        rest = learnt[lang] - vector
+        norms = float(np.linalg.norm(rest)) * float(np.linalg.norm(vector))
+        return float(rest @ vector) / norms if norms else None
+
+    @F.pandas_udf("double")
+    def measured(langs: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([left_out(a, b) for a, b in zip(langs, texts)], dtype="float64")
+
+    scores = training.where("lang is not null and text is not null").select(
+        measured("lang", "text").alias("score")
+    )
+    median = scores.where("not isnan(score)").agg(F.percentile_approx("score", 0.5, 10_000)).head()[0]
+    return max(CHANCE_SCORE, LEAST_SHARE * (median or 0.0))
+
+
+def keep_known_languages(docs: DataFrame) -> DataFrame:
     """The documents in a learnt language; prototypes come from all labelled ones among them."""
+    prototypes = settle(learn_prototypes(docs))
+    least = least_score(docs, prototypes)
     kept = predict_languages(
-        docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}),
-        learn_prototypes(docs),
+        docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), prototypes
     ).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.drop("lang_pred", "score").withColumnsRenamed(
         {"_lang_pred": "lang_pred", "_score": "score"}

@@ -1,6 +1,7 @@
 """Quality rules, language identification and toxicity."""
 
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -119,6 +120,23 @@ def test_languages(odd_docs, no_docs):
     assert {102, 103, 104}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_unlearnt_languages_go_and_clean_documents_stay(docs):
+    spark, rng = docs.sparkSession, random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n))
+             for n in (20, 60, 300)]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni "
+        "obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on "
+        "annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    ]
+    odd = [(1000 + i, text, None, "src0", 0) for i, text in enumerate([*noise, *other])]
+    kept = L.keep_known_languages(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert set(range(60)) <= ids and not {i for i in ids if i is not None and i >= 1000}
+
+
 def test_toxicity(spark, odd_docs, no_docs, labels):
     bad = odd_docs.where("doc_id < 60").withColumn(
         "text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" You vermin! rotter vermin.")))
