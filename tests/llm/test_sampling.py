@@ -248,6 +248,34 @@ def test_a_words_probabilities_sum_to_at_most_one(bpe):
     assert (learnt["initial"][learnt["kind"]] == begins).all()
 
 
+def test_all_words_train_the_model(spark, bpe, monkeypatch):
+    """Every word and end of every training text is a target of the second fit."""
+    words = [37, 1000, 0, 9000]
+    texts = [(i, " ".join(["the"] * n)) for i, n in enumerate(words)] + [(9, None)]
+    training = spark.createDataFrame(texts, "id int, text string").coalesce(1)
+    seen = []
+
+    class Rows:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            batch = pa.record_batch([pa.array([t for _, t in texts], pa.string())], names=["text"])
+            seen.extend(x["seen"][0].as_py() for x in f(iter([batch])))
+            return training.where("false").selectExpr("1L as seen", "array(0D) as weights")
+
+    counts = S.settle(S.word_counts(training))
+    monkeypatch.setattr(S, "PASSES", 1)
+    found = {}
+    monkeypatch.setattr(S, "_refined", lambda _, model, __: found.setdefault("m", model).weights)
+    S.learn_model(training, counts, len(texts), bpe)
+    monkeypatch.undo()
+    S._refined(Rows(), found["m"], bpe)
+    assert seen == [sum(words) + len(texts)]
+
+
 def test_scores_of_documents(odd_docs, corpus, no_docs, bpe, monkeypatch):
     monkeypatch.setattr(S, "TABLE", 40)
     monkeypatch.setattr(S, "PASSES", 1)
