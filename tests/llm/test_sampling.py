@@ -276,6 +276,22 @@ def test_all_words_train_the_model(spark, bpe, monkeypatch):
     assert seen == [sum(words) + len(texts)]
 
 
+def test_scores_do_not_depend_on_the_tables_size(docs, bpe, monkeypatch):
+    """With one fitted model, words beyond the table score as those in it."""
+    counts = S.settle(S.word_counts(docs))
+    monkeypatch.setattr(S, "PASSES", 1)
+    monkeypatch.setattr(S, "_refined", lambda _, model, __: model.weights)
+    found, models = [], []
+    for size in (1 << 16, 5):
+        monkeypatch.setattr(S, "TABLE", size)
+        models.append(S.learn_model(docs.select(F.col("doc_id").alias("id"), "text"), counts, docs.count(), bpe))
+        rows = S.score_documents(docs, docs, bpe).collect()
+        found.append(sorted(((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in rows)))
+    assert math.isclose(models[0].mixed, models[1].mixed, rel_tol=1e-6)
+    assert len(models[1].table) == 6
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-6) for a, b in zip(*found))
+
+
 def test_scores_of_documents(odd_docs, corpus, no_docs, bpe, monkeypatch):
     monkeypatch.setattr(S, "TABLE", 40)
     monkeypatch.setattr(S, "PASSES", 1)
