@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.lattice import Lattice, Pieces, chunk_texts
+from stationflow.llm.lattice import MARK, Lattice, Pieces, chunk_texts
 from stationflow.llm.shingles import mix
 from stationflow.llm.text import documents
 
@@ -56,21 +56,20 @@ def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
     """Log probability of every piece, from its count in the encoding of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
         pieces = _pieces(vocabulary)
+        lone_mark = pieces.library.piece_to_id(MARK)
         counts = np.zeros(pieces.size, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, TOGETHER):
-                seen: Counter[str] = Counter()
-                for text in batch.column("text").slice(start, TOGETHER).to_pylist():
-                    if text:
-                        seen.update(text.split(" "))
-                # in the library a chunk gets its mark from the prefix it puts before every text
-                found = pieces.library.encode(list(seen), num_threads=1)
+                texts = batch.column("text").slice(start, TOGETHER).to_pylist()
+                distinct, chunk, _ = chunk_texts(texts)
+                n = np.bincount(chunk, minlength=len(distinct))
+                # the library puts the first mark before what it is given, but not before nothing
+                found = pieces.library.encode([c[1:] for c in distinct], num_threads=1)
+                found = [f if c != MARK else [lone_mark] for c, f in zip(distinct, found)]
                 lengths = np.fromiter(map(len, found), np.int64, len(found))
                 ids = np.fromiter((i for f in found for i in f), np.int64, int(lengths.sum()))
-                times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), lengths)
+                times = np.repeat(n, lengths)
                 counts += np.bincount(ids, times, minlength=pieces.size).astype(np.int64)
         seen_ids = np.flatnonzero(counts)
         yield pa.record_batch(

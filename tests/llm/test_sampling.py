@@ -179,6 +179,18 @@ def test_piece_counts_are_the_librarys(docs, corpus, sp_model, pieces):
     assert np.allclose(found[seen], np.log(counts / counts.sum())[seen], atol=0.05)
 
 
+def test_piece_counts_of_unaltered_texts(spark, docs, corpus, sp_model, pieces):
+    odd = ["def f():\n    if x:\n        return 1", " a  b   c ", "▁a ▁ b", " ", "▁", "a ", "\t  |  |"]
+    texts = [t for _, t, *_ in corpus] + odd * 30
+    counts = np.full(pieces.size, G.PRIOR)
+    for text in texts:
+        for i in pieces.library.encode(text or ""):
+            counts[i] += 1
+    counts[~pieces.usable] = G.PRIOR
+    found = G.piece_scores(spark.createDataFrame([(t,) for t in texts], "text string"), sp_model)
+    assert np.allclose(found, np.log(counts / counts.sum()))
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = A.Parameters.start(50, 3 * A.GROUP)
