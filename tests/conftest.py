@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from rows import RAW_DDL, at  # noqa: E402
 
 from stationflow.session import apply_settings  # noqa: E402
 
@@ -29,20 +31,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-UTC = dt.timezone.utc
-
-
-def at(*parts):
-    return dt.datetime(*parts, tzinfo=UTC)
-
-
-RAW_DDL = (
-    "system_id string, station_id string, observed_at timestamp, "
-    "num_vehicles_available bigint, num_docks_available bigint, "
-    "is_installed boolean, is_renting boolean, is_returning boolean"
-)
-
-
 @pytest.fixture(scope="session")
 def make_raw(spark):
     """Status rows of one station from (minute offset, vehicles) pairs."""

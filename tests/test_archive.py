@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from rows import at
 from stationflow import schemas as S
 from stationflow.operators import changes, contract, days, recent
 from stationflow.sources import sinks, storage, tables

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import RAW_DDL, at
+from rows import RAW_DDL, at
 from stationflow.functions.clock import instant, utc_day
 from stationflow.operators import contract, lookup, newest
 from stationflow.session import require_utc

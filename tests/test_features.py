@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from rows import at
 from stationflow.functions.clock import HOUR_US
 from stationflow.operators.asof import asof_join
 from stationflow.plans.features import (

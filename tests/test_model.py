@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import RAW_DDL, at
+from rows import RAW_DDL, at
 from stationflow import schemas as S
 from stationflow.functions import measures
 from stationflow.functions.clock import instant

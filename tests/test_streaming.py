@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
+from rows import at
 from feed_fixtures import cycle, write_bundle
 from stationflow import schemas as S
 from stationflow.sources import sinks, tables
