@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stationflow.llm.decontamination import DECONTAMINATION_SQL, decontamination_query
 from stationflow.llm.fingerprints import FINGERPRINT_SQL, fingerprint_query
 from stationflow.llm.language import language_query
 from stationflow.llm.lm_scoring import lm_query
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts_query,
     "op9_toxicity": toxicity_query,
     "op10_language": language_query,
+    "op13_decontamination": decontamination_query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_fingerprints": FINGERPRINT_SQL,
     "op6_mixing": MIXING_SQL,
     "op7_near_duplicates": NEAR_DUPLICATE_SQL,
+    "op13_decontamination": DECONTAMINATION_SQL,
 }
