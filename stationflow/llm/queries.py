@@ -13,6 +13,7 @@ from stationflow.llm.lm_scoring import lm_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
 from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_query
 from stationflow.llm.quality import quality_query
+from stationflow.llm.ranked_search import RANKED_SEARCH_SQL, ranked_search_query
 from stationflow.llm.segmentations import segmentation_query
 from stationflow.llm.token_counts import token_counts_query
 from stationflow.llm.token_files import token_files_query
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts_query,
     "op9_toxicity": toxicity_query,
     "op10_language": language_query,
+    "op12_ranked_search": ranked_search_query,
     "op13_decontamination": decontamination_query,
 }
 
@@ -36,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op5_fingerprints": FINGERPRINT_SQL,
     "op6_mixing": MIXING_SQL,
     "op7_near_duplicates": NEAR_DUPLICATE_SQL,
+    "op12_ranked_search": RANKED_SEARCH_SQL,
     "op13_decontamination": DECONTAMINATION_SQL,
 }
