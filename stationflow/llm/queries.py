@@ -12,6 +12,7 @@ from stationflow.llm.language import language_query
 from stationflow.llm.lm_scoring import lm_query
 from stationflow.llm.mixing import MIXING_SQL, mixing_query
 from stationflow.llm.near_duplicates import NEAR_DUPLICATE_SQL, near_duplicate_query
+from stationflow.llm.periodic_runs import periodic_runs_query
 from stationflow.llm.quality import quality_query
 from stationflow.llm.ranked_search import RANKED_SEARCH_SQL, ranked_search_query
 from stationflow.llm.segmentations import segmentation_query
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts_query,
     "op9_toxicity": toxicity_query,
     "op10_language": language_query,
+    "op11_periodic_runs": periodic_runs_query,
     "op12_ranked_search": ranked_search_query,
     "op13_decontamination": decontamination_query,
 }
