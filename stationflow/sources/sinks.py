@@ -16,6 +16,7 @@ from stationflow.operators.contract import conform, union_strict
 from stationflow.operators.days import days_safe_to_trim, plan_export
 from stationflow.operators.newest import keep_last
 from stationflow.operators.recent import trim_to_window
+from stationflow.sources import archive as days_of
 from stationflow.sources import storage
 from stationflow.sources.tables import read_serving, read_staged, staged_path
 
@@ -177,39 +178,22 @@ def archive_form(df: DataFrame, table: str) -> DataFrame:
     return collapse_changes(rows) if table == S.STATIONS else rows
 
 
-def write_archive_days(df: DataFrame, archive: str, table: str) -> dict[dt.date, int]:
-    """Write whole days as ``date=`` partitions and re-read them; rows per day.
-
-    A day without rows gets no partition; rewriting a day replaces it.
-    """
-    spark, path = df.sparkSession, f"{archive}/{table}"
-    dated = df.withColumn("date", utc_day("observed_at"))
-    held = Observation()
-    days = dated.observe(held, F.collect_set("date").alias("days"))
-    rows = write_parquet(days, path, ("date",))
-    if not rows:
-        return {}
-    # one row per written day
-    stored = (
-        spark.read.schema(S.TABLE_SCHEMAS[table])
-        .parquet(path)
-        .where(F.col("date").isin(held.get["days"]))
-        .groupBy("date")
-        .count()
-        .collect()
-    )
-    counts = {row["date"]: row["count"] for row in stored}
-    if sum(counts.values()) != rows:
-        raise RuntimeError(f"{table}: wrote {rows} rows, read back {sum(counts.values())}")
-    return counts
+def write_archive_days(
+    df: DataFrame, archive: str, table: str, audits: Sequence[days_of.Audit] = ()
+) -> dict[dt.date, int]:
+    """Publish whole days of a table; rows per day. See ``archive.publish_days``."""
+    return days_of.publish_days(df, f"{archive}/{table}", table, audits)
 
 
 def export_staged_days(
     spark: SparkSession, root: str, archive: str, days: Sequence[dt.date]
 ) -> dict[str, dict[dt.date, int]]:
-    """Export the given staged days of both tables, all days of a table in one job."""
+    """Export the given staged days of both tables, all days of a table in one job.
+
+    The status table is last: its archived days are what says that a day is exported.
+    """
     totals = {}
-    for table in S.ARCHIVED_TABLES:
+    for table in reversed(S.ARCHIVED_TABLES):
         staged = read_staged(spark, root, table).where(F.col("date").isin(list(days)))
         totals[table] = write_archive_days(archive_form(staged, table), archive, table)
     return totals
@@ -225,8 +209,9 @@ def export_table_days(
 
 
 def archived_days(spark: SparkSession, archive: str, table: str = S.STATION_STATUS) -> DataFrame:
-    """Days the archive holds, from its listing; none when there is no archive."""
-    return storage.day_frame(spark, storage.partition_days(spark, f"{archive}/{table}"))
+    """Days the archive holds, from its manifest; none when there is no archive."""
+    manifest = days_of.read_manifest(spark, f"{archive}/{table}")
+    return storage.day_frame(spark, sorted(manifest.days))
 
 
 def staged_days_of(spark: SparkSession, root: str) -> DataFrame:
@@ -320,14 +305,17 @@ def apply_table_retention(
     return trim_table_days(spark, path, days)
 
 
-def partition_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Per day: rows, files, bytes and bytes per row."""
-    table = spark.read.parquet(path).select(
-        "date",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("size"),
-    )
-    files = table.groupBy("date", "file").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+def partition_sizes(
+    spark: SparkSession, path: str, table: str = S.STATION_STATUS
+) -> DataFrame:
+    """Per day: rows, files, bytes and bytes per row; of an archive, of the published days."""
+    file = F.col("_metadata.file_path").alias("file")
+    size = F.col("_metadata.file_size").alias("size")
+    if days_of.has_manifest(spark, path):
+        parts = days_of.scan(spark, path, table, file, size)
+    else:
+        parts = spark.read.parquet(path).select("date", file, size)
+    files = parts.groupBy("date", "file").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     return (
         files.groupBy("date")
         .agg(F.sum("n").alias("rows"), F.count("*").alias("files"), F.sum("size").alias("bytes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,11 +63,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small UTF-8 file under another name, then put it in place in one step.
-
-    A reader finds the old content or the new one, never a part.
-    """
+def _put(spark: SparkSession, path: str, text: str, *, replace: bool) -> None:
+    """Write a small UTF-8 file under another name, then rename it into place in one step."""
     jvm = spark._jvm
     fs, target = _open(spark, path)
     fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
@@ -78,11 +76,34 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
     kind = jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(kind, 1)
-    options[0] = kind.OVERWRITE
+    options[0] = kind.OVERWRITE if replace else kind.NONE
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         fs.makeQualified(target).toUri(), spark._jsc.hadoopConfiguration()
     )
-    files.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+    try:
+        files.rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+    except Py4JJavaError:
+        fs.delete(fresh, False)
+        raise
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write or replace a small UTF-8 file; a reader finds the old content or the new one."""
+    _put(spark, path, text, replace=True)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small UTF-8 file where there is none; False when somebody else's is there.
+
+    Needs a file system whose rename does not replace, as HDFS has.
+    """
+    try:
+        _put(spark, path, text, replace=False)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
 
 
 def partition_days(spark: SparkSession, path: str) -> list[dt.date]:

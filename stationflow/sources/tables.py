@@ -14,15 +14,26 @@ from stationflow import schemas as S
 from stationflow.functions.clock import day_bounds, instant, utc_day
 from stationflow.operators.contract import require_columns
 from stationflow.operators.newest import current_capacity, newest_rows
-from stationflow.sources import storage
+from stationflow.sources import archive, storage
 
 
 def read_table(spark: SparkSession, path: str, table: str, *, strict: bool = False) -> DataFrame:
     """A day-partitioned table under its declared schema.
 
     A file that lacks a newer column reads as null there; ``strict`` rejects a table whose
-    files lack a declared column. A missing table is an error.
+    files lack a declared column. A missing table is an error. Of an archive with manifests, the
+    published days are read.
     """
+    if archive.has_manifest(spark, path):
+        if strict:
+            files = archive.scan(spark, path, table).inputFiles()
+            require_columns(
+                spark.read.option("mergeSchema", "true").parquet(*files) if files else
+                archive.read(spark, path, table),
+                S.TABLE_SCHEMAS[table].fieldNames(),
+                label=path,
+            )
+        return archive.read(spark, path, table)
     if strict:
         require_columns(
             spark.read.option("mergeSchema", "true").parquet(path),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rows import at
 from stationflow import schemas as S
 from stationflow.operators import changes, contract, days, recent
-from stationflow.sources import sinks, storage, tables
+from stationflow.sources import archive, sinks, storage, tables
 
 D = dt.date
 
@@ -281,3 +281,155 @@ def test_status_without_stations_is_published(spark, tmp_path):
     sinks.write_snapshots(status_rows(spark, [(at(2026, 9, 1), "a", 1)]), root, S.STATION_STATUS)
     written = sinks.publish(spark, root, archive, today=D(2026, 10, 1))
     assert written == {S.STATION_STATUS: {D(2026, 9, 1): 1}, S.STATIONS: {}}
+
+
+# --- write, audit, publish ---------------------------------------------------
+
+
+def table_of(spark, path):
+    rows = archive.read(spark, path, S.STATION_STATUS).orderBy("observed_at", "station_id").collect()
+    return [(r.observed_at.day, r.station_id, r.num_vehicles_available) for r in rows]
+
+
+def test_a_failed_audit_leaves_the_old_day(spark, status, tmp_path, monkeypatch):
+    path = str(tmp_path / S.STATION_STATUS)
+    archive.publish_days(status, path, S.STATION_STATUS)
+    before = table_of(spark, path)
+    worse = status.withColumn("num_vehicles_available", F.lit(0).cast("bigint"))
+
+    def negative(rows):
+        return ["no vehicles at all"] if rows.where("num_vehicles_available > 0").isEmpty() else []
+
+    with pytest.raises(archive.AuditError, match="no vehicles"):
+        archive.publish_days(worse, path, S.STATION_STATUS, [negative])
+    write = sinks.write_parquet
+
+    def lossy(df, target, partition_by=()):
+        return write(df.where("station_id <> 'b'"), target, partition_by)
+
+    def altered(df, target, partition_by=()):
+        return write(df.withColumn("num_docks_available", F.lit(1).cast("bigint")), target, partition_by)
+
+    def misplaced(df, target, partition_by=()):
+        return write(df.withColumn("date", F.date_add("date", 1)), target, partition_by)
+
+    for damage, message in ((lossy, "rows: stored 3, expected 4"), (altered, "checksum"), (misplaced, "other days")):
+        monkeypatch.setattr(sinks, "write_parquet", damage)
+        with pytest.raises(archive.AuditError, match=message):
+            archive.publish_days(status, path, S.STATION_STATUS)
+    assert table_of(spark, path) == before and archive.read_manifest(spark, path).number == 1
+    # nothing is left of the failed versions
+    assert len(storage.children(spark, f"{path}/_versions")) == 1
+
+
+def test_a_task_observed_twice_is_no_damage(spark, status, tmp_path, monkeypatch):
+    from pyspark.sql import Observation as RealObservation
+
+    observe = type(status).observe
+    held = {}
+
+    def doubled(df, observation, *columns):
+        if observation is not None:
+            return observe(df, observation, *columns)
+        held["real"] = RealObservation()
+        return observe(df, held["real"], *columns)
+
+    class Proxy:
+        @property
+        def get(self):
+            return {**held["real"].get, "rows": 2 * held["real"].get["rows"]}
+
+    proxy = Proxy()
+    monkeypatch.setattr(archive, "Observation", lambda: proxy)
+    monkeypatch.setattr(
+        type(status), "observe",
+        lambda df, o, *c: doubled(df, None if o is proxy else o, *c),
+    )
+    path = str(tmp_path / S.STATION_STATUS)
+    assert archive.publish_days(status, path, S.STATION_STATUS) == {D(2026, 9, 4): 3, D(2026, 9, 6): 1}
+
+
+def test_replays_replace_and_clean_up(spark, status, tmp_path):
+    path = str(tmp_path / S.STATION_STATUS)
+    for times in (1, 2, 3):
+        rows = status.withColumn("num_vehicles_available", F.col("num_vehicles_available") * times)
+        only = rows.where("day(observed_at) = 4") if times > 1 else rows
+        archive.publish_days(only, path, S.STATION_STATUS)
+    assert table_of(spark, path) == [(4, "a", 15), (4, "a", 21), (4, "b", 6), (6, "a", 9)]
+    assert sorted(storage.children(spark, f"{path}/_manifests"))[-1] == "000000000003.json"
+    held = archive.read(spark, path, S.STATION_STATUS)  # a reader of this state
+    assert archive.clean(spark, path) == 1
+    assert archive.clean(spark, path) == 0
+    assert held.count() == 4 and table_of(spark, path)[0] == (4, "a", 15)
+    assert len(storage.children(spark, f"{path}/_versions")) == 3
+    found = archive.manifest_rows(spark, path).orderBy("day").collect()
+    assert [(r.day, r.rows, r.newest) for r in found] == [
+        (D(2026, 9, 4), 3, dt.datetime(2026, 9, 4, 12)), (D(2026, 9, 6), 1, dt.datetime(2026, 9, 6, 3))
+    ]
+    assert archive.publish_days(status.limit(0), path, S.STATION_STATUS) == {}
+
+
+def test_two_writers(spark, status, tmp_path, monkeypatch):
+    path = str(tmp_path / S.STATION_STATUS)
+    archive.publish_days(status, path, S.STATION_STATUS)
+    commit = archive.commit
+
+    def meanwhile(rows):
+        """Another writer publishes between this one's audit and its commit."""
+        def hooked(*args):
+            monkeypatch.setattr(archive, "commit", commit)
+            archive.publish_days(rows, path, S.STATION_STATUS)
+            return commit(*args)
+        monkeypatch.setattr(archive, "commit", hooked)
+
+    more = status.withColumn("num_vehicles_available", F.col("num_vehicles_available") + 100)
+    fourth, sixth = more.where("day(observed_at) = 4"), more.where("day(observed_at) = 6")
+    meanwhile(sixth)  # another day: both are kept
+    archive.publish_days(fourth, path, S.STATION_STATUS)
+    assert [v for *_, v in table_of(spark, path)] == [105, 107, 102, 109]
+    meanwhile(status.where("day(observed_at) = 4"))  # the same day: the first one stays
+    with pytest.raises(archive.ConflictError, match="2026-09-04"):
+        archive.publish_days(fourth, path, S.STATION_STATUS)
+    assert [v for *_, v in table_of(spark, path)] == [5, 7, 2, 109]
+    # a manifest is never replaced
+    number = archive.read_manifest(spark, path).number
+    name = f"{path}/_manifests/{number:012d}.json"
+    text = storage.read_text(spark, name)
+    assert not storage.put_new(spark, name, "other") and storage.read_text(spark, name) == text
+    assert not [n for n in storage.children(spark, f"{path}/_manifests") if ".new" in n]
+
+
+def test_unversioned_days_are_kept_and_adopted(spark, status, tmp_path):
+    path = str(tmp_path / S.STATION_STATUS)
+    sinks.write_parquet(status.withColumn("date", F.to_date("observed_at")), path, ("date",))
+    assert listed(sinks.archived_days(spark, str(tmp_path))) == [D(2026, 9, 4), D(2026, 9, 6)]
+    more = status.where("day(observed_at) = 6").withColumn("num_vehicles_available", F.lit(1).cast("bigint"))
+    archive.publish_days(more, path, S.STATION_STATUS)
+    stored = tables.read_table(spark, path, S.STATION_STATUS)
+    assert stored.count() == 4 and tables.read_table(spark, path, S.STATION_STATUS, strict=True).count() == 4
+    assert table_of(spark, path)[-1] == (6, "a", 1)
+    assert archive.adopt(spark, path, S.STATION_STATUS).days[D(2026, 9, 4)].rows == 3
+    assert {r.rows for r in sinks.partition_sizes(spark, path).collect()} == {1, 3}
+    assert archive.damaged_days(spark, path, S.STATION_STATUS) == []
+    name = storage.data_files(spark, f"{path}/date=2026-09-04")[0]
+    storage.delete(spark, name)
+    assert archive.damaged_days(spark, path, S.STATION_STATUS) == [D(2026, 9, 4)]
+
+
+def test_stations_are_published_before_status(spark, tmp_path, monkeypatch):
+    root, target = str(tmp_path / "root"), str(tmp_path / "archive")
+    day = staged_day(spark, root)
+    publish = archive.publish_days
+
+    def failing(df, path, table, audits=()):
+        if table == S.STATIONS:
+            raise archive.AuditError("stations")
+        return publish(df, path, table, audits)
+
+    monkeypatch.setattr(archive, "publish_days", failing)
+    with pytest.raises(archive.AuditError):
+        sinks.publish(spark, root, target, today=D(2026, 9, 14))
+    # the day does not count as archived, so it is neither skipped nor trimmed
+    assert sinks.apply_staged_retention(spark, root, target, today=D(2026, 9, 14), keep_days=1) == 0
+    monkeypatch.setattr(archive, "publish_days", publish)
+    assert sinks.publish(spark, root, target, today=D(2026, 9, 14))[S.STATIONS] == {day: 2}
