@@ -156,7 +156,7 @@ ACROSS_SQL = f"""
 
 @query("feed_violations", f"WITH {EVENTS} {RULES_SQL} {MISSING_SQL}")
 def _(v):
-    return G.validate(payloads(v))
+    return I.validate(payloads(v))
 
 
 @query("cycle_violations", f"WITH {EVENTS} {RULES_SQL} {MISSING_SQL} {ACROSS_SQL}")

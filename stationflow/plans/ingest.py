@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,86 +46,123 @@ def split_by_propulsion(
     )
 
 
-def vehicle_types(payloads: DataFrame) -> DataFrame:
-    """Vehicle types of every cycle."""
-    rows = G.items(G.parse(payloads, G.VEHICLE_TYPES), G.VEHICLE_TYPES)
-    return rows.select(
-        "cycle_id",
-        "item.vehicle_type_id",
-        "item.form_factor",
-        "item.propulsion_type",
-        preferred_text(F.expr(G.nested("item.name", G.TEXTS))).alias("name"),
-    )
+# --- records -----------------------------------------------------------------
+
+
+def _typed(feed: str) -> dict[str, Column]:
+    """The columns that later steps read of a feed's records."""
+    if feed == G.SYSTEM_INFORMATION:
+        return {"system_id": F.col("item.system_id")}
+    if feed == G.VEHICLE_TYPES:
+        types = F.col("body.data.vehicle_types")
+        first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+        return {
+            **{c: F.col(f"item.{c}") for c in ("vehicle_type_id", "form_factor", "propulsion_type")},
+            "name": preferred_text(F.expr(G.nested("item.name", G.TEXTS))),
+            "known_types": F.when(first, F.transform(types, lambda t: t["vehicle_type_id"])),
+            "electric_types": F.when(first, F.transform(
+                F.filter(types, lambda t: t["propulsion_type"].isin(*S.ELECTRIC_PROPULSION)),
+                lambda t: t["vehicle_type_id"],
+            )),
+        }
+    if feed == G.STATION_INFORMATION:
+        return {
+            "station_id": F.col("item.station_id"),
+            "station_name": preferred_text(F.expr(G.nested("item.name", G.TEXTS))),
+            "address": F.col("item.address"),
+            "lat": F.expr(G.real("item.lat")),
+            "lon": F.expr(G.real("item.lon")),
+            "capacity": F.expr(G.whole("item.capacity")),
+            "is_charging_station": F.expr(G.flag("item.is_charging_station")),
+        }
+    if feed == G.STATION_STATUS:
+        entries = G.nested("item.vehicle_types_available", G.TYPE_COUNTS)
+        counts = ("num_vehicles_available", "num_vehicles_disabled", "num_docks_available",
+                  "num_docks_disabled")
+        return {
+            "station_id": F.col("item.station_id"),
+            **{c: F.expr(G.whole(f"item.{c}")) for c in counts},
+            **{c: F.expr(G.flag(f"item.{c}")) for c in ("is_installed", "is_renting", "is_returning")},
+            "types_available": F.expr(
+                f"transform({entries}, e -> named_struct("
+                f"'vehicle_type_id', e.vehicle_type_id, 'count', {G.whole('e.`count`')}))"
+            ),
+        }
+    return {}
 
 
-def _cycle_context(payloads: DataFrame) -> DataFrame:
-    """One row per cycle: system and the type ids its own payload lists."""
-    types = F.col("body.data.vehicle_types")
-    per_cycle = G.parse(payloads, G.VEHICLE_TYPES).select(
-        "cycle_id",
-        F.transform(types, lambda t: t["vehicle_type_id"]).alias("known_types"),
-        F.transform(
-            F.filter(types, lambda t: t["propulsion_type"].isin(*S.ELECTRIC_PROPULSION)),
-            lambda t: t["vehicle_type_id"],
-        ).alias("electric_types"),
-    )
-    systems = G.parse(payloads, G.SYSTEM_INFORMATION).select("cycle_id", "body.data.system_id")
-    return systems.join(per_cycle, "cycle_id")
+@dataclass(frozen=True)
+class Landed:
+    """Landed payloads, each parsed and checked once: a table of typed records per feed.
+
+    ``feeds`` are the cycles' feeds as they landed, one row per payload. Every later step reads these
+    tables, pruned to its columns, and none reads the payloads again.
+    """
+
+    feeds: DataFrame
+    tables: dict[str, DataFrame]
+
+    def rows(self, feed: str) -> DataFrame:
+        """One row per payload of a feed: its first."""
+        return self.tables[feed].where(F.coalesce(F.col("pos"), F.lit(0)) == 0)
+
+    def records(self, feed: str) -> DataFrame:
+        return self.tables[feed].where(F.col("pos").isNotNull())
+
+    def settled(self, folder: str | None = None) -> Landed:
+        """Every table written once, in columns, for the reads that follow."""
+        return Landed(
+            settle(self.feeds, folder),
+            {feed: settle(table, folder) for feed, table in self.tables.items()},
+        )
+
+    def without(self, cycles: DataFrame) -> Landed:
+        """The cycles that are not among ``cycles``."""
+        def kept(df: DataFrame) -> DataFrame:
+            return df.join(cycles, "cycle_id", "left_anti")
+
+        return Landed(kept(self.feeds), {feed: kept(table) for feed, table in self.tables.items()})
+
+
+def landed(payloads: DataFrame | Landed) -> Landed:
+    """Payloads as tables of records; nothing is computed yet."""
+    if isinstance(payloads, Landed):
+        return payloads
+    tables = {feed: G.records(payloads, feed, **_typed(feed)) for feed in G.CYCLE_FEEDS}
+    return Landed(payloads.select("cycle_id", "observed_at", "feed"), tables)
 
 
 # --- rows --------------------------------------------------------------------
 
 
-def station_rows(payloads: DataFrame) -> DataFrame:
-    """One ``stations`` row per station_information record, keyed by cycle."""
-    rows = G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
-    systems = G.parse(payloads, G.SYSTEM_INFORMATION).select("cycle_id", "body.data.system_id")
-    return rows.join(systems, "cycle_id").select(
-        "cycle_id",
-        "system_id",
-        "item.station_id",
-        preferred_text(F.expr(G.nested("item.name", G.TEXTS))).alias("station_name"),
-        "item.address",
-        F.expr(G.real("item.lat")).alias("lat"),
-        F.expr(G.real("item.lon")).alias("lon"),
-        F.expr(G.whole("item.capacity")).alias("capacity"),
-        F.expr(G.flag("item.is_charging_station")).alias("is_charging_station"),
-        "observed_at",
+def vehicle_types(payloads: DataFrame | Landed) -> DataFrame:
+    """Vehicle types of every cycle."""
+    return landed(payloads).records(G.VEHICLE_TYPES).select(
+        "cycle_id", "vehicle_type_id", "form_factor", "propulsion_type", "name"
     )
 
 
-def _status_items(payloads: DataFrame) -> DataFrame:
-    rows = G.items(G.parse(payloads, G.STATION_STATUS), G.STATION_STATUS)
-    entries = G.nested("item.vehicle_types_available", G.TYPE_COUNTS)
-    counted = (
-        f"transform({entries}, e -> named_struct("
-        f"'vehicle_type_id', e.vehicle_type_id, 'count', {G.whole('e.`count`')}))"
-    )
-    return rows.select(
-        "cycle_id",
-        "observed_at",
-        "pos",
-        "item.station_id",
-        *[
-            F.expr(G.whole(f"item.{c}")).alias(c)
-            for c in (
-                "num_vehicles_available",
-                "num_vehicles_disabled",
-                "num_docks_available",
-                "num_docks_disabled",
-            )
-        ],
-        *[
-            F.expr(G.flag(f"item.{c}")).alias(c)
-            for c in ("is_installed", "is_renting", "is_returning")
-        ],
-        F.expr(counted).alias("types_available"),
-    )
+def _systems(held: Landed) -> DataFrame:
+    return held.rows(G.SYSTEM_INFORMATION).select("cycle_id", "system_id")
+
 
+def _cycle_context(held: Landed) -> DataFrame:
+    """One row per cycle: system and the type ids its own payload lists."""
+    per_cycle = held.rows(G.VEHICLE_TYPES).select("cycle_id", "known_types", "electric_types")
+    return _systems(held).join(per_cycle, "cycle_id")
+
+
+def station_rows(payloads: DataFrame | Landed) -> DataFrame:
+    """One ``stations`` row per station_information record, keyed by cycle."""
+    held = landed(payloads)
+    rows = held.records(G.STATION_INFORMATION).join(_systems(held), "cycle_id")
+    return rows.select("cycle_id", *S.STATIONS_SCHEMA.fieldNames())
 
-def status_rows(payloads: DataFrame) -> DataFrame:
+
+def status_rows(payloads: DataFrame | Landed) -> DataFrame:
     """One ``station_status`` row per station_status record, keyed by cycle."""
-    rows = _status_items(payloads).join(_cycle_context(payloads), "cycle_id")
+    held = landed(payloads)
+    rows = held.records(G.STATION_STATUS).join(_cycle_context(held), "cycle_id")
     electric, human = split_by_propulsion(
         F.col("types_available"), F.col("known_types"), F.col("electric_types")
     )
@@ -136,21 +174,22 @@ def status_rows(payloads: DataFrame) -> DataFrame:
 # --- checks across feeds -----------------------------------------------------
 
 
-def reference_violations(payloads: DataFrame) -> DataFrame:
+def reference_violations(payloads: DataFrame | Landed) -> DataFrame:
     """Status records that name stations or vehicle types their cycle does not describe.
 
     The types of an unknown station are not looked at.
     """
+    held = landed(payloads)
     described = (
-        G.items(G.parse(payloads, G.STATION_INFORMATION), G.STATION_INFORMATION)
-        .select("cycle_id", "item.station_id")
+        held.records(G.STATION_INFORMATION)
+        .select("cycle_id", "station_id")
         .distinct()
         .withColumn("described", F.lit(True))
     )
-    status = _status_items(payloads).select(
+    status = held.records(G.STATION_STATUS).select(
         "cycle_id", "pos", "station_id", F.expr("types_available.vehicle_type_id").alias("used")
     )
-    checked = status.join(_cycle_context(payloads), "cycle_id", "left").join(
+    checked = status.join(_cycle_context(held), "cycle_id", "left").join(
         described, ["cycle_id", "station_id"], "left"
     )
     unknown = "coalesce(array_except(used, coalesce(known_types, array())), array())"
@@ -168,15 +207,23 @@ def reference_violations(payloads: DataFrame) -> DataFrame:
     )
 
 
-def cycle_violations(payloads: DataFrame, folder: str | None = None) -> DataFrame:
+def validate(payloads: DataFrame | Landed) -> DataFrame:
+    """All violations of the landed cycles, before records are compared across feeds."""
+    held = landed(payloads)
+    parts = [G.violations_of(table, feed) for feed, table in held.tables.items()]
+    return reduce(DataFrame.unionByName, [*parts, G.missing_feeds(held.feeds)])
+
+
+def cycle_violations(payloads: DataFrame | Landed, folder: str | None = None) -> DataFrame:
     """Everything wrong with the landed cycles.
 
-    Records are compared across feeds only in cycles whose feeds are all valid. The
-    violations are few and read again and again, so they are computed once and kept (in
-    ``folder``, if given).
+    Records are compared across feeds only in cycles whose feeds are all valid. Payloads are parsed
+    once, into tables (in ``folder``, if given); the violations are few and read again and again, so
+    they are computed once and kept too.
     """
-    broken = settle(G.validate(payloads), folder)
-    valid = payloads.join(broken.select("cycle_id").distinct(), "cycle_id", "left_anti")
+    held = payloads if isinstance(payloads, Landed) else landed(payloads).settled(folder)
+    broken = settle(validate(held), folder)
+    valid = held.without(broken.select("cycle_id").distinct())
     return broken.unionByName(settle(reference_violations(valid), folder))
 
 
@@ -207,12 +254,14 @@ class Cycles:
     violations: DataFrame
 
 
-def flatten_cycles(payloads: DataFrame, violations: DataFrame | None = None) -> Cycles:
+def flatten_cycles(
+    payloads: DataFrame | Landed, violations: DataFrame | None = None, folder: str | None = None
+) -> Cycles:
     """Rows of every clean cycle. A cycle with any violation contributes no rows at all."""
+    held = payloads if isinstance(payloads, Landed) else landed(payloads).settled(folder)
     if violations is None:
-        violations = cycle_violations(payloads)
-    rejected = violations.select("cycle_id").distinct()
-    clean = payloads.join(rejected, "cycle_id", "left_anti")
+        violations = cycle_violations(held, folder)
+    clean = held.without(violations.select("cycle_id").distinct())
     return Cycles(
         status=conform(status_rows(clean), S.STATION_STATUS),
         stations=conform(station_rows(clean), S.STATIONS),
@@ -241,10 +290,11 @@ def require_clean(violations: DataFrame) -> None:
         raise FeedError(f"landed cycles break their contract: {listed}")
 
 
-def matched_stations(payloads: DataFrame) -> DataFrame:
+def matched_stations(payloads: DataFrame | Landed) -> DataFrame:
     """Per cycle: station ids that both feeds name."""
+    held = landed(payloads)
     sides = [
-        G.items(G.parse(payloads, feed), feed).select("cycle_id", "item.station_id")
+        held.records(feed).select("cycle_id", "station_id")
         for feed in (G.STATION_INFORMATION, G.STATION_STATUS)
     ]
     return sides[0].intersect(sides[1]).groupBy("cycle_id").agg(
@@ -252,30 +302,28 @@ def matched_stations(payloads: DataFrame) -> DataFrame:
     )
 
 
-def ingestion_summary(payloads: DataFrame, status: DataFrame | None = None) -> DataFrame:
+def ingestion_summary(payloads: DataFrame | Landed, folder: str | None = None) -> DataFrame:
     """One row per cycle: feed times, distinct stations, statuses, matches, rows."""
+    held = payloads if isinstance(payloads, Landed) else landed(payloads).settled(folder)
 
     def feed_time(feed: str, name: str) -> DataFrame:
-        return G.parse(payloads, feed).select(
-            "cycle_id", F.expr(G.moment("body.last_updated")).alias(name)
-        )
+        return held.rows(feed).select("cycle_id", F.col("updated").alias(name))
 
     def tally(feed: str, distinct: str, rows: str | None = None) -> DataFrame:
-        ids = G.items(G.parse(payloads, feed), feed).groupBy("cycle_id", "item.station_id").count()
+        ids = held.records(feed).groupBy("cycle_id", "station_id").count()
         measures = [F.count("*").alias(distinct)]
         if rows:
             measures.append(F.sum("count").alias(rows))
         return ids.groupBy("cycle_id").agg(*measures)
 
-    systems = G.parse(payloads, G.SYSTEM_INFORMATION).select("cycle_id", "body.data.system_id")
     parts = (
         feed_time(G.STATION_INFORMATION, "station_information_last_updated"),
         feed_time(G.STATION_STATUS, "station_status_last_updated"),
         tally(G.STATION_INFORMATION, "station_count"),
         tally(G.STATION_STATUS, "status_count", "processed_station_status_count"),
-        matched_stations(payloads),
+        matched_stations(held),
     )
-    summary = systems
+    summary = _systems(held)
     for part in parts:
         summary = summary.join(part, "cycle_id", "left")
     counts = [c for c in summary.columns if c.endswith("_count")]

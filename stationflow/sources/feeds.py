@@ -73,7 +73,7 @@ def kind(x: str) -> str:
 
 # --- rules -------------------------------------------------------------------
 
-# The fields of a record that should be texts and are not.
+# The fields of a record that should be texts and are not; null where none is.
 ODD = "_odd"
 
 
@@ -205,14 +205,34 @@ class Feed:
     def names(self) -> tuple[str, ...]:
         return tuple(f.split()[0] for f in self.fields.split(","))
 
-    @property
-    def body(self) -> str:
+    def _body(self, text: str, *also: str) -> str:
         fields = ", ".join(
-            f"{n} {'variant' if n in self.texts else 'string'}" for n in self.names
+            [f"{n} {text if n in self.texts else 'string'}" for n in self.names] + list(also)
         )
         inner = f"{self.list_field} array<struct<{fields}>>" if self.list_field else fields
         return f"last_updated string, ttl string, version string, data struct<{inner}>"
 
+    @property
+    def body(self) -> str:
+        """All scalars as text. No payload that is read with it holds the field ``ODD``."""
+        return self._body("string", f"{ODD} array<string>")
+
+    @property
+    def exact_body(self) -> str:
+        """The fields whose JSON type matters as variants."""
+        return self._body("variant")
+
+    @property
+    def suspects(self) -> str | None:
+        """Pattern of every payload in which such a field may hold something else than a text.
+
+        A name and a colon, then neither a quote nor the n of null; or a name with an escape.
+        """
+        if not self.texts:
+            return None
+        names = "|".join(self.texts)
+        return f"""["'](?:{names})["']\\s*:\\s*[^"'\\sn]|\\\\u[^"']*["']\\s*:|["']{ODD}["']"""
+
     def plain(self, body: str) -> str:
         """SQL of the parsed body with texts as strings, and each record's odd fields noted."""
 
@@ -409,14 +429,25 @@ def is_json_object(payload: str = "payload") -> Column:
 
 
 def parse(payloads: DataFrame, feed: str) -> DataFrame:
-    """Payload rows of one feed with ``is_object`` and the parsed ``body``."""
-    return payloads.where(F.col("feed") == feed).select(
-        "cycle_id",
-        "observed_at",
-        is_json_object().alias("is_object"),
-        F.from_json("payload", FEEDS[feed].body).alias("raw"),
+    """Payload rows of one feed with ``is_object`` and the parsed ``body``.
+
+    Only payloads in which a text field may hold another JSON type are read as variants, which tell
+    the types apart and cost several times as much.
+    """
+    spec = FEEDS[feed]
+    rows = payloads.where(F.col("feed") == feed)
+    kept = ["cycle_id", "observed_at", is_json_object().alias("is_object")]
+    plain = F.from_json("payload", spec.body)
+    if spec.suspects is None:
+        return rows.select(*kept, plain.alias("body"))
+    suspect = F.col("payload").rlike(spec.suspects)
+    return rows.select(
+        *kept,
+        F.when(suspect, F.from_json("payload", spec.exact_body)).alias("exact"),
+        F.when(~suspect, plain).alias("body"),
     ).select(
-        "cycle_id", "observed_at", "is_object", F.expr(FEEDS[feed].plain("raw")).alias("body")
+        "cycle_id", "observed_at", "is_object",
+        F.expr(f"CASE WHEN exact IS NOT NULL THEN {spec.plain('exact')} ELSE body END").alias("body"),
     )
 
 
@@ -474,34 +505,61 @@ def _envelope_findings(spec: Feed) -> str:
     )
 
 
-def feed_violations(payloads: DataFrame, feed: str) -> DataFrame:
-    """Broken rules of one feed, one row each; ``pos`` is null for the payload as a whole.
+RECORD_FINDINGS = "array<struct<pos: int, path: string, rule: string, value: string>>"
+
+
+def records(payloads: DataFrame, feed: str, **typed: Column) -> DataFrame:
+    """One row per record of a feed, parsed once: ``typed`` columns over ``item``, and findings.
 
-    One pass: the findings about the payload travel with its first record.
+    ``cycle_id, observed_at, updated`` (the feed's own time), ``pos`` and ``findings``, an array of
+    broken rules. Findings about the payload as a whole have no position and travel with its first
+    row; a payload without records has one row, without a position. ``typed`` may also look at
+    ``body``, which the first row of a payload holds.
     """
     spec = FEEDS[feed]
-    checked = parse(payloads, feed).withColumn("_whole", F.expr(_envelope_findings(spec)))
+    checked = parse(payloads, feed).select(
+        "cycle_id",
+        "observed_at",
+        F.expr(moment("body.last_updated")).alias("updated"),
+        F.expr(_envelope_findings(spec)).alias("_whole"),
+        "body",
+    )
     if spec.list_field is None:
-        records = checked.select(
-            "cycle_id", "_whole", F.lit(0).alias("pos"), F.col("body.data").alias("item")
+        exploded = checked.select(
+            "*", F.when(F.col("body.data").isNotNull(), 0).alias("pos"), F.col("body.data").alias("item")
         )
     else:
-        records = checked.select(
-            "cycle_id", "_whole", F.posexplode_outer(f"body.data.{spec.list_field}").alias("pos", "item")
+        exploded = checked.select(
+            "*", F.posexplode_outer(f"body.data.{spec.list_field}").alias("pos", "item")
         )
     has_record = "pos IS NOT NULL" if spec.list_field else "item IS NOT NULL"
+    placed = "named_struct('pos', {}, 'path', f.path, 'rule', f.rule, 'value', f.value)"
+    nothing = f"CAST(array() AS {RECORD_FINDINGS})"
     findings = f"""concat(
         CASE WHEN coalesce(pos, 0) = 0
-             THEN transform(_whole, f -> named_struct('pos', CAST(NULL AS INT), 'f', f))
-             ELSE CAST(array() AS array<struct<pos: int, f: {FINDINGS[6:-1]}>>) END,
+             THEN transform(_whole, f -> {placed.format('CAST(NULL AS INT)')}) ELSE {nothing} END,
         CASE WHEN {has_record}
-             THEN transform({_broken(spec.rules, 'item')}, f -> named_struct('pos', pos, 'f', f))
-             ELSE CAST(array() AS array<struct<pos: int, f: {FINDINGS[6:-1]}>>) END)"""
-    return records.select("cycle_id", F.inline(F.expr(findings))).select(
-        "cycle_id", F.lit(feed).alias("feed"), "pos", "f.*"
+             THEN transform({_broken(spec.rules, 'item')}, f -> {placed.format('pos')})
+             ELSE {nothing} END)"""
+    return exploded.select(
+        "cycle_id", "observed_at", "updated", "pos",
+        *[column.alias(name) for name, column in typed.items()],
+        F.expr(findings).alias("findings"),
     )
 
 
+def violations_of(found: DataFrame, feed: str) -> DataFrame:
+    """The findings of records as rows."""
+    return found.where(F.size("findings") > 0).select(
+        "cycle_id", F.lit(feed).alias("feed"), F.inline("findings")
+    ).select(*VIOLATION)
+
+
+def feed_violations(payloads: DataFrame, feed: str) -> DataFrame:
+    """Broken rules of one feed, one row each; ``pos`` is null for the payload as a whole."""
+    return violations_of(records(payloads, feed), feed)
+
+
 def resolve_feed_urls(payloads: DataFrame) -> DataFrame:
     """Per cycle and wanted feed: the first url the discovery document lists, or null."""
     entries = items(parse(payloads, DISCOVERY), DISCOVERY)
@@ -546,12 +604,6 @@ def missing_feeds(payloads: DataFrame) -> DataFrame:
     )
 
 
-def validate(payloads: DataFrame) -> DataFrame:
-    """All violations of the landed cycles, before records are compared across feeds."""
-    parts = [feed_violations(payloads, feed) for feed in CYCLE_FEEDS]
-    return reduce(DataFrame.unionByName, [*parts, missing_feeds(payloads)])
-
-
 def feed_verdicts(payloads: DataFrame) -> DataFrame:
     """Per cycle and feed: whether the payload is valid."""
     bad = (

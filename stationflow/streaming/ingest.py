@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stationflow import schemas as S
 from stationflow.functions.clock import instant
 from stationflow.operators.contract import conform
-from stationflow.plans.ingest import cycle_violations, flatten_cycles
+from stationflow.plans.ingest import cycle_violations, flatten_cycles, landed
 from stationflow.plans.monitor import readiness
 from stationflow.session import scratch_folder
 from stationflow.sources import feeds as G
@@ -82,8 +82,9 @@ def ingest_batch(
     spark, payloads = payloads.sparkSession, G.last_arrivals(payloads).persist()
     folder = scratch_folder(spark)
     try:
-        violations = cycle_violations(payloads, folder)
-        cycles = flatten_cycles(payloads, violations)
+        held = landed(payloads).settled(folder)
+        violations = cycle_violations(held, folder)
+        cycles = flatten_cycles(held, violations)
         status = cycles.status.persist()
         version = f"{batch_id:012d}-{uuid.uuid4().hex[:8]}"
         staged = sinks.stage_cycle(status, cycles.stations, root, version)
