@@ -89,30 +89,33 @@ class Encoder:
         Their concatenation has a boundary before each, so the library gets long texts and the
         cuts are found again from the bytes that each id stands for.
         """
-        ids, lengths, at = [], [], 0
+        sizes = pc.binary_length(pa.array(pieces, pa.large_string()))
+        sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends, ids, lengths, at = np.cumsum(sizes), [], [], 0
         while at < len(pieces):
-            size, part = 0, []
-            while at < len(pieces) and size < _JOINED:
-                part.append(pieces[at])
-                size += len(pieces[at]) + 1
-                at += 1
-            text = " " + " ".join(part)
+            to = int(np.searchsorted(ends, ends[at] - sizes[at] + _JOINED)) + 1
+            text = " " + " ".join(pieces[at:to])
             found = np.array(
                 self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32
             )
-            sizes = pc.binary_length(pa.array(part, pa.string())).to_numpy(zero_copy_only=False)
-            ends = np.searchsorted(
-                np.cumsum(self.n_bytes[found]), np.cumsum(sizes.astype(np.int64) + 1)
-            ) + 1
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[found]), np.cumsum(sizes[at:to])) + 1
             ids.append(found)
-            lengths.append(np.diff(ends, prepend=0))
+            lengths.append(np.diff(cuts, prepend=0))
+            at = to
         if not ids:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, pieces: list[str]) -> None:
-        whole = [p for p in pieces if p and not p[-1].isspace()]
-        odd = [p for p in pieces if not p or p[-1].isspace()]
+        column = pa.array(pieces, pa.large_string())
+        odd = pc.or_(
+            pc.equal(column, ""),
+            pc.not_equal(
+                pc.binary_length(column), pc.binary_length(pc.utf8_rtrim_whitespace(column))
+            ),
+        )
+        whole = column.filter(pc.invert(odd)).to_pylist() if pc.any(odd).as_py() else pieces
+        odd = column.filter(odd).to_pylist()
         for part, found in (
             (whole, self.encode_spaced(whole)),
             (odd, self.encode_strings([" " + p for p in odd])),
@@ -146,11 +149,16 @@ class Encoder:
         if len(self.spaced) + len(self.heads) + len(distinct) > self.remembered:
             self._forget()
         needed = [distinct[i] for i in following.tolist()]
-        self._learn([p for p in needed if p not in self.spaced])
+        known = list(map(self.spaced.get, needed))
+        new = [i for i, slot in enumerate(known) if slot is None]
+        if new:
+            self._learn([needed[i] for i in new])
+            for i in new:
+                known[i] = self.spaced[needed[i]]
         heads = [distinct[i] for i in head_codes.tolist()]
         self._learn_heads([h for h in dict.fromkeys(heads) if h not in self.heads])
         table = np.zeros(len(distinct), np.int64)
-        table[following] = np.fromiter(map(self.spaced.__getitem__, needed), np.int64, len(needed))
+        table[following] = known
         slots = table[codes]
         slots[opening] = np.fromiter(map(self.heads.__getitem__, heads), np.int64, len(heads))
         odd = np.flatnonzero(late.to_numpy(zero_copy_only=False))

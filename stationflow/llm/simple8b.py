@@ -29,28 +29,31 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count, width = int(COUNTS[selector]), int(WIDTHS[selector])
         while span < count:
             step = min(span, count - span)
-            most = np.maximum(most, np.concatenate([most[step:], most[-1:].repeat(step)])[:n])
-            span += step
+            wider = most.copy()  # a step past the end meets what it already holds
+            np.maximum(most[:-step], most[step:], out=wider[:-step])
+            np.maximum(most[-step:], most[-1], out=wider[-step:])
+            most, span = wider, span + step
         fits = most <= held.dtype.type(min((1 << width) - 1, np.iinfo(held.dtype).max))
         if not fits.any():
             break  # longer and narrower runs lie inside such a run
         np.copyto(best, np.int8(selector), where=fits)
-    following = (np.arange(n) + COUNTS[best]).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at = following[at]
-    first = np.array(starts)
+    # the first words, then as many again by one jump over all of these, and so on
+    jump = np.minimum(np.arange(n + 1) + np.append(COUNTS[best], 0), n)
+    first = np.zeros(1, np.int64)
+    while first[-1] < n:
+        first = np.concatenate([first, jump[first]])
+        jump = jump[jump]
+    first = first[first < n]
     chosen = best[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(60, np.uint64)])
     for selector in range(1, 15):
         rows = np.flatnonzero(chosen == selector)
         if len(rows):
-            lanes = np.arange(COUNTS[selector])
-            held = padded[first[rows][:, None] + lanes]
-            shifts = (lanes * WIDTHS[selector]).astype(np.uint64)
-            words[rows] |= np.bitwise_or.reduce(held << shifts, axis=1)
+            at, word = first[rows], words[rows]
+            for lane in range(int(COUNTS[selector])):
+                word |= padded[at + lane] << np.uint64(lane * int(WIDTHS[selector]))
+            words[rows] = word
     return words, values[first[chosen == 0]], first[::STEP].astype(np.int64)
 
 

@@ -38,15 +38,18 @@ def write_token_files(
 ) -> None:
     """Encode every whole text and write the ids in ascending key order.
 
-    The texts are range-partitioned by key and sorted inside a partition; equal keys are ordered
-    by their text, null keys come first. A null text holds its end id only. Other columns are not
-    read. No rows give a folder without blocks.
+    The texts are range-partitioned by key and sorted inside a partition; null keys come first, equal
+    keys are ordered by a hash of their text and then the text, so that a key with very many rows is
+    spread over ranges too. A null text holds its end id only. Other columns are not read. No rows
+    give a folder without blocks.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     ordered = (
-        rows.repartitionByRange(F.col("id").asc_nulls_first())
-        .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        rows.withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(F.col("id").asc_nulls_first(), "hash")
+        .sortWithinPartitions(F.col("id").asc_nulls_first(), "hash", F.col("text").asc_nulls_first())
+        .drop("hash")
         .withColumn("shard", F.spark_partition_id())
     )
 
