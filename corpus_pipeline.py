@@ -15,21 +15,25 @@ from stationflow.llm.mixing import mixed_documents
 from stationflow.llm.near_duplicates import keep_one_of_each
 from stationflow.llm.quality import keep_quality
 from stationflow.llm.segmentations import piece_scores, sample_segmentations
+from stationflow.llm.text import small_batches
 from stationflow.session import settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and have enough words in content lines."""
+    small_batches(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
+    small_batches(spark)
     return keep_known_languages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -40,6 +44,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of each document."""
+    small_batches(spark)
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")

@@ -171,7 +171,8 @@ class Lattice:
             out[at] += 1
         self.pointer = np.cumsum(out) - out
         total = int(out.sum())
-        self.start, self.end, self.ids = (np.zeros(total, np.int64) for _ in range(3))
+        # places and ids of edges fit 32 bits: a batch of texts is far below 2**31 characters
+        self.start, self.end, self.ids = (np.zeros(total, np.int32) for _ in range(3))
         weights, filled = np.zeros(total), self.pointer.copy()
         for at, ids, weight, length in groups:
             place = filled[at]

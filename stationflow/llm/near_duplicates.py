@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationflow.llm.components import components
+from stationflow.llm.lexicon import stretches
 from stationflow.llm.shingles import mix, shingle_sets
-from stationflow.llm.text import documents
+from stationflow.llm.text import documents, tables_of
 from stationflow.session import settle
 
 #: Per cent of the union that two sets must share, and what the query asks for.
@@ -42,14 +43,22 @@ DEPTH = 16
 #: Classes of one piece of a region; larger ones are cut at a longer common prefix. Also the
 #: classes of a block, on average, when whole regions are compared.
 PIECE = 512
+#: Bytes of text whose shingles are held together; a longer text is alone.
+PART_BYTES = 2 << 20
 #: Classes of one region held at once in the first pass; a longer one goes on with the last piece.
 HELD = 32 * PIECE
-#: Estimates this far below the limit, four standard errors, rule a pair out.
-MARGIN = 0.063
+#: Estimates so many standard errors below the limit rule a pair out.
+ERRORS = 4
 #: Bits of the filter that spares reading texts without partners; its size never grows.
 FILTER_BITS = 24
 
 
+def least_estimate(percent: int) -> float:
+    """The share of equal minima below which a pair is not compared in full."""
+    share = percent / 100
+    return share - ERRORS * (share * (1 - share) / MINIMA) ** 0.5
+
+
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(SEED)
     factors = draw.integers(0, 1 << 63, MINIMA).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,9 +89,10 @@ def sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _functions()
+        tables_of("near duplicates")
         for whole in batches:
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
+            for low, high in stretches(whole.column("text"), PART_BYTES):
+                batch = whole.slice(low, high - low)
                 sets = shingle_sets(batch.column("text"))
                 names, signatures, regions = [], [], []
                 for shingles in sets:
@@ -141,7 +151,7 @@ def _candidates(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Each row's two best partners in its piece of one region, if they are worth confirming."""
     left, right = [], []
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
     for low, high in _pieces(deep, 0, len(signatures)):
         likely = _agreement(signatures[low:high], signatures[low:high])
         np.fill_diagonal(likely, -1)
@@ -261,7 +271,7 @@ def pairs_between(
         .repartition("tree", "region", "block")
         .sortWithinPartitions("tree", "region", "block", "visits")
     )
-    least = percent / 100 - MARGIN
+    least = least_estimate(percent)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, living = None, []

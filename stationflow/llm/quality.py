@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.text import documents, words_of
+from stationflow.llm.text import documents, tables_of, words_of
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +87,8 @@ def repeated_words(words: list[str]) -> int:
 
 def _kinds() -> np.ndarray:
     """Of every code point: 1 capital, 2 small letter, 3 digit, 4 white space, 0 other."""
-    if not len(_KINDS):
+    held = tables_of("quality")
+    if "kinds" not in held:
         of = np.zeros(0x110000, np.uint8)
         for code in range(0x110000):
             mark = chr(code)
@@ -95,11 +96,8 @@ def _kinds() -> np.ndarray:
                 1 if mark.isupper() else 2 if mark.islower() or mark.isalpha()
                 else 3 if mark.isdigit() else 4 if mark.isspace() else 0
             )
-        _KINDS.append(of)
-    return _KINDS[0]
-
-
-_KINDS: list[np.ndarray] = []
+        held["kinds"] = of
+    return held["kinds"]
 
 
 def line_kinds(text: str) -> np.ndarray:
@@ -165,7 +163,8 @@ def _by_length(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Lines side by side: texts from long to short; where step t's lines begin; the order."""
     lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    active = np.array([(lengths > t).sum() for t in range(int(lengths.max(initial=0)))], np.int64)
+    ends = np.bincount(lengths, minlength=1)  # texts by their number of lines
+    active = np.cumsum(ends[::-1])[::-1][1:]
     return order, lengths, active
 
 

@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationflow.llm.lexicon import stretches
 from stationflow.llm.lattice import MARK, Lattice, Pieces, chunk_texts
 from stationflow.llm.shingles import mix
-from stationflow.llm.text import documents
+from stationflow.llm.text import documents, small_batches, tables_of
 
 DRAWS = 2
 #: Exponent of the piece probabilities: lower is more diverse.
@@ -41,15 +42,13 @@ SEED = 2024
 #: Texts whose lattices are held together.
 TOGETHER = 250
 #: Characters of them at most, unless a single text has more.
-CHARACTERS = 900_000
-
-_PIECES: dict[str, Pieces] = {}
-
+CHARACTERS = 150_000
 
 def _pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    held = tables_of("segmentations")
+    if path not in held:
+        held[path] = Pieces(path)
+    return held[path]
 
 
 def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") -> np.ndarray:
@@ -60,8 +59,8 @@ def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
         lone_mark = pieces.library.piece_to_id(MARK)
         counts = np.zeros(pieces.size, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, TOGETHER):
-                texts = batch.column("text").slice(start, TOGETHER).to_pylist()
+            for low, high in stretches(batch.column("text"), 4 * CHARACTERS):
+                texts = batch.column("text").slice(low, high - low).to_pylist()
                 distinct, chunk, _ = chunk_texts(texts)
                 n = np.bincount(chunk, minlength=len(distinct))
                 # the library puts the first mark before what it is given, but not before nothing
@@ -302,9 +301,12 @@ def sample_segmentations(
     seed: int = SEED,
     id_column: str = "doc_id",
     text_column: str = "text",
+    decode: bool = False,
 ) -> DataFrame:
     """``id, draw, ids, log_prob, perturbed, inclusion`` of ``draws`` segmentations per row.
 
+    With ``decode`` also ``decoded``, the text of the ids.
+
     The draws of a row differ, in descending order of their perturbed value; a text with fewer
     segmentations has fewer rows. Empty and null texts have one, without ids, with certainty.
     Rows of equal key and text get equal draws; a null key counts as empty text. Whole texts are
@@ -313,6 +315,7 @@ def sample_segmentations(
     weights = docs.sparkSession.sparkContext.broadcast(scores * sharpness)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "draw", "ids", "log_prob", "perturbed", "inclusion"] + ["decoded"] * decode
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(vocabulary)
@@ -341,14 +344,16 @@ def sample_segmentations(
                             pa.array(ids),
                         ),
                         *(pa.array([f[c] for f in flat], pa.float64()) for c in (3, 4, 5)),
+                        *([pa.array([pieces.decode(f[2]) for f in flat], pa.string())] if decode else []),
                     ],
-                    names=["id", "draw", "ids", "log_prob", "perturbed", "inclusion"],
+                    names=names,
                 )
                 low = high
 
     found = rows.mapInArrow(
         sample,
-        f"id {kind}, draw int, ids array<int>, log_prob double, perturbed double, inclusion double",
+        f"id {kind}, draw int, ids array<int>, log_prob double, perturbed double, inclusion double"
+        + (", decoded string" if decode else ""),
     )
     return found.withColumnRenamed("id", id_column)
 
@@ -367,10 +372,11 @@ def decode_pieces(rows: DataFrame, vocabulary: str, ids_column: str = "ids") ->
 def segmentation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    small_batches(spark)
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
     docs = documents(spark, sf_dir)
-    drawn = sample_segmentations(docs, vocabulary, piece_scores(docs, vocabulary))
-    return decode_pieces(drawn, vocabulary).select(
+    scores = piece_scores(docs, vocabulary)
+    return sample_segmentations(docs, vocabulary, scores, decode=True).select(
         "doc_id", "draw",
         F.size("ids").cast("bigint").alias("n_pieces"),
         F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),

@@ -45,5 +45,30 @@ def lower_az_column(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows of a batch that a Python worker gets at once, for operators whose work needs room per text.
+BATCH_ROWS = 1000
+
+_TABLES: dict = {}
+_OWNER: list[str] = []
+
+
+def tables_of(owner: str) -> dict:
+    """The worker's tables of one operator. Workers outlive a stage: the next operator that asks for
+    its own drops those of the one before, and gives unused memory back.
+    """
+    if _OWNER != [owner]:
+        import pyarrow as pa
+
+        _TABLES.clear()
+        _OWNER[:] = [owner]
+        pa.default_memory_pool().release_unused()
+    return _TABLES
+
+
+def small_batches(spark) -> None:
+    """Bound what crosses to a Python worker at once; texts make rows large."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
