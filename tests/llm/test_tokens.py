@@ -92,3 +92,16 @@ def test_token_files(spark, odd_docs, corpus, no_docs, bpe, library, tmp_path):
         start += len(ids)
     write_token_files(no_docs, bpe, str(tmp_path / "none"))
     assert read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_hot_key_is_spread_over_shards(spark, bpe, library, tmp_path):
+    texts = [f"text number {i} of one key" for i in range(200)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, "x")], "doc_id bigint, text string")
+    write_token_files(docs.repartition(4), bpe, str(tmp_path / "hot"))
+    assert spark.read.parquet(str(tmp_path / "hot")).select("shard").distinct().count() > 1
+    rows = read_token_files(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] + [7] * 200
+    held = sorted(bytes(r["ids"]) for r in rows[1:])
+    assert held == sorted(
+        np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts
+    )
