@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Rewriting one day must leave the other days of a table alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Above 8000 bytes the JVM interprets a method: rather generate several small ones.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
