@@ -9,6 +9,7 @@ from parity.timeseries import FEATURES_SQL, LABEL, MIN_ROWS, SPEC, catalog
 from stationflow import schemas as S
 from stationflow.functions.clock import minutes
 from stationflow.operators.newest import newest_rows
+from stationflow.plans import boosting as B
 from stationflow.plans import dataset as D
 from stationflow.plans import forecast as P
 from stationflow.plans import train as T
@@ -17,6 +18,7 @@ from stationflow.session import settle
 
 LOOKBACK = 2880
 SETTINGS = T.TreeSettings()
+LEAVES = B.LeafSettings(rounds=20, patience=10)
 
 NUMERIC = SPEC.columns[1:]
 MODEL_OUT = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in NUMERIC)
@@ -152,14 +154,19 @@ def _(v):
 # --- trained models ----------------------------------------------------------
 
 
-def _fitted(v):
-    """Split and assembled rows, the codes, and a small model on them."""
+def _prepared(v, settings):
+    """Split rows as the booster takes them, the codes and their number."""
     labeled = labeled_features(v.status, catalog(v), SPEC, **LABEL)
     rows = settle(D.with_delta(D.apply_quality_filters(labeled, MIN_ROWS)))
     split = D.time_split(rows)
     known = D.station_codes(v.history)
     n = known.count()
-    assembled = settle(T.assemble(split, known, n, SPEC))
+    return settle(T.model_rows(settings, split, known, n, SPEC)), known, n
+
+
+def _fitted(v):
+    """Split and assembled rows, the codes, and a small model on them."""
+    assembled, known, n = _prepared(v, SETTINGS)
     return assembled, known, n, T.fit(assembled, n, SETTINGS)
 
 
@@ -189,3 +196,16 @@ def _(v):
     return D.compare_to_baseline(
         D.split_metrics(persistence), D.split_metrics(scored, T.PREDICTED)
     )
+
+
+@query("leafwise_metrics")
+def _(v):
+    rows, _, _ = _prepared(v, LEAVES)
+    return D.split_metrics(T.predict(B.fit(rows, LEAVES, SPEC), rows), T.PREDICTED)
+
+
+@query("leafwise_forecast")
+def _(v):
+    rows, known, n = _prepared(v, LEAVES)
+    model = B.fit(rows, LEAVES, SPEC)
+    return _forecast(v, P.model_change(model, known, n, SPEC), known)

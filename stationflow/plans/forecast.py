@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from stationflow.operators.newest import newest_per_key, newest_rows
 from stationflow.operators.recent import lookback
 from stationflow.plans.dataset import CURRENT, encode_stations
 from stationflow.plans.features import DEFAULT_SPEC, FeatureSpec, compute_features
-from stationflow.plans.train import PREDICTED_DELTA, assemble, predict
+from stationflow.plans.train import PREDICTED_DELTA, Model, model_rows, predict
 
 # Reasons in the order they are checked, with the code a service would answer.
 OUTCOMES = {
@@ -92,13 +91,13 @@ def constant_change(delta: float) -> Scorer:
 
 
 def model_change(
-    model: GBTRegressionModel, codes: DataFrame, n_codes: int, spec: FeatureSpec = DEFAULT_SPEC
+    model: Model, codes: DataFrame, n_codes: int, spec: FeatureSpec = DEFAULT_SPEC
 ) -> Scorer:
     """Score with a trained model; stations it cannot score keep a null change."""
 
     def score(rows: DataFrame) -> DataFrame:
         usable = rows.where(F.col("outcome") == "ok").select(*S.STATION_KEY, *spec.columns[1:])
-        scored = predict(model, assemble(usable, codes, n_codes, spec))
+        scored = predict(model, model_rows(model, usable, codes, n_codes, spec))
         return rows.join(
             scored.select(*S.STATION_KEY, PREDICTED_DELTA), list(S.STATION_KEY), "left"
         )

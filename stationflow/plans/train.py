@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow import schemas as S
+from stationflow.plans import boosting as B
 from stationflow.plans import dataset as D
+from stationflow.plans.boosting import DELTA, PREDICTED_DELTA
 from stationflow.plans.features import DEFAULT_SPEC, FeatureSpec, labeled_features
 from stationflow.session import shared_folder
 from stationflow.sources import storage
 
-DELTA = "target_delta"
-PREDICTED_DELTA = "predicted_delta"
 PREDICTED = "predicted"
+Model = GBTRegressionModel | B.LeafModel
 
 
 @dataclass(frozen=True)
 class TreeSettings:
-    """Boosting settings; depth 6 holds about as many leaves as a 63-leaf tree.
+    """Settings of Spark's depth-wise boosting; depth 6 holds about as many leaves as a 63-leaf tree.
 
     Boosting stops after ``patience`` rounds without a smaller error on the val rows.
     """
@@ -139,14 +140,33 @@ def _boosted(n_codes: int, settings: TreeSettings, rounds: int) -> GBTRegressor:
     )
 
 
-def predict(model: GBTRegressionModel, assembled: DataFrame) -> DataFrame:
+def model_rows(
+    kind: Model | TreeSettings | B.LeafSettings,
+    df: DataFrame,
+    codes: DataFrame,
+    n_codes: int,
+    spec: FeatureSpec = DEFAULT_SPEC,
+) -> DataFrame:
+    """Rows in the form that a model of this kind, or one with these settings, reads."""
+    if isinstance(kind, B.LeafModel | B.LeafSettings):
+        return B.training_frame(df, codes, spec)
+    return assemble(df, codes, n_codes, spec)
+
+
+def predict(model: Model, assembled: DataFrame) -> DataFrame:
     """Add the predicted change and the forecast, current value plus change."""
-    scored = model.transform(assembled)
+    leafwise = isinstance(model, B.LeafModel)
+    scored = B.predict(model, assembled) if leafwise else model.transform(assembled)
     return scored.withColumn(PREDICTED, F.col("current_vehicles") + F.col(PREDICTED_DELTA))
 
 
-def round_history(model: GBTRegressionModel, assembled: DataFrame) -> DataFrame:
-    """Error of the first k trees, for every k, on the train and val rows."""
+def round_history(model: Model, assembled: DataFrame) -> DataFrame:
+    """Error of the first k trees, for every k, on the train and val rows.
+
+    A leaf-wise model brings its own, with the rounds after the best one.
+    """
+    if isinstance(model, B.LeafModel):
+        return B.round_history(model, assembled)
     rows = []
     for split in ("train", "val"):
         part = assembled.where(F.col("split") == split)
@@ -164,11 +184,19 @@ def round_history(model: GBTRegressionModel, assembled: DataFrame) -> DataFrame:
 # --- artifacts ---------------------------------------------------------------
 
 
+TREES = "trees.json"
+
+
 def save_artifacts(
-    path: str, model: GBTRegressionModel, codes: DataFrame, metadata: dict
+    path: str, model: Model, codes: DataFrame, metadata: dict
 ) -> None:
+    """Store model, codes and metadata; a leaf-wise model is a text file."""
     spark = codes.sparkSession
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, B.LeafModel):
+        storage.delete(spark, f"{path}/model")
+        storage.write_text(spark, f"{path}/model/{TREES}", model.to_json())
+    else:
+        model.write().overwrite().save(f"{path}/model")
     codes.write.mode("overwrite").parquet(f"{path}/station_codes")
     storage.write_text(spark, f"{path}/metadata.json", json.dumps(metadata, sort_keys=True))
 
@@ -185,9 +213,10 @@ def artifacts_exist(spark: SparkSession, path: str) -> bool:
     return all(storage.exists(spark, f"{path}/{part}") for part in parts)
 
 
-def load_artifacts(spark: SparkSession, path: str) -> tuple[GBTRegressionModel, DataFrame, dict]:
+def load_artifacts(spark: SparkSession, path: str) -> tuple[Model, DataFrame, dict]:
+    trees = storage.read_text(spark, f"{path}/model/{TREES}")
     return (
-        GBTRegressionModel.load(f"{path}/model"),
+        GBTRegressionModel.load(f"{path}/model") if trees is None else B.LeafModel.from_json(trees),
         spark.read.schema("system_id string, station_id string, station_id_code int").parquet(
             f"{path}/station_codes"
         ),
@@ -200,7 +229,7 @@ def load_artifacts(spark: SparkSession, path: str) -> tuple[GBTRegressionModel,
 
 @dataclass(frozen=True)
 class TrainingRun:
-    model: GBTRegressionModel
+    model: Model
     codes: DataFrame
     parameters: DataFrame
     baseline: DataFrame
@@ -245,13 +274,16 @@ def train(
     *,
     run_id: str,
     spec: FeatureSpec = DEFAULT_SPEC,
-    settings: TreeSettings = TreeSettings(),
+    settings: B.LeafSettings | TreeSettings = B.LeafSettings(),
     horizon_minutes: int = S.HORIZON_MINUTES,
     tolerance_minutes: int = S.LABEL_TOLERANCE_MINUTES,
     min_rows: int = S.MIN_STATION_ROWS,
     now: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc),
 ) -> TrainingRun:
-    """The whole training run: table, split, baseline, model, metrics, artifacts."""
+    """The whole training run: table, split, baseline, model, metrics, artifacts.
+
+    The settings choose the booster: leaf by leaf, or Spark's depth-wise one.
+    """
     filtered = prepare_training_table(
         raw,
         catalog,
@@ -265,8 +297,11 @@ def train(
     split = D.time_split(filtered, cutoffs)
     codes = D.station_codes(catalog).persist()
     n_codes = codes.count()
-    assembled = assemble(split, codes, n_codes, spec).persist()
-    model = fit(assembled, n_codes, settings)
+    assembled = model_rows(settings, split, codes, n_codes, spec).persist()
+    if isinstance(settings, B.LeafSettings):
+        model = B.fit(assembled, settings, spec)
+    else:
+        model = fit(assembled, n_codes, settings)
     metrics = D.split_metrics(predict(model, assembled), PREDICTED)
     baseline = D.split_metrics(split)
     comparison = D.compare_to_baseline(baseline, metrics)

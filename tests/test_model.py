@@ -9,6 +9,7 @@ from rows import RAW_DDL, at
 from stationflow import schemas as S
 from stationflow.functions import measures
 from stationflow.functions.clock import instant
+from stationflow.plans import boosting as B
 from stationflow.plans import dataset as D
 from stationflow.plans import forecast as P
 from stationflow.plans import monitor
@@ -64,6 +65,30 @@ def test_training_run(spark, run):
     assert T.metadata_frame(spark, trained.metadata).first().run_id == "r1"
 
 
+def test_leafwise_run(spark, seeded, catalog, tmp_path):
+    """The same job with leaf-wise trees: learns, stores, loads and forecasts."""
+    trained = T.train(
+        seeded, catalog, f"{tmp_path}/work", f"{tmp_path}/model", run_id="r2",
+        settings=B.LeafSettings(rounds=12, leaves=15, step=0.2, min_rows_per_leaf=20),
+        now=lambda: at(2026, 2, 1),
+    )
+    metrics = {r["split"]: r.mae for r in trained.metrics.collect()}
+    baseline = {r["split"]: r.mae for r in trained.baseline.collect()}
+    assert metrics["test"] <= baseline["test"] * 1.05 and metrics["train"] < baseline["train"]
+    kept = spark.read.parquet(f"{tmp_path}/model/record/round_history").where("split = 'val'")
+    best = kept.where(F.col("round") == len(trained.model.trees)).first()
+    assert best.mae == pytest.approx(metrics["val"], abs=1e-4)
+    assert T.artifacts_exist(spark, f"{tmp_path}/model")
+    model, codes, _ = T.load_artifacts(spark, f"{tmp_path}/model")
+    assert model == trained.model
+    history = catalog.withColumn("observed_at", F.lit(at(2026, 1, 1)))
+    out = P.forecast_all(
+        seeded, history, codes, P.model_change(model, codes, 3), instant(at(2026, 1, 4)), run_id="r2",
+    ).collect()
+    assert {r.outcome for r in out} == {"ok"} and len(out) == 3
+    assert all(0 <= r.predicted_num_vehicles_available <= 20 for r in out)
+
+
 def test_artifacts_round_trip(spark, run):
     from stationflow.sources import storage
 
