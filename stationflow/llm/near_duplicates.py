@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stationflow.llm.components import components
 from stationflow.llm.lexicon import stretches
 from stationflow.llm.shingles import mix, shingle_sets
-from stationflow.llm.text import documents, tables_of
+from stationflow.llm.text import documents, spare_name, tables_of
 from stationflow.session import settle
 
 #: Per cent of the union that two sets must share, and what the query asks for.
@@ -459,12 +459,14 @@ def keep_one_of_each(
 ) -> DataFrame:
     """The documents of ``docs`` without those that a near duplicate with a smaller id stands for.
 
-    Rows that repeat a kept id all stay; documents with a null id stay.
+    Rows that repeat a kept id all stay; documents with a null id stay. Other columns stay as they
+    are, whatever their names.
     """
+    name = spare_name(docs, "_gone")
     gone = near_duplicates(docs, id_column, text_column, percent).where("not kept").select(
-        F.col(id_column).alias("_gone")
+        F.col(id_column).alias(name)
     )
-    return docs.join(gone.distinct(), F.col(id_column) == F.col("_gone"), "left_anti")
+    return docs.join(gone.distinct(), F.col(id_column) == F.col(name), "left_anti")
 
 
 NEAR_DUPLICATE_SQL = r"""

@@ -70,5 +70,19 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spare_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def set_aside(df: DataFrame, *names: str) -> dict[str, str]:
+    """Other names for those columns of ``df`` that an operator is about to add itself."""
+    wanted = {n.lower() for n in names}
+    return {c: spare_name(df, f"_{c}") for c in df.columns if c.lower() in wanted}
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
