@@ -1,12 +1,11 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram binds the vectors of its letters,
-each rotated by its place, into one vector; a text bundles (sums) the vectors of its trigrams. A
-language's prototype bundles all its training texts. The prediction is the prototype with the
-largest cosine to the text's vector.
+Every letter has a random vector of +1 and -1, drawn from its code point. A letter trigram binds
+the vectors of its letters, each rotated by its place, into one vector; a text bundles (sums) the
+vectors of its trigrams. A language's prototype bundles all its training texts. The prediction is
+the prototype with the largest cosine to the text's vector.
 
-Prototypes come from trigram counts summed by Spark over all training texts; bundling is linear,
-so the vectors of the trigrams are needed once per language, not once per text.
+Bundling is linear: each task bundles its texts, and Spark adds up one vector per task and language.
 """
 
 from __future__ import annotations
@@ -19,51 +18,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.text import documents, in_fold
+from stationflow.llm.text import documents, in_fold, set_aside, spare_name, tables_of
 from stationflow.session import settle
 
 UNKNOWN = "und"
 SEED = 20240607
 #: Length of the vectors.
 WIDTH = 512
-#: Symbol 0 is any run without letters, then a-z; other letters share the rest by code point.
-SYMBOLS = 40
-TRIGRAMS = SYMBOLS**3
 #: A text is in no learnt language below this share of the labelled texts' median score, each left
 #: out of its own prototype; five standard deviations of the cosine of unrelated vectors at least.
 LEAST_SHARE = 1 / 3
 CHANCE_SCORE = 5 / WIDTH**0.5
-
-_TABLES: dict[str, np.ndarray] = {}
+#: Code points take 21 bits, so that three make one number.
+BITS = 21
+#: A task adds up so many trigrams of a language before it binds their vectors.
+HELD = 200_000
 
 
 def symbol_table() -> np.ndarray:
-    """The symbol of every code point; letters count in lower case."""
-    if "symbols" not in _TABLES:
-        table = np.zeros(0x110000, np.uint8)
+    """The symbol of every code point: the letter in lower case, 0 for all that is no letter."""
+    held = tables_of("language")
+    if "symbols" not in held:
+        table = np.zeros(0x110000, np.int32)
         for code in range(0x110000):
             letter = chr(code)
             if letter.isalpha():
-                low = letter.lower()
-                point = ord(low[0])
-                if 97 <= point <= 122:
-                    table[code] = point - 96
-                else:
-                    table[code] = 27 + point * 2654435761 % (1 << 32) % (SYMBOLS - 27)
-        _TABLES["symbols"] = table
-    return _TABLES["symbols"]
-
-
-def trigram_vectors(width: int = WIDTH, seed: int = SEED) -> np.ndarray:
-    """The bound vector of every trigram, one row each."""
-    name = f"trigrams-{width}-{seed}"
-    if name not in _TABLES:
-        draw = np.random.default_rng(seed)
-        letters = (2 * draw.integers(0, 2, (SYMBOLS, width)) - 1).astype(np.int8)
-        first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-        bound = first[:, None, None] * second[None, :, None] * letters[None, None, :]
-        _TABLES[name] = bound.reshape(TRIGRAMS, width)
-    return _TABLES[name]
+                table[code] = ord(letter.lower()[0])
+        held["symbols"] = table
+    return held["symbols"]
+
+
+def letter_vectors(symbols: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """The random vector of every symbol, one row each."""
+    held = tables_of("language").setdefault(("letters", width, seed), {})
+    for symbol in symbols.tolist():
+        if symbol not in held:
+            draw = np.random.default_rng([seed, symbol])
+            held[symbol] = (2 * draw.integers(0, 2, width) - 1).astype(np.int8)
+    return np.array([held[s] for s in symbols.tolist()], np.int8).reshape(-1, width)
+
+
+def trigram_vectors(found: np.ndarray, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """The bound vector of every trigram number, one row each."""
+    places = [found >> 2 * BITS, found >> BITS & (1 << BITS) - 1, found & (1 << BITS) - 1]
+    symbols, at = np.unique(np.stack(places), return_inverse=True)
+    first, second, third = at.reshape(3, -1)
+    letters = letter_vectors(symbols, width, seed)
+    bound = np.roll(letters, 2, axis=1)[first]
+    bound *= np.roll(letters, 1, axis=1)[second]
+    bound *= letters[third]
+    return bound
 
 
 def trigrams(text: str | None) -> np.ndarray | None:
@@ -80,7 +84,7 @@ def trigrams(text: str | None) -> np.ndarray | None:
     found = symbols[kept]
     line = np.zeros(len(found) + (2 if found[-1] else 1), np.int64)
     line[1 : 1 + len(found)] = found  # a gap opens and closes every text
-    return (line[:-2] * SYMBOLS + line[1:-1]) * SYMBOLS + line[2:]
+    return line[:-2] << 2 * BITS | line[1:-1] << BITS | line[2:]
 
 
 def weights_of(counts: np.ndarray) -> np.ndarray:
@@ -91,28 +95,53 @@ def weights_of(counts: np.ndarray) -> np.ndarray:
     return np.rint(8 * np.sqrt(counts)).astype(np.int64)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts per language of a partition; memory is bounded by languages x trigrams."""
-    counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            found = trigrams(text)
-            if found is None:
-                continue
-            if lang not in counts:
-                counts[lang] = np.zeros(TRIGRAMS, np.int64)
-            seen, times = np.unique(found, return_counts=True)
-            counts[lang][seen] += weights_of(times)
-    for lang, of_lang in counts.items():
-        seen = np.flatnonzero(of_lang)
-        yield pa.record_batch(
-            [
-                pa.array([lang] * len(seen), pa.string()),
-                pa.array(seen, pa.int32()),
-                pa.array(of_lang[seen], pa.int64()),
-            ],
-            names=["lang", "trigram", "n"],
-        )
+def _bundled(
+    seen: np.ndarray, weights: np.ndarray, width: int, seed: int, kind: type
+) -> np.ndarray:
+    """The weighted sum of the trigrams' vectors."""
+    vector = np.zeros(width, kind)
+    for start in range(0, len(seen), 2048):
+        part = slice(start, start + 2048)
+        vector += weights[part].astype(kind) @ trigram_vectors(seen[part], width, seed).astype(kind)
+    return vector
+
+
+class _Bundle:
+    """A language's vector so far, and trigrams that are still to be bound.
+
+    Equal trigrams are added up first, so that each is bound once for many texts. The sums are whole
+    numbers, so their order does not matter.
+    """
+
+    def __init__(self, width: int, seed: int):
+        self.width, self.seed = width, seed
+        self.vector = np.zeros(width)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, seen: np.ndarray, weights: np.ndarray) -> None:
+        self.waiting.append((seen, weights))
+        self.size += len(seen)
+        if self.size > HELD:
+            self._join()
+            if self.size > HELD // 2:
+                self._bind()
+
+    def _join(self) -> None:
+        seen, at = np.unique(np.concatenate([s for s, _ in self.waiting]), return_inverse=True)
+        weights = np.bincount(at, weights=np.concatenate([w for _, w in self.waiting]))
+        self.waiting, self.size = [(seen, weights)], len(seen)
+
+    def _bind(self) -> None:
+        for seen, weights in self.waiting:
+            self.vector += _bundled(seen, weights, self.width, self.seed, np.float64)
+        self.waiting, self.size = [], 0
+
+    def total(self) -> np.ndarray:
+        if self.waiting:
+            self._join()
+            self._bind()
+        return np.rint(self.vector).astype(np.int64)
 
 
 def learn_prototypes(training: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -121,23 +150,34 @@ def learn_prototypes(training: DataFrame, width: int = WIDTH, seed: int = SEED)
     All texts count in full. Rows without language, text or letters teach nothing.
     """
     rows = training.select("lang", "text").where("lang is not null and text is not null")
-    counts = (
-        rows.mapInArrow(_count_batches, "lang string, trigram int, n bigint")
-        .groupBy("lang", "trigram")
-        .agg(F.sum("n").alias("n"))
-    )
 
-    def bundle(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = trigram_vectors(width, seed)
-        total = np.zeros(width)
-        for start in range(0, len(group), 4096):
-            part = group.iloc[start : start + 4096]
-            total += part["n"].to_numpy(np.float64) @ vectors[part["trigram"].to_numpy()].astype(
-                np.float64
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundles: dict[str, _Bundle] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                found = trigrams(text)
+                if found is None:
+                    continue
+                seen, times = np.unique(found, return_counts=True)
+                bundles.setdefault(lang, _Bundle(width, seed)).add(seen, weights_of(times))
+        for lang, of_lang in bundles.items():
+            yield pa.record_batch(
+                [
+                    pa.array([lang] * width, pa.string()),
+                    pa.array(np.arange(width), pa.int32()),
+                    pa.array(of_lang.total()),
+                ],
+                names=["lang", "place", "n"],
             )
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        total = group.sort_values("place")["n"].to_numpy(np.float64)
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "prototype": [total.tobytes()]})
 
-    return counts.groupBy("lang").applyInPandas(bundle, "lang string, prototype binary")
+    # as many rows per task and language as a vector is long, added up before they meet
+    sums = rows.mapInArrow(bundle, "lang string, place int, n bigint")
+    places = sums.groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    return places.groupBy("lang").applyInPandas(joined, "lang string, prototype binary")
 
 
 def text_vector(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray | None:
@@ -146,13 +186,7 @@ def text_vector(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.nd
     if found is None:
         return None
     seen, times = np.unique(found, return_counts=True)
-    weights = weights_of(times).astype(np.float32)
-    vector = np.zeros(width, np.float32)
-    vectors = trigram_vectors(width, seed)
-    for start in range(0, len(seen), 2048):
-        part = slice(start, start + 2048)
-        vector += weights[part] @ vectors[seen[part]].astype(np.float32)
-    return vector
+    return _bundled(seen, weights_of(times), width, seed, np.float32)
 
 
 def predict_languages(
@@ -187,8 +221,9 @@ def predict_languages(
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([of_text(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = rest.withColumn("_language", predicted(F.col(text_column)))
-    return found.select(*(F.col(f"`{c}`") for c in rest.columns), "_language.*")
+    name = spare_name(rest, "_language")
+    found = rest.withColumn(name, predicted(F.col(text_column)))
+    return found.select(*(F.col(f"`{c}`") for c in rest.columns), f"{name}.*")
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,12 +262,15 @@ def least_score(training: DataFrame, prototypes: DataFrame) -> float:
 
 
 def keep_known_languages(docs: DataFrame) -> DataFrame:
-    """The documents in a learnt language; prototypes come from all labelled ones among them."""
+    """The documents in a learnt language; prototypes come from all labelled ones among them.
+
+    Documents without text or letters go. The columns of ``docs`` stay, whatever their names; no
+    rows give none.
+    """
     prototypes = settle(learn_prototypes(docs))
     least = least_score(docs, prototypes)
-    kept = predict_languages(
-        docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), prototypes
-    ).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.drop("lang_pred", "score").withColumnsRenamed(
-        {"_lang_pred": "lang_pred", "_score": "score"}
+    aside = set_aside(docs, "lang_pred", "score")
+    kept = predict_languages(docs.withColumnsRenamed(aside), prototypes).where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     )
+    return kept.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in aside.items()})
