@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm.text import documents, tables_of, words_of
+from stationflow.llm.text import documents, set_aside, tables_of, words_of
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -28,8 +28,8 @@ WINDOW = 3
 
 #: Labelled documents of each kind that the field is fitted on.
 TRAINING_DOCUMENTS = 1500
-#: Lines of one training document that the field is fitted on.
-TRAINING_LINES = 400
+#: The fit follows labels over so many lines at once; longer texts are cut into such stretches.
+STRETCH = 400
 #: Share of the words that must stand in content lines.
 LEAST_CONTENT = 0.5
 
@@ -198,18 +198,23 @@ def viterbi(field: Field, texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def fit_field(
-    texts: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1
+    texts: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1,
+    stretch: int = STRETCH,
 ) -> Field:
-    """Maximum likelihood with a small penalty, by Adam on the exact gradient."""
+    """Maximum likelihood with a small penalty, by Adam on the exact gradient.
+
+    All lines count; between two stretches of a long text no label follows another.
+    """
     both = [(t, y) for t, y in zip(texts, labels) if len(t)]
     if len({y for _, y in both}) < 2:
         return Field.empty()
-    texts = [t for t, _ in both]
+    cut = [(t[s : s + stretch], y, len(t)) for t, y in both for s in range(0, len(t), stretch)]
+    texts = [t for t, _, _ in cut]
     order, lengths, active = _by_length(texts)
     starts = np.cumsum(lengths) - lengths
     lines = np.concatenate(texts).astype(np.float64)
-    truth = np.repeat([y for _, y in both], lengths)
-    weight = np.repeat(1 / lengths, lengths)  # every text counts the same
+    truth = np.repeat([y for _, y, _ in cut], lengths)
+    weight = np.repeat([1 / whole for _, _, whole in cut], lengths)  # texts count the same
     rows = [starts[order[:n]] + t for t, n in enumerate(active.tolist())]
     theta = np.zeros((len(FEATURES) + 2, 2))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
@@ -253,8 +258,9 @@ def train_field(
 ) -> Field:
     """The field fitted on up to ``most`` labelled documents of each kind, chosen by key hash.
 
-    Labels other than 0 and 1 are ignored; without both kinds the field knows nothing, and every
-    line is content.
+    All their lines count. Of several rows with one id, one counts: that with the least features.
+    Labels other than 0 and 1, and null ids, are ignored; without both kinds the field knows
+    nothing, and every line is content.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     chosen = None
@@ -268,7 +274,7 @@ def train_field(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [measure(t)[1][:TRAINING_LINES] for t in batch.column("text").to_pylist()]
+            found = [measure(t)[1] for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 [
                     batch.column("doc_id"), batch.column("quality"),
@@ -278,9 +284,10 @@ def train_field(
             )
 
     kinds = dict(rows.dtypes)
-    sample = rows.mapInArrow(
+    measured = rows.mapInArrow(
         features, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, lines binary"
-    ).collect()
+    )
+    sample = measured.groupBy("doc_id", "quality").agg(F.min("lines").alias("lines")).collect()
     width = (len(FEATURES) + 7) // 8
     sample.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["lines"])))
     texts = [
@@ -302,7 +309,8 @@ def judge_quality(
 
     ``content`` holds one flag per line with a word. Every whole text is read; a null text has no
     words and fails the base rules, as an empty one does. Rows are judged each for itself, so
-    repeated rows get equal verdicts. No shuffle.
+    repeated rows get equal verdicts; no rows give none. A column ``quality`` is replaced, other
+    columns stay. No shuffle.
     """
     schema = (
         ", ".join(f"{c} bigint" for c in COUNTS)
@@ -343,7 +351,8 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    judged = judge_quality(docs.withColumnRenamed("quality", "_quality"), train_field(docs, labels))
+    """The documents that pass, with their own columns, whatever their names."""
+    aside = set_aside(docs, "quality")
+    judged = judge_quality(docs.withColumnsRenamed(aside), train_field(docs, labels))
     kept = judged.where("quality.kept").drop("quality")
-    return kept.withColumnRenamed("_quality", "quality")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()})
