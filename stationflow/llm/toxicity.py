@@ -2,8 +2,9 @@
 
 The categories are predicted one after the other by linear models on word counts; every model
 also sees the probabilities of the categories before it. In training these probabilities are
-out-of-fold: predicted by models that did not see the row, so later links learn from inputs as
-uncertain as those they meet.
+out-of-fold: the words, the marked words, the median and the weights behind them come from the other
+folds alone, so later links learn from inputs as uncertain as those they meet. Equal texts share a
+fold.
 
 Categories, of which only the first is labelled in the data, the others following from the label
 and the text: ``toxic``; ``severe``, toxic with a share of marked words at or above the median of
@@ -23,10 +24,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationflow.llm.text import documents
+from stationflow.session import settle
 
 CATEGORIES = ("toxic", "severe", "repeated")
 TRAINING_DOCUMENTS = 4000
@@ -86,30 +88,56 @@ def _fit(inputs: np.ndarray, truth: np.ndarray, rounds: int = 300) -> np.ndarray
     return weight
 
 
+@dataclass(frozen=True)
+class Pick:
+    """Words chosen for a model: their columns, and which of them are marked."""
+
+    places: np.ndarray
+    marked: np.ndarray
+
+
+def category_truth(
+    counts: np.ndarray, sizes: np.ndarray, marked: np.ndarray, toxic: np.ndarray, known: np.ndarray
+) -> np.ndarray:
+    """One column per category; the median share is that of the toxic texts among ``known``."""
+    hits = counts[:, marked]
+    share = hits.sum(axis=1) / np.maximum(sizes, 1)
+    bad = toxic > 0
+    typical = np.median(share[bad & known]) if (bad & known).any() else np.inf
+    severe = bad & (share >= typical) & (share > 0)
+    return np.stack([bad, severe, bad & (hits.max(axis=1, initial=0) >= 2)], axis=1).astype(float)
+
+
 def fit_chain(
-    words: list[str], marked: np.ndarray, counts: np.ndarray, sizes: np.ndarray,
+    words: list[str], picks: list[Pick], counts: np.ndarray, sizes: np.ndarray,
     toxic: np.ndarray, folds: np.ndarray,
 ) -> Chain:
-    """The chain from word counts of the training texts; ``folds`` are 0 to ``FOLDS`` - 1."""
-    inputs = chain_inputs(counts, sizes, marked)
-    share = counts[:, marked].sum(axis=1) / np.maximum(sizes, 1)
-    typical = np.median(share[toxic > 0]) if (toxic > 0).any() else np.inf
-    truth = np.stack([
-        toxic > 0,
-        (toxic > 0) & (share >= typical) & (share > 0),
-        (toxic > 0) & (counts[:, marked].max(axis=1, initial=0) >= 2),
-    ], axis=1).astype(float)
-    outside = np.zeros((len(inputs), len(CATEGORIES)))
-    weights = []
-    for link in range(len(CATEGORIES)):
-        linked = _linked(inputs, outside[:, :link])
-        weights.append(_fit(linked, truth[:, link]))
-        for fold in range(FOLDS):
+    """The chain from word counts of the training texts; ``folds`` are 0 to ``FOLDS`` - 1.
+
+    The first of ``picks`` is chosen on all texts, the others each without one fold.
+    """
+    everyone = np.ones(len(counts), bool)
+
+    def seen_by(pick: Pick, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = counts[:, pick.places].astype(np.float64)
+        truth = category_truth(own, sizes, pick.marked, toxic, known)
+        return chain_inputs(own, sizes, pick.marked), truth
+
+    outside = np.zeros((len(counts), len(CATEGORIES)))
+    for link in range(len(CATEGORIES) - 1):
+        for fold, pick in enumerate(picks[1:]):
             out = folds == fold
             if out.any() and not out.all():
+                inputs, truth = seen_by(pick, ~out)
+                linked = _linked(inputs, outside[:, :link])
                 part = _fit(linked[~out], truth[~out, link])
                 outside[out, link] = _sigmoid(linked[out] @ part)
-    return Chain({w: i for i, w in enumerate(words)}, marked, weights)
+    inputs, truth = seen_by(picks[0], everyone)
+    weights = [
+        _fit(_linked(inputs, outside[:, :link]), truth[:, link]) for link in range(len(CATEGORIES))
+    ]
+    own = [words[i] for i in picks[0].places]
+    return Chain({w: i for i, w in enumerate(own)}, picks[0].marked, weights)
 
 
 def chain_inputs(counts: np.ndarray, sizes: np.ndarray, marked: np.ndarray) -> np.ndarray:
@@ -149,19 +177,60 @@ def word_counts(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.
 
 
 def _words_per_text(rows: DataFrame) -> DataFrame:
-    """Each distinct word (letters, lower case) of each training text, with its label."""
+    """Each distinct word (letters, lower case) of each training text, with its label and fold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column("text").to_pylist(), batch.column("toxic").to_pylist()
-            for text, label in zip(texts, labels):
+            of = (batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))
+            for text, label, fold in zip(*of):
                 words = sorted({w.lower() for w in _LETTERS.findall(text or "")})
                 yield pa.record_batch(
-                    [pa.array(words, pa.string()), pa.array([label] * len(words), pa.int32())],
-                    names=["word", "toxic"],
+                    [pa.array(words, pa.string()), pa.array([label] * len(words), pa.int32()),
+                     pa.array([fold] * len(words), pa.int32())],
+                    names=["word", "toxic", "fold"],
                 )
 
-    return rows.select("text", "toxic").mapInArrow(cut, "word string, toxic int")
+    return rows.select("text", "toxic", "fold").mapInArrow(cut, "word string, toxic int, fold int")
+
+
+def fold_of(text: Column) -> Column:
+    """The fold of a training text; equal texts are in one."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def chosen_words(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """``pick, word, marked``: the words with most evidence, on all texts and without each fold.
+
+    Pick 0 counts all texts, pick k + 1 all but those of fold k; ``sizes`` are texts by label and
+    fold. At most ``VOCABULARY`` words a pick; equal evidence goes by word.
+    """
+    in_fold_of = [
+        F.count_if((F.col("toxic") == kind) & (F.col("fold") == fold)).alias(f"n{kind}_{fold}")
+        for kind in (0, 1) for fold in range(FOLDS)
+    ]
+    picks = []
+    for pick in range(FOLDS + 1):
+        kept = [fold for fold in range(FOLDS) if fold != pick - 1]
+        n1, n0 = (sum(sizes.get((kind, f), 0) for f in kept) for kind in (1, 0))
+        if not n1 or not n0:
+            continue
+        p, q = (
+            (sum((F.col(f"n{kind}_{f}") for f in kept), F.lit(0)) + 0.5) / (n + 1)
+            for kind, n in ((1, n1), (0, n0))
+        )
+        evidence = (p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
+        picks.append(F.struct(
+            F.lit(pick).alias("pick"), evidence.alias("evidence"),
+            ((evidence > 0) & (p >= MARKED_RATIO * q)).alias("marked"),
+        ))
+    found = (
+        _words_per_text(rows).groupBy("word").agg(*in_fold_of)
+        .select("word", F.inline(F.array(*picks)))
+        .where(F.abs("evidence") >= EVIDENCE)
+    )
+    order = Window.partitionBy("pick").orderBy(F.abs("evidence").desc(), "word")
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= VOCABULARY).select("pick", "word", "marked")
 
 
 def train_chain(
@@ -169,7 +238,8 @@ def train_chain(
 ) -> Chain:
     """The chain fitted on up to ``most`` labelled documents of each kind.
 
-    Labels other than 0 and 1 are ignored; without both kinds the chain is untrained.
+    Of several rows with one id, one counts: that with the least text. Labels other than 0 and 1,
+    and null ids, are ignored; without both kinds the chain is untrained.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic")
@@ -178,55 +248,53 @@ def train_chain(
     chosen = known.where("toxic = 1").orderBy(*by_hash).limit(most).unionByName(
         known.where("toxic = 0").orderBy(*by_hash).limit(most)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return Chain()
-    in_toxic, in_clean = (
-        (F.sum(F.when(F.col("toxic") == kind, 1).otherwise(0)) + 0.5) / (sizes[kind] + 1)
-        for kind in (1, 0)
-    )
-    shares = (
-        _words_per_text(rows).groupBy("word")
-        .agg(in_toxic.alias("p"), in_clean.alias("q"))
-        .withColumn(
-            "evidence",
-            (F.col("p") - F.col("q"))
-            / F.sqrt(F.col("p") * (1 - F.col("p")) / sizes[1] + F.col("q") * (1 - F.col("q")) / sizes[0]),
-        )
-    )
-    chosen_words = (
-        shares.where(F.abs("evidence") >= EVIDENCE)
-        .orderBy(F.abs("evidence").desc(), "word").limit(VOCABULARY).collect()
-    )
-    words = [r["word"] for r in chosen_words]
-    marked = np.array(
-        [r["evidence"] > 0 and r["p"] >= MARKED_RATIO * r["q"] for r in chosen_words], bool
+    rows = settle(
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        .withColumn("fold", fold_of(F.col("text")))
     )
-    if not words:
+    sizes = {
+        (r["toxic"], r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()
+    }
+    if len({kind for kind, _ in sizes}) < 2:
         return Chain()
+    found = chosen_words(rows, sizes).collect()
+    if not any(r["pick"] == 0 for r in found):
+        return Chain()
+    words = sorted({r["word"] for r in found})
     places = {w: i for i, w in enumerate(words)}
+    picks = []
+    for pick in range(FOLDS + 1):
+        own = sorted((places[r["word"]], r["marked"]) for r in found if r["pick"] == pick)
+        picks.append(Pick(np.array([i for i, _ in own], int), np.array([m for _, m in own], bool)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, of_text = word_counts(batch.column("text"), places)
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id").cast(pa.string()), batch.column("toxic"),
-                    pa.array(of_text, pa.int64()),
-                    pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary()),
-                ],
-                names=["id", "toxic", "n", "counts"],
-            )
-
-    sample = rows.mapInArrow(count, "id string, toxic int, n bigint, counts binary").collect()
-    sample.sort(key=lambda r: (r["id"], r["toxic"], bytes(r["counts"])))
-    counts = np.array([np.frombuffer(bytes(r["counts"]), "<f4") for r in sample], np.float64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                counts, of_text = word_counts(batch.column("text"), places)
+                hits = [np.flatnonzero(c) for c in counts]
+                yield pa.record_batch(
+                    [
+                        batch.column("doc_id").cast(pa.string()), batch.column("toxic"),
+                        batch.column("fold"), pa.array(of_text, pa.int64()),
+                        pa.array([h.astype(np.int32) for h in hits], pa.list_(pa.int32())),
+                        pa.array([c[h].astype(np.int32) for c, h in zip(counts, hits)],
+                                 pa.list_(pa.int32())),
+                    ],
+                    names=["id", "toxic", "fold", "n", "places", "counts"],
+                )
+
+    schema = "id string, toxic int, fold int, n bigint, places array<int>, counts array<int>"
+    sample = sorted(rows.mapInArrow(count, schema).collect(), key=lambda r: (r["id"], r["toxic"]))
+    counts = np.zeros((len(sample), len(words)), np.float32)
+    for row, r in zip(counts, sample):
+        row[r["places"]] = r["counts"]
     return fit_chain(
-        words, marked, counts,
+        words, picks, counts,
         np.array([r["n"] for r in sample], np.float64),
         np.array([r["toxic"] for r in sample]),
-        np.arange(len(sample)) % FOLDS,
+        np.array([r["fold"] for r in sample]),
     )
 
 
@@ -235,8 +303,9 @@ def predict_toxicity(
 ) -> DataFrame:
     """``id, p_toxic, p_severe, p_repeated`` and one flag per category, for every whole text.
 
-    A null text counts as empty. A later category is flagged only where the first is. Repeated
-    rows get equal rows; other columns are not read; no shuffle.
+    A null text counts as empty, a null id stays null. A later category is flagged only where the
+    first is. Repeated rows get equal rows, no rows give none; other columns are not read, whatever
+    their names; no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

@@ -62,7 +62,8 @@ def odd_docs(docs):
     return docs.withColumns({
         name: F.lit(1)
         for name in ("id", "row", "bucket", "place", "key", "size", "quality", "class", "draw",
-                     "score", "lang_pred", "word", "n", "component", "fingerprint", "copies")
+                     "score", "lang_pred", "word", "n", "component", "fingerprint", "copies",
+                     "_gone", "_language", "_quality", "_score", "_lang_pred", "fold", "toxic")
     })
 
 

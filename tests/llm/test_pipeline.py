@@ -12,7 +12,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tab
 @needs_tables
 def test_every_operator_is_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 

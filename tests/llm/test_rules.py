@@ -82,25 +82,47 @@ def test_quality_of_documents(odd_docs, labels, no_docs, corpus):
 
 def bundle(text, width=64):
     """The bundled vector, letter by letter."""
-    draw = np.random.default_rng(L.SEED)
-    letters = 2 * draw.integers(0, 2, (L.SYMBOLS, width)) - 1
+    def letter(symbol):
+        return 2 * np.random.default_rng([L.SEED, symbol]).integers(0, 2, width) - 1
+
     symbols = [0]
-    for letter in text:
-        symbol = int(L.symbol_table()[ord(letter)])
+    for mark in text:
+        symbol = ord(mark.lower()[0]) if mark.isalpha() else 0
         if symbol or symbols[-1]:
             symbols.append(symbol)
     symbols = symbols if symbols[-1] == 0 else [*symbols, 0]
-    total = np.zeros(width)
+    found = {}
     for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
-        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
-    return total
+        bound = np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        found.setdefault((a, b, c), []).append(bound)
+    return sum(round(8 * len(v) ** 0.5) * v[0] for v in found.values())
+
+
+TONGUES = ["Hello, wörld 12 ok", "a", "été... été", "日本 x 日本語", "Привет, мир", "straße û"]
 
 
-def test_language_vectors_against_letter_by_letter():
-    for text in ("Hello, wörld 12 ok", "a", "été...", "日本 x"):
-        counts = np.bincount(L.trigrams(text), minlength=L.TRIGRAMS)
-        assert np.array_equal(counts @ L.trigram_vectors(64).astype(float), bundle(text))
+def test_language_vectors_against_letter_by_letter(spark):
+    for text in TONGUES:
+        assert np.array_equal(L.text_vector(text, 64), bundle(text))
     assert all(L.trigrams(t) is None for t in (None, "", " 12 !"))
+    # each letter of any script has a vector of its own
+    vectors = L.letter_vectors(np.arange(0x400, 0x4FF))
+    assert len({v.tobytes() for v in vectors}) == len(vectors)
+    rows = [("xx", t) for t in TONGUES] + [("yy", TONGUES[0]), ("yy", None), (None, "a")]
+    learnt = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    found = {r["lang"]: np.frombuffer(bytes(r["prototype"]))
+             for r in L.learn_prototypes(learnt, 64).collect()}
+    assert np.array_equal(found["xx"], sum(map(bundle, TONGUES)))
+    assert np.array_equal(found["yy"], bundle(TONGUES[0])) and set(found) == {"xx", "yy"}
+
+
+def test_bundles_do_not_depend_on_what_is_held(monkeypatch):
+    monkeypatch.setattr(L, "HELD", 5)
+    held = L._Bundle(64, L.SEED)
+    for text in TONGUES:
+        seen, times = np.unique(L.trigrams(text), return_counts=True)
+        held.add(seen, L.weights_of(times))
+    assert np.array_equal(held.total(), sum(map(bundle, TONGUES)))
 
 
 def test_languages(odd_docs, no_docs):
@@ -163,3 +185,113 @@ def test_words_of_the_chain_are_counted_in_whole_texts():
     counts, sizes = T.word_counts(pa.array(texts, pa.string()), {"bad": 0, "worse": 1})
     assert counts.tolist() == [[3, 1], [0, 0], [0, 0], [0, 1]]
     assert sizes.tolist() == [3, 0, 0, 4001]
+
+
+def loss(weight, inputs, truth):
+    """What the links minimise: both kinds weigh the same, the bias goes free."""
+    share = truth.mean()
+    balance = np.where(truth > 0, 0.5 / share, 0.5 / (1 - share)) / len(truth)
+    x = inputs @ weight
+    own = balance @ (np.logaddexp(0, x) - truth * x)
+    return own + 0.5e-3 * (weight[:-1] ** 2).sum()
+
+
+def test_links_reach_the_least_loss():
+    rng = np.random.default_rng(2)
+    inputs = np.hstack([rng.normal(size=(200, 3)), np.ones((200, 1))])
+    truth = (inputs @ [1.5, -2, 0, 0.5] + rng.normal(size=200) > 0).astype(float)
+    found = T._fit(inputs, truth, rounds=3000)
+    for axis in range(4):
+        for step in (-0.05, 0.05):
+            moved = found.copy()
+            moved[axis] += step
+            assert loss(found, inputs, truth) < loss(moved, inputs, truth)
+
+
+def test_chain_against_plain_folds():
+    """Every out-of-fold probability from a model that is built without that fold's rows."""
+    rng = np.random.default_rng(7)
+    words = ["bad", "worse", "mild", "other", "plain"]
+    toxic = rng.integers(0, 2, 80)
+    counts = rng.poisson(np.where(toxic[:, None] > 0, [1, 1, 0.5, 1, 1], [0.1, 0, 0.4, 1, 1]))
+    sizes, folds = rng.integers(20, 60, 80).astype(float), rng.integers(0, T.FOLDS, 80)
+    everything = T.Pick(np.array([0, 1, 3]), np.array([True, True, False]))
+    without = [T.Pick(np.array(p), np.array(m)) for p, m in (
+        ([0, 1, 3], [True, True, False]), ([0, 2], [True, False]), ([1, 4], [True, False]),
+        ([], []), ([0, 1, 2], [True, True, False]))]
+    without[3] = T.Pick(np.zeros(0, int), np.zeros(0, bool))
+
+    def plain_truth(pick, known):
+        marked = [p for p, m in zip(pick.places, pick.marked) if m]
+        share = [sum(c[p] for p in marked) / s for c, s in zip(counts, sizes)]
+        typical = np.median([s for s, t, k in zip(share, toxic, known) if t and k])
+        return np.array([
+            (t, t and s >= typical and s > 0, t and max((c[p] for p in marked), default=0) >= 2)
+            for c, s, t in zip(counts, share, toxic)
+        ], float)
+
+    outside = np.zeros((80, 3))
+    for link in range(3):
+        for fold, pick in enumerate(without):
+            known = folds != fold
+            inputs = T.chain_inputs(counts[:, pick.places].astype(float), sizes, pick.marked)
+            linked = np.hstack([inputs, outside[:, :link], np.ones((80, 1))])
+            model = T._fit(linked[known], plain_truth(pick, known)[known, link])
+            outside[~known, link] = 1 / (1 + np.exp(-linked[~known] @ model))
+    chain = T.fit_chain(words, [everything, *without], counts, sizes, toxic, folds)
+    assert list(chain.words) == ["bad", "worse", "other"]
+    inputs = T.chain_inputs(counts[:, everything.places].astype(float), sizes, everything.marked)
+    truth = plain_truth(everything, folds >= 0)
+    for link in range(3):
+        linked = np.hstack([inputs, outside[:, :link], np.ones((80, 1))])
+        assert np.allclose(chain.weights[link], T._fit(linked, truth[:, link]))
+
+
+def test_words_are_chosen_without_the_fold(spark):
+    rows = [(i, int(i % 2), "vermin here" if i % 2 else "fine here", i % T.FOLDS) for i in range(400)]
+    # a word of one fold only: all texts and the other picks see it, that fold's pick does not
+    rows = [(i, t, f"{x} secret" if t and f == 2 else x, f) for i, t, x, f in rows]
+    frame = spark.createDataFrame(rows, "doc_id int, toxic int, text string, fold int")
+    sizes = {(k, f): 40 for k in (0, 1) for f in range(T.FOLDS)}
+    found = {}
+    for r in T.chosen_words(frame, sizes).collect():
+        found.setdefault(r["pick"], {})[r["word"]] = r["marked"]
+    assert all(words["vermin"] and not words["fine"] for words in found.values())
+    assert "secret" in found[0] and "secret" not in found[3] and "here" not in found[0]
+    same = frame.select(T.fold_of(F.lit("same text")).alias("f")).distinct().collect()
+    assert len(same) == 1 and 0 <= same[0]["f"] < T.FOLDS
+
+
+def test_one_id_with_many_rows(spark, odd_docs, labels):
+    """A labelled id that many rows share gives the fits one row."""
+    many = odd_docs.where("doc_id = 3").select(
+        "doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(300)))
+    ).drop("col")
+    docs = odd_docs.select("doc_id", "text").unionByName(many)
+    once = Q.train_field(odd_docs.select("doc_id", "text"), labels)
+    again = Q.train_field(docs, labels)
+    assert np.allclose(once.emission, again.emission) and np.allclose(once.transition, again.transition)
+
+
+def test_all_lines_of_a_long_text_count():
+    rng = np.random.default_rng(6)
+
+    def lines(n, feature):
+        made = rng.random((n, len(Q.FEATURES))) < 0.1
+        made[:, 0], made[:, 4] = True, feature
+        return made
+
+    texts, labels = [lines(9, bool(i % 2)) for i in range(40)], [i % 2 for i in range(40)]
+    apart = Q.fit_field([*texts, np.vstack([lines(12, True), lines(300, False)])], [*labels, 1], stretch=12)
+    whole = Q.fit_field([*texts, lines(12, True)], [*labels, 1], stretch=12)
+    assert not np.allclose(apart.emission, whole.emission)  # the later stretches are read
+    assert all(np.array_equal(Q.fit_field(texts, labels, stretch=s).emission,
+                              Q.fit_field(texts, labels).emission) for s in (9, 50))
+
+
+def test_a_text_of_very_many_lines():
+    text = "\n".join(f"a line of some {i} words" for i in range(20_000))
+    counts, lines, sizes = Q.measure(text)
+    assert counts[0] == 120_000 and len(lines) == len(sizes) == 20_000
+    (labels,) = Q.viterbi(Q.Field.empty(), [lines])
+    assert labels.tolist() == [Q.CONTENT] * 20_000
