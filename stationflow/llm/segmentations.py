@@ -43,6 +43,9 @@ SEED = 2024
 TOGETHER = 250
 #: Characters of them at most, unless a single text has more.
 CHARACTERS = 150_000
+#: Characters of distinct words that are counted before the library encodes them.
+WORDS_HELD = 1_000_000
+
 
 def _pieces(path: str) -> Pieces:
     held = tables_of("segmentations")
@@ -58,18 +61,34 @@ def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
         pieces = _pieces(vocabulary)
         lone_mark = pieces.library.piece_to_id(MARK)
         counts = np.zeros(pieces.size, np.int64)
+        held: dict[str, int] = {}
+        size = 0
+
+        def encode_held() -> None:
+            # the library puts the first mark before what it is given, but not before nothing
+            found = pieces.library.encode([c[1:] for c in held], num_threads=1)
+            found = [f if c != MARK else [lone_mark] for c, f in zip(held, found)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for f in found for i in f), np.int64, int(lengths.sum()))
+            times = np.repeat(np.fromiter(held.values(), np.int64, len(held)), lengths)
+            # a sum of whole numbers, exact in a double
+            counts[:] += np.bincount(ids, times, minlength=pieces.size).astype(np.int64)
+            held.clear()
+
         for batch in batches:
             for low, high in stretches(batch.column("text"), 4 * CHARACTERS):
                 texts = batch.column("text").slice(low, high - low).to_pylist()
                 distinct, chunk, _ = chunk_texts(texts)
-                n = np.bincount(chunk, minlength=len(distinct))
-                # the library puts the first mark before what it is given, but not before nothing
-                found = pieces.library.encode([c[1:] for c in distinct], num_threads=1)
-                found = [f if c != MARK else [lone_mark] for c, f in zip(distinct, found)]
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                ids = np.fromiter((i for f in found for i in f), np.int64, int(lengths.sum()))
-                times = np.repeat(n, lengths)
-                counts += np.bincount(ids, times, minlength=pieces.size).astype(np.int64)
+                for word, n in zip(distinct, np.bincount(chunk, minlength=len(distinct)).tolist()):
+                    if word not in held:
+                        held[word] = 0
+                        size += len(word)
+                    held[word] += n
+                if size > WORDS_HELD:
+                    encode_held()
+                    size = 0
+        if held:
+            encode_held()
         seen_ids = np.flatnonzero(counts)
         yield pa.record_batch(
             [pa.array(seen_ids, pa.int32()), pa.array(counts[seen_ids], pa.int64())],
@@ -184,14 +203,17 @@ def sample_texts(
         if not opened:
             break
         heads = []
-        for text, value, step, path, logs, gone in opened:
-            node = int(lattice.start[path[0][step]])
+        tops = lattice.start[[o[3][0][o[2]] for o in opened]]
+        of_tops = np.array([o[3][1][o[2]] for o in opened])
+        where = place[of_tops] + tops - lattice.first[chunk[of_tops]]
+        own_keys = keys[[o[0] for o in opened]]
+        picks = _uniform(own_keys, draw, where).tolist()
+        rests = _uniform(own_keys, draw + 100_000, where)
+        for (text, value, step, path, logs, gone), node, pick in zip(opened, tops.tolist(), picks):
             out = np.arange(lattice.pointer[node], lattice.pointer[node + 1])
             taken = gone.get(step, frozenset()) | {int(path[0][step])}
             left = out[~np.isin(out, list(taken))]
             chances = np.exp(lattice.chance[left])
-            where = int(place[path[1][step]]) + node - int(lattice.first[chunk[path[1][step]]])
-            pick = float(_uniform(keys[text : text + 1], draw, np.array([where]))[0])
             edge = int(left[min(np.searchsorted(np.cumsum(chances), pick * chances.sum()),
                                 len(left) - 1)])
             heads.append((edge, taken))
@@ -229,10 +251,9 @@ def sample_texts(
             rest = 1.0 - float(np.exp(lattice.chance[[edge, *taken]]).sum())
             step_values = np.full(len(grown[0]), -np.inf)
             if lattice.pointer[node + 1] - lattice.pointer[node] > len(taken) + 1 and rest > 1e-12:
-                where = np.array([int(place[grown[1][step]]) + node])
-                again = _uniform(keys[text : text + 1], draw + 100_000, where)
                 step_values[step] = _truncated(
-                    np.array([before_step[step] + np.log(rest)]), np.array([value]), again
+                    np.array([before_step[step] + np.log(rest)]), np.array([value]),
+                    rests[at : at + 1],
                 )[0]
             step_values[step + 1 :] = values[low:high]
             here = {**{s: g for s, g in gone.items() if s < step}, step: frozenset(taken)}
@@ -271,7 +292,8 @@ def _parts(
     filled = begins[sizes > 0]
     running = running - np.repeat(running[filled], sizes[sizes > 0]) + carried
     chance = np.exp(np.minimum(logs, 0.0))
-    several = np.diff(lattice.pointer)[lattice.start[edges]] > 1
+    at = lattice.start[edges]
+    several = lattice.pointer[at + 1] - lattice.pointer[at] > 1
     with np.errstate(divide="ignore"):
         location = running + np.log(np.where(several, 1 - chance, 0.0))
     where = place[step_chunk] + lattice.start[edges] - lattice.first[chunk[step_chunk]]
