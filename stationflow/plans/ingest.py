@@ -58,7 +58,7 @@ def _typed(feed: str) -> dict[str, Column]:
         first = F.coalesce(F.col("pos"), F.lit(0)) == 0
         return {
             **{c: F.col(f"item.{c}") for c in ("vehicle_type_id", "form_factor", "propulsion_type")},
-            "name": preferred_text(F.expr(G.nested("item.name", G.TEXTS))),
+            "name": preferred_text(F.col(G.texts_column("name"))),
             "known_types": F.when(first, F.transform(types, lambda t: t["vehicle_type_id"])),
             "electric_types": F.when(first, F.transform(
                 F.filter(types, lambda t: t["propulsion_type"].isin(*S.ELECTRIC_PROPULSION)),
@@ -68,7 +68,7 @@ def _typed(feed: str) -> dict[str, Column]:
     if feed == G.STATION_INFORMATION:
         return {
             "station_id": F.col("item.station_id"),
-            "station_name": preferred_text(F.expr(G.nested("item.name", G.TEXTS))),
+            "station_name": preferred_text(F.col(G.texts_column("name"))),
             "address": F.col("item.address"),
             "lat": F.expr(G.real("item.lat")),
             "lon": F.expr(G.real("item.lon")),

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from feed_fixtures import TANDEM, bundle_lines, cycle
 from stationflow.plans import ingest as I
@@ -172,3 +173,56 @@ def test_preview_repeats_stations_but_not_types(spark):
 def test_rules_table(spark):
     rules = G.rules_table(spark)
     assert rules.where("feed = 'station_information' and path = 'lat' and rule = 'range'").count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("feed", G.CYCLE_FEEDS)
+def test_findings_parse_each_payload_once(spark, feed):
+    """A filter on the findings once went below the explode, with the parsing in it."""
+    rows = spark.createDataFrame([], "cycle_id string, observed_at timestamp, feed string, payload string")
+    bodies = 1 if G.FEEDS[feed].suspects is None else 2  # plain texts, and variants
+    plan = plan_of(G.feed_violations(rows, feed).select("cycle_id", "rule"))
+    assert plan.count("StructField(last_updated") <= bodies
+
+
+def test_verdicts_read_each_payload_once(spark):
+    rows = spark.range(1).selectExpr(
+        "'c' AS cycle_id", "current_timestamp() AS observed_at", "uuid() AS feed", "uuid() AS payload"
+    )
+    assert " Join " not in plan_of(G.feed_verdicts(rows))
+
+
+def test_a_feed_without_rules_is_valid(spark):
+    rows = spark.createDataFrame(
+        [("c", None, "alerts", "[]"), ("c", None, G.SYSTEM_INFORMATION, "[]")],
+        "cycle_id string, observed_at timestamp, feed string, payload string",
+    )
+    found = {(r.cycle_id, r.feed): r.valid for r in G.feed_verdicts(rows).collect()}
+    assert found == {("c", "alerts"): True, ("c", G.SYSTEM_INFORMATION): False}
+
+
+def test_whole_numbers_in_every_spelling(spark):
+    texts = ["7", "-7", "007", "+7", " 7 ", "7.0", "7.5", "7e0", "-0", "x", "", None,
+             "9223372036854775807", "9223372036854775808", "9223372036854775807.0"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    found = [r[0] for r in rows.orderBy("i").selectExpr(G.whole("x")).collect()]
+    top = 9223372036854775807
+    assert found == [7, -7, 7, 7, 7, 7, None, 7, 0, None, None, None, top, None, top]
+
+
+def test_suspects_are_those_of_the_three_plain_patterns(spark):
+    texts = [
+        '{"station_id":1}', '{"station_id" : "a"}', '{"station_id":null}', "{'station_id': [1]}",
+        '{"station\\u005fid":"a"}', '{"name":"\\u00e9"}', '{"a":"\\u00e9", "b":1}', '{"_odd":[]}',
+        '{"x":"\\\\station_id\\":1"}', '\\"station_id":1', '{"address":2}', '{}', '',
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    for feed in G.FEEDS.values():
+        if feed.texts:
+            names = "|".join(feed.texts)
+            plain = rf"""["'](?:{names})["']\s*:\s*[^"'\sn]|\\u[^"']*["']\s*:|["']{G.ODD}["']"""
+            differ = F.col("x").rlike(plain) != F.col("x").rlike(feed.suspects)
+            assert rows.where(differ).count() == 0
