@@ -135,6 +135,20 @@ def test_first_trees_are_the_rounds(spark, run, seeded, catalog):
     assert math.isclose(mean, errors[1], rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("settings", [T.TreeSettings(), B.LeafSettings()])
+def test_a_fit_reads_rows_dealt_over_all_cores(spark, run, seeded, catalog, settings):
+    """All rows of three stations were in the few partitions that the join left."""
+    trained, _ = run
+    split = compute_features(seeded, catalog).withColumns(
+        {"split": F.lit("train"), "target_delta": F.lit(0)}
+    )
+    rows = T.training_rows(settings, split, trained.codes, 3)
+    sizes = rows.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    cores = spark.sparkContext.defaultParallelism
+    assert len(sizes) == cores
+    assert sizes.sum() == split.count() and sizes.max() <= 2 * sizes.sum() / cores
+
+
 def test_rounds(spark, run, seeded, catalog):
     trained, _ = run
     features = compute_features(seeded, catalog)
