@@ -226,3 +226,33 @@ def test_suspects_are_those_of_the_three_plain_patterns(spark):
             plain = rf"""["'](?:{names})["']\s*:\s*[^"'\sn]|\\u[^"']*["']\s*:|["']{G.ODD}["']"""
             differ = F.col("x").rlike(plain) != F.col("x").rlike(feed.suspects)
             assert rows.where(differ).count() == 0
+
+
+def test_suspects_are_found_by_their_names_first(spark):
+    texts = [
+        '{"station_id":1}', '{"station_id" : "a"}', '{"station_id":null}', "{'station_id': [1]}",
+        '{"station\\u005fid":"a"}', '{"a":"\\u00e9", "b":1}', '{"_odd":[]}', '{"x_station_id":1}',
+        '{"system_id"\n:\t{}}', '{"vehicle_type_id":"a","vehicle_type_id":true}', '{}', '',
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    for feed in G.FEEDS.values():
+        if feed.texts:
+            differ = F.col("x").rlike(feed.suspects) != feed.suspect(F.col("x"))
+            assert rows.where(differ).count() == 0
+
+
+def test_absent_fields_are_not_listed_as_broken(spark):
+    """A rule of two alternatives was true of records without its field, and all were listed."""
+    rows = landed(spark, (CYCLE, cycle()))
+    for feed in G.CYCLE_FEEDS:
+        broken = F.expr(G._any_broken(G.FEEDS[feed].rules, "item"))
+        assert not G.items(G.parse(rows, feed), feed).where(broken).count(), feed
+
+
+def test_object_check_with_its_own_key(spark):
+    key = f'"{G.END_KEY}"'
+    texts = [f"{{{key}:0}}", f"{{}},{key}:0}}", f"{{}},{key}:0", f"{{}},{key}:0}} x", f"{{}}]{key}",
+             '{},"\\u005fend_of_payload":0}', f'{{"a":"{G.END_KEY}"}}', '{"a":"\\u00e9"}', '{},']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")
+    good = [r.i for r in rows.where(G.is_json_object()).collect()]
+    assert sorted(good) == [0, 6, 7]
