@@ -13,6 +13,11 @@ cut: the classes outside a region's largest component visit all its blocks. The
 visitor's likeliest partner of each component in a block, the third every pair that is then still
 between components and that the signatures do not rule out. A family of thousands of near copies
 is thus linked by few confirmed pairs, and no region is too large to be compared as a whole.
+
+Pairs never leave their block: the signatures tell which classes have a likely partner there, only
+these classes' full sets travel, and the block returns the links that join its components, fewer
+than it holds classes. A family whose members all resemble each other a little too little costs
+comparisons that grow with its square, but no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +50,8 @@ DEPTH = 16
 PIECE = 512
 #: Bytes of text whose shingles are held together; a longer text is alone.
 PART_BYTES = 2 << 20
+#: Bytes of the full sets of a block's classes, on average.
+BLOCK_BYTES = 32 << 20
 #: Classes of one region held at once in the first pass; a longer one goes on with the last piece.
 HELD = 32 * PIECE
 #: Estimates so many standard errors below the limit rule a pair out.
@@ -222,90 +229,165 @@ def candidate_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(pairs, "u binary, v binary").distinct()
 
 
-def _likely_partners(
-    likely: np.ndarray, of_visitors: np.ndarray, of_hosts: np.ndarray, least: float, every: bool
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """Stretches of a block's visitors, each with the classes that live there.
+
+    Rows come by ``tree, region, block``, those that live there first; while the block stays the
+    same, so does the batch of them.
+    """
+    block, living, home = None, [], None
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in ("tree", "region", "block")]
+        visits = batch.column("visits").to_numpy(zero_copy_only=False)
+        changed = visits[1:] != visits[:-1]
+        for key in keys:
+            changed |= key[1:] != key[:-1]
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist()] if batch.num_rows else []
+        for low, high in zip(starts, [*starts[1:], batch.num_rows]):
+            here = tuple(int(key[low]) for key in keys)
+            if here != block:
+                block, living, home = here, [], None
+            part = batch.slice(low, high - low)
+            if not visits[low]:
+                living.append(part)
+            elif living:
+                if home is None:
+                    home = pa.concat_batches(living)
+                yield home, part
+
+
+def _between(
+    home: pa.RecordBatch, part: pa.RecordBatch, least: float, every: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places of likely pairs from different components: all, or one for a visitor and component."""
-    a, b = np.nonzero((likely >= least) & (of_visitors[:, None] != of_hosts[None, :]))
-    if every or not len(a):
-        return a, b
-    order = np.lexsort((-likely[a, b], of_hosts[b], a))
+    """Likely pairs of visitors and classes that live in the block, the likeliest first.
+
+    A pair that shares the region of several trees is left to the first of them, and one of two
+    classes that both visit to the block of the greater.
+    """
+    of_both = pa.chunked_array(
+        [home.column("component"), part.column("component")]
+    ).combine_chunks().dictionary_encode().indices.to_numpy()
+    likely = _agreement(
+        _matrix(part.column("signature"), MINIMA), _matrix(home.column("signature"), MINIMA)
+    )
+    names = [np.frombuffer(b"".join(x.column("class").to_pylist()), "S16") for x in (part, home)]
+    moves = home.column("moves").to_numpy(zero_copy_only=False)
+    tree = part.column("tree")[0].as_py()
+    one, two = (
+        x.column("regions").flatten().to_numpy().reshape(x.num_rows, -1) for x in (part, home)
+    )
+    a, b = np.nonzero(likely >= least)
+    kept = of_both[home.num_rows :][a] != of_both[: home.num_rows][b]
+    a, b = a[kept], b[kept]
+    kept = ~moves[b] | (names[0][a] < names[1][b])
+    for earlier in range(tree):
+        kept &= one[a, earlier] != two[b, earlier]
+    a, b = a[kept], b[kept]
+    order = np.argsort(-likely[a, b], kind="stable")
     a, b = a[order], b[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (of_hosts[b[1:]] != of_hosts[b[:-1]])
-    return a[first], b[first]
+    if not every and len(a):
+        # the first of a visitor and component is the likeliest
+        pairs = a * (len(of_both) + 1) + of_both[: home.num_rows][b]
+        first = np.sort(np.unique(pairs, return_index=True)[1])
+        a, b = a[first], b[first]
+    return a, b
 
 
-def pairs_between(
-    labels: DataFrame, signatures: DataFrame, percent: int, every: bool
-) -> DataFrame:
-    """Distinct likely pairs ``u, v`` from different components of a region, of any size.
+def _root(parents: dict[bytes, bytes], component: bytes) -> bytes:
+    while (above := parents.get(component)) is not None:
+        component = above
+    return component
+
 
-    ``labels`` are ``tree, region, class, component``, ``signatures`` are ``class, signature``. A
-    region is dealt into blocks by a hash of the class; a class outside its largest component
-    visits every block and is compared with all that live there. Blocks of a region are spread
-    over tasks; a task holds one block and reads its visitors as they come.
+def links_between(
+    labels: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, every: bool
+) -> DataFrame:
+    """Distinct links ``u, v`` that join the different components of a region, of any size.
+
+    ``labels`` are ``tree, region, class, component, n_shingles``, ``signatures`` are ``class,
+    signature, regions``, ``sets`` are ``class, shingles``. A region is dealt into blocks by a hash
+    of the class; a class outside its largest component visits every block and is compared with
+    all that live there. Blocks of a region are spread over tasks; a task holds one block and reads
+    its visitors as they come. Likely pairs are confirmed on the full sets in their block, the
+    likeliest first; a pair whose components a link of the block has joined needs no confirmation.
     """
-    by_component = labels.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    by_component = labels.groupBy("tree", "region", "component").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size")
+    )
     regions = settle(
         by_component.groupBy("tree", "region").agg(
-            F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")
+            F.sum("n").alias("n"), F.sum("size").alias("size"),
+            F.max(F.struct("n", "component")).alias("most"),
         )
         .where("n > most.n")
         .select(
             "tree", "region", F.col("most.component").alias("main"),
-            F.ceil(F.col("n") / PIECE).cast("int").alias("blocks"),
+            F.ceil(F.greatest(F.col("n") / PIECE, F.col("size") * 8 / BLOCK_BYTES))
+            .cast("int").alias("blocks"),
         )
     )
-    rows = settle(labels.join(regions, ["tree", "region"]).join(signatures, "class"))
-    wanted = ["tree", "region", "block", "visits", "class", "component", "signature"]
+    rows = settle(
+        labels.drop("n_shingles").join(regions, ["tree", "region"]).join(signatures, "class")
+        .withColumn("moves", F.col("component") != F.col("main"))
+    )
+    wanted = [
+        "tree", "region", "block", "visits", "class", "component", "moves", "signature", "regions"
+    ]
     hosts = rows.withColumns({
         "block": F.pmod(F.xxhash64("class"), F.col("blocks").cast("bigint")).cast("int"),
         "visits": F.lit(False),
     })
-    visitors = rows.where("component != main").withColumns({
+    visitors = rows.where("moves").withColumns({
         "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "visits": F.lit(True),
     })
+    blocks = ["tree", "region", "block"]
     dealt = (
         hosts.select(*wanted).unionByName(visitors.select(*wanted))
-        .repartition("tree", "region", "block")
-        .sortWithinPartitions("tree", "region", "block", "visits")
+        .repartition(*blocks).sortWithinPartitions(*blocks, "visits")
     )
     least = least_estimate(percent)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, living = None, []
-        for batch in batches:
-            found = set()
-            keys = [batch.column(c).to_numpy() for c in ("tree", "region", "block")]
-            visits = batch.column("visits").to_numpy(zero_copy_only=False)
-            changed = visits[1:] != visits[:-1]
-            for key in keys:
-                changed |= key[1:] != key[:-1]
-            starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
-            for low, high in zip(starts, [*starts[1:], batch.num_rows]):
-                here = tuple(int(key[low]) for key in keys)
-                if here != block:
-                    block, living = here, []
-                part = batch.slice(low, high - low)
-                if not visits[low]:
-                    living.append(part)
-                elif living:
-                    home = pa.Table.from_batches(living)
-                    of_both = pa.chunked_array(
-                        [*home.column("component").chunks, part.column("component")]
-                    ).combine_chunks().dictionary_encode().indices.to_numpy()
-                    known = _matrix(home.column("signature"), MINIMA)
-                    likely = _agreement(_matrix(part.column("signature"), MINIMA), known)
-                    a, b = _likely_partners(
-                        likely, of_both[home.num_rows :], of_both[: home.num_rows], least, every
-                    )
-                    one = part.column("class").take(pa.array(a)).to_pylist()
-                    two = home.column("class").take(pa.array(b)).to_pylist()
-                    found.update((x, y) if x < y else (y, x) for x, y in zip(one, two))
-            yield _pair_batch(found)
-
-    return dealt.mapInArrow(pairs, "u binary, v binary").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The classes of a block that have a likely partner there."""
+        home, met = None, None
+        for here, part in _visits(batches):
+            if here is not home:
+                if home is not None:
+                    yield home.filter(pa.array(met))
+                home, met = here, np.zeros(here.num_rows, bool)
+            a, b = _between(here, part, least, every)
+            met[b] = True
+            yield part.take(pa.array(np.unique(a)))
+        if home is not None:
+            yield home.filter(pa.array(met))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, parents = None, {}
+        for here, part in _visits(batches):
+            if here is not home:
+                home, parents = here, {}
+                held = here.column("shingles")
+                names, of_home = here.column("class"), here.column("component").to_pylist()
+            a, b = _between(here, part, least, every)
+            coming, of_part = part.column("shingles"), part.column("component").to_pylist()
+            links = set()
+            for i, j in zip(a.tolist(), b.tolist()):
+                one, two = _root(parents, of_part[i]), _root(parents, of_home[j])
+                if one == two:
+                    continue
+                if similar(
+                    np.frombuffer(coming[i].as_buffer(), "<u8"),
+                    np.frombuffer(held[j].as_buffer(), "<u8"), percent,
+                ):
+                    parents[one] = two
+                    links.add((part.column("class")[i].as_py(), names[j].as_py()))
+            yield _pair_batch(links)
+
+    likely = dealt.mapInArrow(meet, dealt.schema)
+    together = (
+        likely.join(sets, "class").repartition(*blocks).sortWithinPartitions(*blocks, "visits")
+    )
+    return together.mapInArrow(confirm, "u binary, v binary").distinct()
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -398,13 +480,14 @@ def near_duplicates(
             F.min("id").alias("id"),
             F.first("signature").alias("signature"),
             F.first("regions").alias("regions"),
+            F.first("n_shingles").alias("n_shingles"),
         )
     )
-    trees = classes.select("class", F.posexplode("regions").alias("tree", "region"))
+    trees = classes.select("class", "n_shingles", F.posexplode("regions").alias("tree", "region"))
     together = F.count("*").over(Window.partitionBy("tree", "region"))
     shared = settle(trees.withColumn("n", together).where("n > 1").drop("n"))
     partners = settle(
-        classes.select("class", "id", "signature").join(
+        classes.select("class", "id", "signature", "regions").join(
             shared.select("class").distinct(), "class", "left_semi"
         )
     )
@@ -417,14 +500,10 @@ def near_duplicates(
         component = F.coalesce("component", "class").alias("component")
         labels = settle(
             shared.join(found.withColumnRenamed("node", "class"), "class", "left")
-            .select("tree", "region", "class", component)
-        )
-        others = settle(
-            pairs_between(labels, partners.select("class", "signature"), percent, every)
-            .join(tried, ["u", "v"], "left_anti")
+            .select("tree", "region", "class", component, "n_shingles")
         )
-        more = settle(confirmed(others, sets, percent))
-        tried = tried.unionByName(others)
+        known = partners.select("class", "signature", "regions")
+        more = settle(links_between(labels, known, sets, percent, every))
         joined = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
         found = settle(components(joined.unionByName(more)))
 

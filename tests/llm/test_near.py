@@ -96,6 +96,28 @@ def test_links_across_the_cuts_of_a_large_region(spark, monkeypatch):
     assert not apart, f"{len(apart)} of {len(alike)} twins are apart"
 
 
+def test_a_family_below_the_limit_makes_few_rows(spark, monkeypatch):
+    """All pairs resemble each other at 78 %: each is compared, but none becomes a row."""
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:60] + [f"n{at}x{i}" for i in range(10)] + base[70:]) for at in range(200)]
+    texts += [f"{t} more" for t in texts[:5]]
+    made = []
+
+    def settle(frame, *folder):
+        stored = plain(frame, *folder)
+        if stored.columns == ["u", "v"]:
+            made.append(stored.count())
+        return stored
+
+    plain = N.settle
+    monkeypatch.setattr(N, "settle", settle)
+    monkeypatch.setattr(N, "PIECE", 24)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = sorted(N.near_duplicates(docs, percent=80).collect())
+    assert [r["component_id"] for r in found] == groups(texts, 80)
+    assert max(made) <= 2 * N.TREES * len(texts) and max(made[1:]) <= len(texts)
+
+
 def test_near_duplicates_of_awkward_rows(odd_docs, corpus, no_docs):
     found = N.near_duplicates(odd_docs)
     rows = {(r["doc_id"], r["n_shingles"]): r for r in found.collect()}
