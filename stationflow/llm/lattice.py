@@ -11,7 +11,16 @@ from stationflow.llm.shingles import mix
 MARK = "▁"
 
 
+#: Bits of a hash that find its bucket among the pieces' beginnings.
+BUCKET_BITS = 18
+#: Letters below this, and the mark, have a table of their pairs.
+PLAIN = 128
+#: Characters of the chunks whose lattice is built at once, so that it stays in the cache.
+BLOCK = 100_000
+#: Log of the least and greatest weight of a chunk's ways that is added up as it is.
+SAFE = 600.0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_ONE = np.uint64(1)
 
 
 def _grown(hashed: int, code: int) -> int:
@@ -54,31 +63,63 @@ class Pieces:
         self.hashes = np.array(sorted(begun), np.uint64)
         self.found = np.array([begun[h] for h in self.hashes.tolist()], np.int64)
         self.longest = max(map(len, strings))
-        top = (self.hashes >> np.uint64(44)).astype(np.int64)
-        self.bucket = np.searchsorted(top, np.arange((1 << 20) + 1))
+        top = self.hashes >> np.uint64(64 - BUCKET_BITS)
+        self.bucket = np.searchsorted(top, np.arange((1 << BUCKET_BITS) + 1)).astype(np.int32)
+        # the beginning that one letter, or two, are: most places need no hash for these
+        letters = np.array([*range(PLAIN), ord(MARK)], np.uint64)
+        ones = mix(letters + _ONE)
+        self.one = self._slots(ones)
+        twos = mix((ones * _FACTOR)[:, None] + letters[None, :] + _ONE)
+        self.two = self._slots(twos.reshape(-1)).reshape(twos.shape)
+        self.two[self.one < 0] = -1
 
     def matches(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and ids of all pieces in a text, by their length, longest first."""
-        at = np.arange(len(codes))
-        hashed = np.zeros(len(codes), np.uint64)
+        letters = np.minimum(codes, PLAIN).astype(np.intp)
+        odd = np.flatnonzero((letters == PLAIN) & (codes != ord(MARK)))
+        slot = self.one[letters]
+        slot[odd] = self._slots(mix(codes[odd].astype(np.uint64) + _ONE))
+        pair = self.two[letters[:-1], letters[1:]]
+        # pairs with another letter; its place may be the first or the second
+        hashed_pairs = np.unique(np.concatenate([odd, odd - 1]))
+        hashed_pairs = hashed_pairs[(hashed_pairs >= 0) & (hashed_pairs < len(pair))]
+        known = slot[hashed_pairs] >= 0
+        pair[hashed_pairs[~known]] = -1
+        at = hashed_pairs[known]
+        pair[at] = self._slots(self._next(self.hashes[slot[at]], codes[at + 1]))
         by_length = []
+        at = np.arange(len(codes))
         for length in range(1, self.longest + 1):
-            inside = at + (length - 1) < len(codes)
-            at, hashed = at[inside], hashed[inside]
-            hashed = mix(hashed * _FACTOR + codes[at + (length - 1)].astype(np.uint64) + np.uint64(1))
-            slot = self._slots(hashed)
-            hit = slot >= 0
-            at, hashed, ids = at[hit], hashed[hit], self.found[slot[hit]]
+            if length == 2:
+                at = at[: len(pair)]
+                slot = pair
+            elif length > 2:
+                if len(at) and at[-1] + length > len(codes):
+                    inside = at + (length - 1) < len(codes)
+                    at, slot = at[inside], slot[inside]
+                slot = self._slots(self._next(self.hashes[slot], codes[at + (length - 1)]))
+            hit = np.flatnonzero(slot >= 0)
+            at_hit, slot_hit = at[hit], slot[hit]
+            ids = self.found[slot_hit]
             whole = ids >= 0
-            by_length.append((at[whole], ids[whole]))
-            if not len(at):
-                break
+            by_length.append((at_hit[whole], ids[whole]))
+            if length > 1:
+                at, slot = at_hit, slot_hit
+                if not len(at):
+                    break
         return by_length[::-1]
 
+    @staticmethod
+    def _next(hashed: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        grown = hashed * _FACTOR
+        grown += codes
+        grown += _ONE
+        return mix(grown)
+
     def _slots(self, hashed: np.ndarray) -> np.ndarray:
-        top = (hashed >> np.uint64(44)).astype(np.int64)
+        top = (hashed >> np.uint64(64 - BUCKET_BITS)).astype(np.intp)
         slot, until = self.bucket[top], self.bucket[top + 1]
-        out = np.full(len(hashed), -1)
+        out = np.full(len(hashed), -1, np.int32)
         open_ = np.flatnonzero(slot < until)
         while len(open_):
             same = self.hashes[slot[open_]] == hashed[open_]
@@ -90,8 +131,7 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
-        surface = self.surface
-        joined = b"".join([surface[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        joined = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return joined.replace(MARK, " ").removeprefix(" ")
 
 
@@ -136,75 +176,142 @@ class Lattice:
     """All segmentations of distinct chunks, side by side, weighted by the pieces' scores.
 
     Nodes are places between characters; chunk ``c`` goes from node ``first[c]`` to ``last[c]``.
-    Edges are sorted by the node they leave. ``chance`` is an edge's probability given its node:
-    its own weight times all ways to go on, over all ways to go on from the node.
+    Edges are sorted by the node they leave. An edge's probability given its node is its own weight
+    times all ways to go on, over all ways to go on from the node: ``odds``. ``until`` is the node plus
+    the probabilities up to the edge, ``total`` the log of all ways to go on.
     """
 
     def __init__(self, chunks: list[str], pieces: Pieces, scores: np.ndarray):
+        self.spelled: list[np.ndarray] = []
         lengths = np.array([len(c) for c in chunks], np.int64)
         self.first = np.cumsum(lengths + 1) - lengths - 1
         self.last = self.first + lengths
+        cuts = np.searchsorted(self.last, np.arange(BLOCK, int(lengths.sum()) + len(chunks), BLOCK))
+        cuts = sorted({0, *cuts.tolist(), len(chunks)})
+        blocks = [
+            self._block(chunks[low:high], lengths[low:high], pieces, scores)
+            for low, high in zip(cuts, cuts[1:])
+        ] or [self._block([], lengths, pieces, scores)]
+        nodes = np.cumsum([0, *(len(x["total"]) for x in blocks)]).tolist()
+        edges = np.cumsum([0, *(len(x["start"]) for x in blocks)]).tolist()
+        for block, node, edge in zip(blocks, nodes, edges):
+            block["pointer"] += edge
+            block["until"] += node
+            block["start"] += node
+            block["end"] += node
+        for name in blocks[0]:
+            setattr(self, name, np.concatenate([x[name] for x in blocks]))
+        self.pointer = np.append(self.pointer, edges[-1])
+
+    def _block(
+        self, chunks: list[str], lengths: np.ndarray, pieces: Pieces, scores: np.ndarray
+    ) -> dict[str, np.ndarray]:
+        """The nodes and edges of some chunks, counted from 0."""
+        last = np.cumsum(lengths + 1) - 1
         joined = "\0".join(chunks)
-        n = int(self.last[-1]) + 1 if len(chunks) else 0
+        n = int(last[-1]) + 1 if len(chunks) else 0
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         by_length = pieces.matches(codes)
         inside = np.ones(n, bool)
-        inside[self.last] = False
+        inside[last] = False
         single = np.zeros(n, bool)
         if by_length:
             single[by_length[-1][0]] = True
         # characters that are no piece go as their bytes; their ids follow the vocabulary's
         bare = np.flatnonzero(inside & ~single)
-        self.spelled: list[np.ndarray] = []
         lengths_of = range(len(by_length), 0, -1)
         groups = [(at, ids, scores[ids], k) for (at, ids), k in zip(by_length, lengths_of)]
         if len(bare):
             letters, which = np.unique(codes[bare], return_inverse=True)
+            known = len(self.spelled)
             for letter in letters.tolist():
                 raw = chr(letter).encode("utf-8", "replace")
                 self.spelled.append(pieces.byte_ids[np.frombuffer(raw, np.uint8)])
-            extra = np.array([scores[s].sum() for s in self.spelled])[which]
-            groups.append((bare, pieces.size + which, extra, 1))
+            extra = np.array([scores[s].sum() for s in self.spelled[known:]])[which]
+            groups.append((bare, pieces.size + known + which, extra, 1))
         # from a node, the longest pieces first: they are drawn most often
-        out = np.zeros(n + 1, np.int64)
+        out = np.zeros(n, np.int32)
         for at, _, _, _ in groups:
             out[at] += 1
-        self.pointer = np.cumsum(out) - out
+        pointer = np.cumsum(out, dtype=np.int64) - out
         total = int(out.sum())
         # places and ids of edges fit 32 bits: a batch of texts is far below 2**31 characters
-        self.start, self.end, self.ids = (np.zeros(total, np.int32) for _ in range(3))
-        weights, filled = np.zeros(total), self.pointer.copy()
+        start, end, ids_of = (np.zeros(total, np.int32) for _ in range(3))
+        weights, filled = np.zeros(total), pointer.copy()
         for at, ids, weight, length in groups:
             place = filled[at]
             filled[at] += 1
-            self.start[place], self.end[place] = at, at + length
-            self.ids[place], weights[place] = ids, weight
-        self.total = np.zeros(n)  # log of the weight of all ways from a node to its chunk's end
-        remaining = np.repeat(self.last, lengths + 1) - np.arange(n)
+            start[place], end[place] = at, at + length
+            ids_of[place], weights[place] = ids, weight
+        remaining = np.repeat(last, lengths + 1) - np.arange(n)
         if n and int(lengths.max()) < 1 << 16:
             remaining = remaining.astype(np.uint16)  # sorted by counting
-        rests = remaining[self.start]
-        by_rest = np.argsort(rests, kind="stable")
-        rests = rests[by_rest]
-        steps = np.searchsorted(rests, np.arange(1, int(rests[-1]) + 2)) if len(rests) else []
+        by_rest = np.argsort(remaining, kind="stable")
+        total_of, chance = self._ways(
+            by_rest, remaining[by_rest], out, pointer, start, end, weights, groups, last
+        )
+        shares = np.cumsum(chance)
+        shares -= np.repeat(np.concatenate([[0.0], shares])[pointer], out)
+        np.minimum(shares, 1.0, out=shares)
+        shares[(pointer + out - 1)[out > 0]] = 1.0
+        shares += start
+        return {
+            "pointer": pointer, "start": start, "end": end, "ids": ids_of, "odds": chance,
+            "total": total_of, "until": shares,
+        }
+
+    @staticmethod
+    def _ways(by_rest, rests, out, pointer, start, end, weights, groups, last):
+        """Log of the weight of all ways from each node to its chunk's end; each edge's chance.
+
+        Nodes are added up by what remains to the end. Weights themselves are added, unless a long
+        chunk's would be too small or too large for a double: then all are kept as logarithms.
+        """
+        n = len(by_rest)
+        least = np.zeros(n)
+        for at, _, weight, length in groups:
+            if length == 1:
+                least[at] = weight
+        worst = np.add.reduceat(least, np.concatenate([[0], last[:-1] + 1])).min() if n else 0.0
+        longest = int(rests[-1]) if n else 0
+        plain = worst > -SAFE and longest * (np.log(2) + max(weights.max(initial=0.0), 0.0)) < SAFE
+        # edges in the order of their nodes by rest, so that each step is a stretch of them
+        sizes = out[by_rest]
+        to = np.cumsum(sizes, dtype=np.int64)
+        order = np.repeat(pointer[by_rest] - (to - sizes), sizes) + np.arange(int(to[-1]) if n else 0)
+        where = np.empty(n, np.int64)
+        where[by_rest] = np.arange(n)
+        reached = where[end[order]]
+        ways = np.exp(weights[order]) if plain else weights[order]
+        value = np.ones(n) if plain else np.zeros(n)
+        begins = to - sizes
+        steps = np.searchsorted(rests, np.arange(1, longest + 2)).tolist()
         for low, high in zip(steps, steps[1:]):
-            edges = by_rest[low:high]
-            if not len(edges):
+            if low == high:
+                continue
+            one, two = int(begins[low]), int(to[high - 1])
+            onward, runs = value[reached[one:two]], begins[low:high] - one
+            if plain:
+                onward *= ways[one:two]
+                np.add.reduceat(onward, runs, out=value[low:high])
                 continue
-            ways = weights[edges] + self.total[self.end[edges]]
-            leave = self.start[edges]
-            runs = np.concatenate([[0], np.flatnonzero(leave[1:] != leave[:-1]) + 1])
-            top = np.maximum.reduceat(ways, runs)
-            sums = np.add.reduceat(
-                np.exp(ways - np.repeat(top, np.diff(runs, append=len(ways)))), runs
-            )
-            self.total[leave[runs]] = top + np.log(sums)
-        self.chance = weights + self.total[self.end] - self.total[self.start]
-        shares = np.cumsum(np.exp(self.chance))
-        base = np.concatenate([[0.0], shares])[self.pointer[self.start]]
-        self.until = self.start + np.minimum(shares - base, 1.0)
-        last_edge = np.concatenate([self.start[1:] != self.start[:-1], [True]]) if len(shares) else []
-        self.until[last_edge] = self.start[last_edge] + 1.0
+            onward += ways[one:two]
+            top = np.maximum.reduceat(onward, runs)
+            sums = np.add.reduceat(np.exp(onward - np.repeat(top, sizes[low:high])), runs)
+            value[low:high] = top + np.log(sums)
+        if plain:
+            own = ways * value[reached]
+            own /= np.repeat(value, sizes)
+            value = np.log(value)
+        else:
+            own = np.exp(ways + value[reached] - np.repeat(value, sizes))
+        chance, total = np.empty(len(order)), np.empty(n)
+        chance[order], total[by_rest] = own, value
+        return total, chance
+
+    def chance(self, edges: np.ndarray) -> np.ndarray:
+        """Log probability of each edge, given its node."""
+        return np.log(self.odds[edges])
 
     def draw(self, nodes: np.ndarray, uniform: np.ndarray) -> np.ndarray:
         """An edge out of each node, by its probability."""
@@ -219,13 +326,18 @@ class Lattice:
     def spell(self, edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a row of edges, and how many each edge stands for."""
         ids = self.ids[edges]
-        if not self.spelled:
+        if int(ids.max(initial=0)) < size:
             return ids, np.ones(len(ids), np.int64)
-        lengths = np.array([1] + [len(s) for s in self.spelled])
-        flat = np.concatenate([[0], *self.spelled])
+        lengths = np.array([len(s) for s in self.spelled])
         starts = np.cumsum(lengths) - lengths
-        letter = np.maximum(ids - size + 1, 0)
-        n = lengths[letter]
+        bare = np.flatnonzero(ids >= size)
+        letter = ids[bare] - size
+        n = np.ones(len(ids), np.int64)
+        n[bare] = lengths[letter]
         ends = np.cumsum(n)
-        at = np.repeat(starts[letter] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)
-        return np.where(np.repeat(letter, n) > 0, flat[at], np.repeat(ids, n)), n
+        out = np.repeat(ids, n)
+        own = n[bare]
+        nth = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        flat = np.concatenate(self.spelled)
+        out[np.repeat(ends[bare] - own, own) + nth] = flat[np.repeat(starts[letter], own) + nth]
+        return out, n

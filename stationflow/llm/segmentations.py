@@ -39,12 +39,14 @@ SHARPNESS = 0.5
 #: Count that every piece has beforehand.
 PRIOR = 0.1
 SEED = 2024
-#: Texts whose lattices are held together.
+#: Texts that are drawn together, and whose lattices are held together.
 TOGETHER = 250
+HELD_TOGETHER = 1000
 #: Characters of them at most, unless a single text has more.
 CHARACTERS = 150_000
+CHARACTERS_HELD = 3_000_000
 #: Characters of distinct words that are counted before the library encodes them.
-WORDS_HELD = 1_000_000
+WORDS_HELD = 4_000_000
 
 
 def _pieces(path: str) -> Pieces:
@@ -104,11 +106,17 @@ def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
     return np.log(counts / counts.sum())
 
 
-def _uniform(key: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that only depend on the row's key, the draw and the place."""
-    stream = mix(key + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+def _stream(key: np.ndarray, draw: int) -> np.ndarray:
+    return mix(key + np.uint64(draw * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _uniform(stream: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) that only depend on the row's key and the draw, its stream, and the place."""
     bits = mix(stream + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    out = (bits >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out /= 1 << 53
+    return out
 
 
 def row_key(identity, seed: int = SEED) -> int:
@@ -118,34 +126,35 @@ def row_key(identity, seed: int = SEED) -> int:
 class _Paths:
     """Drawn paths of many texts: all edges in a row, text after text."""
 
-    def __init__(self, lattice: Lattice, chunk: np.ndarray, place: np.ndarray):
-        self.lattice, self.chunk, self.place = lattice, chunk, place
+    def __init__(self, lattice: Lattice, chunk: np.ndarray, offset: np.ndarray):
+        self.lattice, self.chunk, self.offset = lattice, chunk, offset
 
     def go_on(
-        self, chunks: np.ndarray, nodes: np.ndarray, keys: np.ndarray, draw: int
+        self, chunks: np.ndarray, nodes: np.ndarray, streams: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
         """Draw edges from ``nodes`` to the ends of their chunks: the edges and their number.
 
-        ``chunks`` are places in the list of all chunks; ``keys`` the rows' keys.
+        ``chunks`` are places in the list of all chunks; ``streams`` those of their rows.
         """
         lattice = self.lattice
         ends = lattice.last[self.chunk[chunks]]
-        offset = self.place[chunks] - lattice.first[self.chunk[chunks]]
+        offset = self.offset[chunks]
         alive = np.flatnonzero(nodes < ends)
-        at = nodes.copy()
-        found, owners = [], []
+        here, found, owners = nodes[alive], [], []
+        counts = np.zeros(len(chunks), np.int64)
         while len(alive):
-            here = at[alive]
-            edges = lattice.draw(here, _uniform(keys[alive], draw, offset[alive] + here))
+            edges = lattice.draw(here, _uniform(streams[alive], offset[alive] + here))
             found.append(edges)
             owners.append(alive)
-            at[alive] = lattice.end[edges]
-            alive = alive[at[alive] < ends[alive]]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(len(chunks), np.int64)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(found)[order], np.bincount(owner, minlength=len(chunks))
+            counts[alive] += 1
+            here = lattice.end[edges].astype(np.int64)
+            more = here < ends[alive]
+            alive, here = alive[more], here[more]
+        begins = np.cumsum(counts) - counts
+        path = np.zeros(int(counts.sum()), np.int64)
+        for step, (edges, owner) in enumerate(zip(found, owners)):
+            path[begins[owner] + step] = edges
+        return path, counts
 
 
 def _truncated(location: np.ndarray, bound: np.ndarray, uniform: np.ndarray) -> np.ndarray:
@@ -161,30 +170,60 @@ def sample_texts(
     """For each text up to ``draws`` (ids, log probability, perturbed value, inclusion)."""
     distinct, chunk, sizes = chunk_texts(texts)
     lattice = Lattice(distinct, pieces, scores)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    lengths = pc.fill_null(pc.utf8_length(pa.array(texts, pa.large_string())), 0).to_numpy()
+    found = []
+    for low, high in _ranges(lengths, TOGETHER, CHARACTERS):
+        found += _sample(
+            lattice, chunk[bounds[low] : bounds[high]], sizes[low:high], identities[low:high],
+            pieces, draws, seed,
+        )
+    return found
+
+
+def _ranges(lengths: np.ndarray, texts: int, characters: int) -> Iterator[tuple[int, int]]:
+    """Stretches of so many texts and characters at most; a longer text is alone."""
+    through = np.concatenate([[0], np.cumsum(lengths)])
+    low = 0
+    while low < len(lengths):
+        fits = int(np.searchsorted(through, through[low] + characters, "right")) - 1
+        high = min(max(fits, low + 1), low + texts, len(lengths))
+        yield low, high
+        low = high
+
+
+def _sample(
+    lattice: Lattice, chunk: np.ndarray, sizes: np.ndarray, identities: list, pieces: Pieces,
+    draws: int, seed: int,
+) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """The drawn segmentations of texts whose chunks, by number, are in the lattice."""
     chunk_to = np.cumsum(sizes)
     chunk_from = chunk_to - sizes
-    of_text = np.repeat(np.arange(len(texts)), sizes)
-    span = lattice.last - lattice.first if len(distinct) else np.zeros(0, np.int64)
-    lengths = span[chunk]
+    of_text = np.repeat(np.arange(len(sizes)), sizes)
+    lengths = (lattice.last - lattice.first)[chunk]
     before = np.concatenate([[0], np.cumsum(lengths)])
-    place = before[:-1] - before[chunk_from[of_text]]  # characters of the text before a chunk
+    # from a node to its place among the text's characters
+    offset = before[:-1] - before[chunk_from[of_text]] - lattice.first[chunk]
     keys = np.array([row_key(i, seed) for i in identities], np.uint64)
-    paths = _Paths(lattice, chunk, place)
-    root = -np.log(-np.log(_uniform(keys, 0, np.zeros(len(texts), np.int64))))
+    paths = _Paths(lattice, chunk, offset)
+    root = -np.log(-np.log(_uniform(_stream(keys, 0), np.zeros(len(sizes), np.int64))))
 
     everything = np.arange(len(chunk))
-    edges, counts = paths.go_on(everything, lattice.first[chunk], keys[of_text], 1)
+    edges, counts = paths.go_on(
+        everything, lattice.first[chunk], np.repeat(_stream(keys, 1), sizes)
+    )
     step_chunk = np.repeat(everything, counts)
-    steps_of = np.bincount(of_text[step_chunk], minlength=len(texts)) if len(chunk) else sizes
+    steps_before = np.concatenate([[0], np.cumsum(counts)])
+    steps_of = steps_before[chunk_to] - steps_before[chunk_from]
     step_to = np.cumsum(steps_of)
     bound = np.repeat(root, steps_of)
     queue_value, log_before = _parts(
-        lattice, edges, step_chunk, place, chunk, keys[of_text[step_chunk]], bound,
-        step_to - steps_of, steps_of, np.zeros(len(edges)), 1,
+        lattice, edges, np.repeat(offset, counts), np.repeat(_stream(keys, 50_001), steps_of), bound,
+        step_to - steps_of, steps_of, np.zeros(len(edges)),
     )
-    log_edges = lattice.chance[edges]
+    log_edges = lattice.chance(edges)
     results, states = [], []
-    for text in range(len(texts)):
+    for text in range(len(sizes)):
         low, high = int(step_to[text] - steps_of[text]), int(step_to[text])
         path = (edges[low:high], step_chunk[low:high])
         total = float(log_edges[low:high].sum())
@@ -205,15 +244,16 @@ def sample_texts(
         heads = []
         tops = lattice.start[[o[3][0][o[2]] for o in opened]]
         of_tops = np.array([o[3][1][o[2]] for o in opened])
-        where = place[of_tops] + tops - lattice.first[chunk[of_tops]]
+        where = offset[of_tops] + tops
         own_keys = keys[[o[0] for o in opened]]
-        picks = _uniform(own_keys, draw, where).tolist()
-        rests = _uniform(own_keys, draw + 100_000, where)
+        own_streams = _stream(own_keys, draw)
+        picks = _uniform(own_streams, where).tolist()
+        rests = _uniform(_stream(own_keys, draw + 100_000), where)
         for (text, value, step, path, logs, gone), node, pick in zip(opened, tops.tolist(), picks):
             out = np.arange(lattice.pointer[node], lattice.pointer[node + 1])
             taken = gone.get(step, frozenset()) | {int(path[0][step])}
             left = out[~np.isin(out, list(taken))]
-            chances = np.exp(lattice.chance[left])
+            chances = np.exp(lattice.chance(left))
             edge = int(left[min(np.searchsorted(np.cumsum(chances), pick * chances.sum()),
                                 len(left) - 1)])
             heads.append((edge, taken))
@@ -223,17 +263,19 @@ def sample_texts(
         begins = np.cumsum([0] + [len(r) for r in ranges])[:-1]
         nodes = lattice.first[chunk[onward]]
         nodes[begins] = lattice.end[[e for e, _ in heads]]
-        more, counts = paths.go_on(onward, nodes, keys[of_text[onward]], draw)
+        more, counts = paths.go_on(
+            onward, nodes, np.repeat(own_streams, [len(r) for r in ranges])
+        )
         of_more = np.repeat(onward, counts)
         more_sizes = np.add.reduceat(counts, begins)
         more_to = np.cumsum(more_sizes)
-        carried = np.array([
-            float(o[4][o[2]] + lattice.chance[e]) for o, (e, _) in zip(opened, heads)
-        ])
+        carried = np.array([float(o[4][o[2]]) for o in opened])
+        carried += lattice.chance(np.array([e for e, _ in heads]))
         bounds = np.repeat([o[1] for o in opened], more_sizes)
         values, logs = _parts(
-            lattice, more, of_more, place, chunk, keys[of_text[of_more]], bounds,
-            more_to - more_sizes, more_sizes, np.repeat(carried, more_sizes), draw,
+            lattice, more, np.repeat(offset[onward], counts),
+            np.repeat(_stream(own_keys, draw + 50_000), more_sizes), bounds,
+            more_to - more_sizes, more_sizes, np.repeat(carried, more_sizes),
         )
         for at, ((text, value, step, path, before_step, gone), (edge, taken)) in enumerate(
             zip(opened, heads)
@@ -244,11 +286,11 @@ def sample_texts(
                 np.concatenate([path[1][: step + 1], of_more[low:high]]),
             )
             logs_of = np.concatenate([before_step[: step + 1], logs[low:high]])
-            total = float(lattice.chance[grown[0]].sum())
+            total = float(lattice.chance(grown[0]).sum())
             results[text].append((grown[0], total, value))
             # what is left at the opened step, below the value that was just taken
             node = int(lattice.start[edge])
-            rest = 1.0 - float(np.exp(lattice.chance[[edge, *taken]]).sum())
+            rest = 1.0 - float(np.exp(lattice.chance(np.array([edge, *taken]))).sum())
             step_values = np.full(len(grown[0]), -np.inf)
             if lattice.pointer[node + 1] - lattice.pointer[node] > len(taken) + 1 and rest > 1e-12:
                 step_values[step] = _truncated(
@@ -282,22 +324,19 @@ def sample_texts(
 
 
 def _parts(
-    lattice, edges, step_chunk, place, chunk, keys, bound, begins, sizes, carried, draw
+    lattice, edges, offset, streams, bound, begins, sizes, carried
 ) -> tuple[np.ndarray, np.ndarray]:
     """Maxima of the parts that each step leaves behind, and the log probability before it."""
     if not len(edges):
         return np.zeros(0), np.zeros(0)
-    logs = lattice.chance[edges]
+    logs = lattice.chance(edges)
     running = np.cumsum(logs) - logs
     filled = begins[sizes > 0]
     running = running - np.repeat(running[filled], sizes[sizes > 0]) + carried
-    chance = np.exp(np.minimum(logs, 0.0))
-    at = lattice.start[edges]
-    several = lattice.pointer[at + 1] - lattice.pointer[at] > 1
     with np.errstate(divide="ignore"):
-        location = running + np.log(np.where(several, 1 - chance, 0.0))
-    where = place[step_chunk] + lattice.start[edges] - lattice.first[chunk[step_chunk]]
-    uniform = _uniform(keys, draw + 50_000, where)
+        # the only edge of a node has odds of exactly 1
+        location = running + np.log(1 - np.minimum(lattice.odds[edges], 1.0))
+    uniform = _uniform(streams, offset + lattice.start[edges])
     return np.where(
         np.isfinite(location), _truncated(location, bound, uniform), -np.inf
     ), running
@@ -344,25 +383,21 @@ def sample_segmentations(
         for batch in batches:
             keys, texts = batch.column("id"), batch.column("text")
             lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-            through = np.concatenate([[0], np.cumsum(lengths)])
-            low = 0
-            while low < len(texts):
-                fits = int(np.searchsorted(through, through[low] + CHARACTERS, "right")) - 1
-                high = min(max(fits, low + 1), low + TOGETHER, len(texts))
+            for low, high in _ranges(lengths, HELD_TOGETHER, CHARACTERS_HELD):
                 found = sample_texts(
                     texts.slice(low, high - low).to_pylist(),
                     keys.slice(low, high - low).to_pylist(), pieces, weights.value, draws, seed,
                 )
                 flat = [(row, draw, *one) for row, of_row in enumerate(found, low)
                         for draw, one in enumerate(of_row, 1)]
-                lengths = np.array([len(f[2]) for f in flat], np.int64)
+                n_ids = np.array([len(f[2]) for f in flat], np.int64)
                 ids = np.concatenate([f[2] for f in flat]).astype(np.int32)
                 yield pa.record_batch(
                     [
                         keys.take(pa.array([f[0] for f in flat], pa.int64())),
                         pa.array([f[1] for f in flat], pa.int32()),
                         pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
+                            pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()),
                             pa.array(ids),
                         ),
                         *(pa.array([f[c] for f in flat], pa.float64()) for c in (3, 4, 5)),
@@ -370,7 +405,6 @@ def sample_segmentations(
                     ],
                     names=names,
                 )
-                low = high
 
     found = rows.mapInArrow(
         sample,

@@ -113,6 +113,41 @@ def test_lattice_weights_are_those_of_all_segmentations(pieces, scores):
         assert math.isclose(lattice.total[lattice.first[at]], np.logaddexp.reduce(ways))
 
 
+def test_lattice_in_blocks_and_by_logarithms(pieces, scores, monkeypatch):
+    """Blocks, and weights that are added up as they are, change nothing but the time."""
+    from stationflow.llm import lattice as module
+
+    chunks = ["▁the", "▁" + "tion" * 40, "▁naïve", "▁日本語", "▁", "▁x\U0001f600y", "▁on"]
+    whole = Lattice(chunks, pieces, scores)
+    monkeypatch.setattr(module, "BLOCK", 5)
+    cut = Lattice(chunks, pieces, scores)
+    monkeypatch.setattr(module, "SAFE", 0.0)
+    logs = Lattice(chunks, pieces, scores)
+    for other in (cut, logs):
+        assert np.array_equal(other.start, whole.start) and np.array_equal(other.end, whole.end)
+        assert np.allclose(other.total, whole.total) and np.allclose(other.odds, whole.odds)
+        assert np.allclose(other.until, whole.until)
+        edges = np.flatnonzero(np.isin(other.start, whole.first))
+        same = [np.concatenate(x.spell(edges, pieces.size)) for x in (other, whole)]
+        assert np.array_equal(*same)
+    sums = np.add.reduceat(whole.odds, np.unique(whole.pointer[whole.start]))
+    assert np.allclose(sums, 1) and (whole.odds[np.diff(whole.pointer)[whole.start] == 1] == 1).all()
+
+
+def test_texts_share_one_lattice(pieces, scores, monkeypatch):
+    """A word is cut once for all texts held together, however few are drawn together."""
+    made = []
+    monkeypatch.setattr(G, "Lattice", lambda *args: made.append(args[0]) or Lattice(*args))
+    monkeypatch.setattr(G, "TOGETHER", 3)
+    texts = ["the ration", None, "on the nation", "", "the ration the"] * 4
+    found = G.sample_texts(texts, list(range(20)), pieces, scores, 2)
+    assert len(made) == 1 and sorted(made[0]) == ["▁", "▁nation", "▁on", "▁ration", "▁the"]
+    for at, of_text in enumerate(found):
+        alone = G.sample_texts(texts[at : at + 1], [at], pieces, scores, 2)[0]
+        assert [x[0].tolist() for x in of_text] == [x[0].tolist() for x in alone]
+        assert np.allclose([x[1:] for x in of_text], [x[1:] for x in alone])
+
+
 def test_draws_without_replacement_have_the_right_distribution(pieces, scores):
     text, n = "tin is", 20_000
     all_ways = segmentations("▁tin▁is", pieces)
