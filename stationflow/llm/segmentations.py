@@ -44,9 +44,9 @@ TOGETHER = 250
 HELD_TOGETHER = 1000
 #: Characters of them at most, unless a single text has more.
 CHARACTERS = 150_000
-CHARACTERS_HELD = 3_000_000
+CHARACTERS_HELD = 600_000
 #: Characters of distinct words that are counted before the library encodes them.
-WORDS_HELD = 4_000_000
+WORDS_HELD = 1_000_000
 
 
 def _pieces(path: str) -> Pieces:
