@@ -13,8 +13,9 @@ MARK = "▁"
 
 #: Bits of a hash that find its bucket among the pieces' beginnings.
 BUCKET_BITS = 18
-#: Letters below this, and the mark, have a table of their pairs.
+#: Letters below this, and the mark, have a column in the table of steps.
 PLAIN = 128
+COLUMNS = PLAIN + 2
 #: Characters of the chunks whose lattice is built at once, so that it stays in the cache.
 BLOCK = 100_000
 #: Log of the least and greatest weight of a chunk's ways that is added up as it is.
@@ -23,11 +24,6 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
 
-def _grown(hashed: int, code: int) -> int:
-    value = (hashed * int(_FACTOR) + code + 1) & 0xFFFFFFFFFFFFFFFF
-    return int(mix(np.array([value], np.uint64))[0])
-
-
 class Pieces:
     """The vocabulary: ids by string, bytes by id, an automaton that finds all pieces in a text."""
 
@@ -51,62 +47,79 @@ class Pieces:
                 strings[piece] = i
                 self.surface[i] = piece.encode()
                 self.usable[i] = True
-        # a hash of every beginning of a piece, with the piece's id or -1
-        begun: dict[int, int] = {}
-        for piece, i in strings.items():
-            hashed = 0
-            for place, letter in enumerate(piece):
-                hashed = _grown(hashed, ord(letter))
-                whole = place + 1 == len(piece)
-                if whole or hashed not in begun:
-                    begun[hashed] = i if whole else begun.get(hashed, -1)
-        self.hashes = np.array(sorted(begun), np.uint64)
-        self.found = np.array([begun[h] for h in self.hashes.tolist()], np.int64)
+        # a hash of every beginning of a piece, with the piece's id or -1; one column a letter
         self.longest = max(map(len, strings))
+        ids = np.fromiter(strings.values(), np.int64, len(strings))
+        lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        spread = np.zeros((len(strings), self.longest), np.uint32)
+        spread[np.arange(self.longest) < lengths[:, None]] = np.frombuffer(
+            "".join(strings).encode("utf-32-le"), "<u4"
+        )
+        begun, hashed = [], np.zeros(len(strings), np.uint64)
+        for place in range(self.longest):
+            hashed = self._next(hashed, spread[:, place])
+            begun.append(hashed)
+        held = [np.flatnonzero(lengths > place) for place in range(self.longest)]
+        self.hashes, slots = np.unique(
+            np.concatenate([h[rows] for h, rows in zip(begun, held)]), return_inverse=True
+        )
+        self.found = np.full(len(self.hashes), -1, np.int64)
+        whole = [np.where(lengths[rows] == n, ids[rows], -1) for n, rows in enumerate(held, 1)]
+        np.maximum.at(self.found, slots, np.concatenate(whole))
         top = self.hashes >> np.uint64(64 - BUCKET_BITS)
         self.bucket = np.searchsorted(top, np.arange((1 << BUCKET_BITS) + 1)).astype(np.int32)
-        # the beginning that one letter, or two, are: most places need no hash for these
-        letters = np.array([*range(PLAIN), ord(MARK)], np.uint64)
-        ones = mix(letters + _ONE)
-        self.one = self._slots(ones)
-        twos = mix((ones * _FACTOR)[:, None] + letters[None, :] + _ONE)
-        self.two = self._slots(twos.reshape(-1)).reshape(twos.shape)
-        self.two[self.one < 0] = -1
+        # what a beginning is with one more plain letter: most places need no hash. Row 0 is that of
+        # beginnings which no longer piece has, row 1 that of the empty one, the last column is odd
+        slots = np.split(slots, np.cumsum([len(rows) for rows in held])[:-1])
+        longer = np.unique(np.concatenate([
+            before[lengths[rows] > n] for n, (before, rows) in enumerate(zip(slots, held), 1)
+        ]))
+        self.inner = np.zeros(len(self.hashes), np.int32)  # where its row begins
+        self.inner[longer] = np.arange(2, len(longer) + 2) * COLUMNS
+        self.step = np.full((len(longer) + 2) * COLUMNS, -1, np.int32)
+        row_of = np.full(len(strings), COLUMNS, np.int32)
+        for place, (rows, slot) in enumerate(zip(held, slots)):
+            letters = self._letters(spread[rows, place])
+            even = letters <= PLAIN
+            self.step[row_of[rows[even]] + letters[even]] = slot[even]
+            row_of[rows] = self.inner[slot]
+
+    @staticmethod
+    def _letters(codes: np.ndarray) -> np.ndarray:
+        """Columns of plain letters, of the mark, and of all others."""
+        letters = np.minimum(codes, PLAIN + 1).astype(np.int32)
+        letters[codes == PLAIN] = PLAIN + 1
+        letters[codes == ord(MARK)] = PLAIN
+        return letters
 
     def matches(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and ids of all pieces in a text, by their length, longest first."""
-        letters = np.minimum(codes, PLAIN).astype(np.intp)
-        odd = np.flatnonzero((letters == PLAIN) & (codes != ord(MARK)))
-        slot = self.one[letters]
-        slot[odd] = self._slots(mix(codes[odd].astype(np.uint64) + _ONE))
-        pair = self.two[letters[:-1], letters[1:]]
-        # pairs with another letter; its place may be the first or the second
-        hashed_pairs = np.unique(np.concatenate([odd, odd - 1]))
-        hashed_pairs = hashed_pairs[(hashed_pairs >= 0) & (hashed_pairs < len(pair))]
-        known = slot[hashed_pairs] >= 0
-        pair[hashed_pairs[~known]] = -1
-        at = hashed_pairs[known]
-        pair[at] = self._slots(self._next(self.hashes[slot[at]], codes[at + 1]))
+        letters = self._letters(codes)
         by_length = []
-        at = np.arange(len(codes))
+        at, row = np.arange(len(codes)), np.full(len(codes), COLUMNS, np.int32)
+        slot = np.zeros(0, np.int32)
         for length in range(1, self.longest + 1):
-            if length == 2:
-                at = at[: len(pair)]
-                slot = pair
-            elif length > 2:
-                if len(at) and at[-1] + length > len(codes):
-                    inside = at + (length - 1) < len(codes)
-                    at, slot = at[inside], slot[inside]
-                slot = self._slots(self._next(self.hashes[slot], codes[at + (length - 1)]))
-            hit = np.flatnonzero(slot >= 0)
-            at_hit, slot_hit = at[hit], slot[hit]
-            ids = self.found[slot_hit]
-            whole = ids >= 0
-            by_length.append((at_hit[whole], ids[whole]))
-            if length > 1:
-                at, slot = at_hit, slot_hit
-                if not len(at):
-                    break
+            last = at + (length - 1)
+            if len(last) and last[-1] >= len(codes):
+                inside = last < len(codes)
+                at, row, last = at[inside], row[inside], last[inside]
+                slot = slot[inside] if length > 1 else slot
+            own = letters[last]
+            grown = self.step[row + own]
+            odd = np.flatnonzero(own > PLAIN)
+            if len(odd):
+                hashed = self.hashes[slot[odd]] if length > 1 else np.zeros(len(odd), np.uint64)
+                grown[odd] = self._slots(self._next(hashed, codes[last[odd]]))
+            hit = np.flatnonzero(grown >= 0)
+            at, slot = at[hit], grown[hit]
+            ids = self.found[slot]
+            whole = np.flatnonzero(ids >= 0)
+            by_length.append((at[whole], ids[whole]))
+            row = self.inner[slot]
+            more = np.flatnonzero(row)
+            at, slot, row = at[more], slot[more], row[more]
+            if not len(at):
+                break
         return by_length[::-1]
 
     @staticmethod
@@ -134,6 +147,20 @@ class Pieces:
         joined = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return joined.replace(MARK, " ").removeprefix(" ")
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of sequences of ids."""
+        if not hasattr(self, "surfaces"):
+            self.surfaces = pa.array(self.surface, pa.binary())
+        spelled = pa.LargeListArray.from_arrays(
+            ids.offsets.cast(pa.int64()), self.surfaces.take(ids.values).cast(pa.large_binary())
+        )
+        try:
+            joined = pc.binary_join(spelled, pa.scalar(b"", pa.large_binary())).cast(pa.large_string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            return pa.array([self.decode(np.asarray(one)) for one in ids.to_pylist()], pa.large_string())
+        joined = pc.replace_substring(joined, MARK, " ")
+        return pc.if_else(pc.starts_with(joined, " "), pc.utf8_slice_codeunits(joined, 1), joined)
+
 
 def chunk_texts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks, the chunks of all texts by number, and how many each text has.

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,9 @@ HELD_TOGETHER = 1000
 #: Characters of them at most, unless a single text has more.
 CHARACTERS = 150_000
 CHARACTERS_HELD = 600_000
-#: Characters of distinct words that are counted before the library encodes them.
-WORDS_HELD = 1_000_000
+#: Bytes of texts whose words are counted together, and distinct words that the library gets at once.
+COUNTED_TOGETHER = 4_000_000
+ENCODED_TOGETHER = 20_000
 
 
 def _pieces(path: str) -> Pieces:
@@ -63,34 +65,21 @@ def piece_scores(docs: DataFrame, vocabulary: str, text_column: str = "text") ->
         pieces = _pieces(vocabulary)
         lone_mark = pieces.library.piece_to_id(MARK)
         counts = np.zeros(pieces.size, np.int64)
-        held: dict[str, int] = {}
-        size = 0
-
-        def encode_held() -> None:
-            # the library puts the first mark before what it is given, but not before nothing
-            found = pieces.library.encode([c[1:] for c in held], num_threads=1)
-            found = [f if c != MARK else [lone_mark] for c, f in zip(held, found)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.fromiter((i for f in found for i in f), np.int64, int(lengths.sum()))
-            times = np.repeat(np.fromiter(held.values(), np.int64, len(held)), lengths)
-            # a sum of whole numbers, exact in a double
-            counts[:] += np.bincount(ids, times, minlength=pieces.size).astype(np.int64)
-            held.clear()
-
         for batch in batches:
-            for low, high in stretches(batch.column("text"), 4 * CHARACTERS):
+            for low, high in stretches(batch.column("text"), COUNTED_TOGETHER):
                 texts = batch.column("text").slice(low, high - low).to_pylist()
                 distinct, chunk, _ = chunk_texts(texts)
-                for word, n in zip(distinct, np.bincount(chunk, minlength=len(distinct)).tolist()):
-                    if word not in held:
-                        held[word] = 0
-                        size += len(word)
-                    held[word] += n
-                if size > WORDS_HELD:
-                    encode_held()
-                    size = 0
-        if held:
-            encode_held()
+                times = np.bincount(chunk, minlength=len(distinct))
+                for at in range(0, len(distinct), ENCODED_TOGETHER):
+                    own = distinct[at : at + ENCODED_TOGETHER]
+                    # the library puts the first mark before what it is given, but not before nothing
+                    found = pieces.library.encode([c[1:] for c in own], num_threads=1)
+                    found = [f if c != MARK else [lone_mark] for c, f in zip(own, found)]
+                    lengths = np.fromiter(map(len, found), np.int64, len(found))
+                    ids = np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))
+                    weights = np.repeat(times[at : at + ENCODED_TOGETHER], lengths)
+                    # a sum of whole numbers, exact in a double
+                    counts += np.bincount(ids, weights, minlength=pieces.size).astype(np.int64)
         seen_ids = np.flatnonzero(counts)
         yield pa.record_batch(
             [pa.array(seen_ids, pa.int32()), pa.array(counts[seen_ids], pa.int64())],
@@ -217,11 +206,11 @@ def _sample(
     steps_of = steps_before[chunk_to] - steps_before[chunk_from]
     step_to = np.cumsum(steps_of)
     bound = np.repeat(root, steps_of)
+    log_edges = lattice.chance(edges)
     queue_value, log_before = _parts(
-        lattice, edges, np.repeat(offset, counts), np.repeat(_stream(keys, 50_001), steps_of), bound,
+        lattice, edges, log_edges, np.repeat(offset, counts), np.repeat(_stream(keys, 50_001), steps_of), bound,
         step_to - steps_of, steps_of, np.zeros(len(edges)),
     )
-    log_edges = lattice.chance(edges)
     results, states = [], []
     for text in range(len(sizes)):
         low, high = int(step_to[text] - steps_of[text]), int(step_to[text])
@@ -252,7 +241,7 @@ def _sample(
         for (text, value, step, path, logs, gone), node, pick in zip(opened, tops.tolist(), picks):
             out = np.arange(lattice.pointer[node], lattice.pointer[node + 1])
             taken = gone.get(step, frozenset()) | {int(path[0][step])}
-            left = out[~np.isin(out, list(taken))]
+            left = out[out != path[0][step]] if len(taken) == 1 else out[~np.isin(out, list(taken))]
             chances = np.exp(lattice.chance(left))
             edge = int(left[min(np.searchsorted(np.cumsum(chances), pick * chances.sum()),
                                 len(left) - 1)])
@@ -272,8 +261,9 @@ def _sample(
         carried = np.array([float(o[4][o[2]]) for o in opened])
         carried += lattice.chance(np.array([e for e, _ in heads]))
         bounds = np.repeat([o[1] for o in opened], more_sizes)
+        log_more = lattice.chance(more)
         values, logs = _parts(
-            lattice, more, np.repeat(offset[onward], counts),
+            lattice, more, log_more, np.repeat(offset[onward], counts),
             np.repeat(_stream(own_keys, draw + 50_000), more_sizes), bounds,
             more_to - more_sizes, more_sizes, np.repeat(carried, more_sizes),
         )
@@ -286,7 +276,7 @@ def _sample(
                 np.concatenate([path[1][: step + 1], of_more[low:high]]),
             )
             logs_of = np.concatenate([before_step[: step + 1], logs[low:high]])
-            total = float(lattice.chance(grown[0]).sum())
+            total = float(carried[at] + log_more[low:high].sum())
             results[text].append((grown[0], total, value))
             # what is left at the opened step, below the value that was just taken
             node = int(lattice.start[edge])
@@ -324,12 +314,11 @@ def _sample(
 
 
 def _parts(
-    lattice, edges, offset, streams, bound, begins, sizes, carried
+    lattice, edges, logs, offset, streams, bound, begins, sizes, carried
 ) -> tuple[np.ndarray, np.ndarray]:
     """Maxima of the parts that each step leaves behind, and the log probability before it."""
     if not len(edges):
         return np.zeros(0), np.zeros(0)
-    logs = lattice.chance(edges)
     running = np.cumsum(logs) - logs
     filled = begins[sizes > 0]
     running = running - np.repeat(running[filled], sizes[sizes > 0]) + carried
@@ -391,17 +380,17 @@ def sample_segmentations(
                 flat = [(row, draw, *one) for row, of_row in enumerate(found, low)
                         for draw, one in enumerate(of_row, 1)]
                 n_ids = np.array([len(f[2]) for f in flat], np.int64)
-                ids = np.concatenate([f[2] for f in flat]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()),
+                    pa.array(np.concatenate([f[2] for f in flat]).astype(np.int32)),
+                )
                 yield pa.record_batch(
                     [
                         keys.take(pa.array([f[0] for f in flat], pa.int64())),
                         pa.array([f[1] for f in flat], pa.int32()),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()),
-                            pa.array(ids),
-                        ),
+                        ids,
                         *(pa.array([f[c] for f in flat], pa.float64()) for c in (3, 4, 5)),
-                        *([pa.array([pieces.decode(f[2]) for f in flat], pa.string())] if decode else []),
+                        *([pieces.decode_all(ids).cast(pa.string())] if decode else []),
                     ],
                     names=names,
                 )

@@ -226,6 +226,27 @@ def test_piece_counts_of_unaltered_texts(spark, docs, corpus, sp_model, pieces):
     assert np.allclose(found, np.log(counts / counts.sum()))
 
 
+def test_texts_are_decoded_together(pieces):
+    """As one by one, whatever their bytes; a slice of a list column too."""
+    texts = ["the  nation", "", "  x", "naïve 日本 \U0001f600", "▁a"]
+    ids = [pieces.library.encode(t) for t in texts] + [[int(pieces.byte_ids[0xE6])]]
+    for part in (ids[:-1], ids):
+        held = pa.array([[1], *part], pa.list_(pa.int32())).slice(1)
+        assert pieces.decode_all(held).to_pylist() == [pieces.decode(np.asarray(i, int)) for i in part]
+
+
+def test_every_piece_is_found_where_it_stands(pieces):
+    """Pieces of plain letters by the table of steps, others by their hashes."""
+    text = "▁theories▁naïve\0▁日本語\x80▁▁▁x\U0001f600tions"
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    by_length = pieces.matches(codes)[::-1]
+    found = {(a, n, i) for n, (at, ids) in enumerate(by_length, 1) for a, i in zip(at.tolist(), ids.tolist())}
+    own = {pieces.library.id_to_piece(i): i for i in np.flatnonzero(pieces.usable).tolist()
+           if not pieces.library.is_byte(i)}
+    spans = [(a, n) for a in range(len(text)) for n in range(1, len(text) - a + 1)]
+    assert found == {(a, n, own[text[a : a + n]]) for a, n in spans if text[a : a + n] in own}
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     model = A.Parameters.start(50, 3 * A.GROUP)
