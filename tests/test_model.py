@@ -122,6 +122,39 @@ def test_best_round(errors, patience, best):
     assert T.best_round(errors, patience) == best
 
 
+@pytest.mark.parametrize(
+    "error, fits, best",
+    [
+        (lambda r: -r, [60, 500], 500),  # falls to the end
+        (lambda r: abs(r - 7), [60], 7),
+        (lambda r: abs(r - 45), [60, 120], 45),
+        (lambda r: abs(r - 95) if r > 70 else 95 + abs(r - 45), [60, 120, 500], 95),
+        (lambda r: abs(r - 300), [60, 500], 300),
+        (lambda r: math.nan, [60, 500], 500),  # no val rows
+    ],
+)
+def test_a_long_fit_begins_anew_twice_at_most(spark, monkeypatch, error, fits, best):
+    asked = []
+
+    class Fake:
+        def __init__(self, rounds):
+            asked.append(rounds)
+            self.getNumTrees = rounds
+
+        def fit(self, _):
+            return self
+
+        def evaluateEachIteration(self, *_):
+            return [float(error(r)) for r in range(1, self.getNumTrees + 1)]
+
+    monkeypatch.setattr(T, "_boosted", lambda n_codes, settings, rounds: Fake(rounds))
+    monkeypatch.setattr(T, "first_trees", lambda model, n: n)
+    assert T.fit(spark.createDataFrame([("train",)], "split string"), 1) == best
+    assert asked == fits
+    everything = [float(error(r)) for r in range(1, 501)]
+    assert T.best_round(everything, T.TreeSettings().patience) == best
+
+
 def test_first_trees_are_the_rounds(spark, run, seeded, catalog):
     trained, _ = run
     split = compute_features(seeded, catalog).withColumns(
