@@ -271,6 +271,24 @@ def test_attention_gradient():
         assert math.isclose((up - down) / 2e-4, slopes[name][at], rel_tol=1e-2, abs_tol=1e-6)
 
 
+def test_classes_of_a_group_as_row_by_row():
+    """Rows side by side by their group, each in its place again; scores of any size."""
+    rng = np.random.default_rng(2)
+    model = A.Parameters.start(30, 5 * A.GROUP)
+    layer = A.group_layer(model)
+    group = rng.choice([0, 2, 4], 200)
+    assert A.side_by_side(np.array([2, 0, 2, 4]))[1] == [(0, 0, 1), (2, 1, 3), (4, 3, 4)]
+    for size in (1, 2000):
+        top = (rng.standard_normal((200, A.WIDTH)) * size).astype(np.float32)
+        found = A.in_group(layer, top, group)
+        wanted = np.stack([t @ layer[0][g] + layer[1][g] for t, g in zip(top, group)]).astype(float)
+        wanted = np.exp(wanted - wanted.max(axis=1, keepdims=True))
+        assert np.isfinite(found).all() and (found.sum(axis=1) > 0).all()
+        shares = found / found.sum(axis=1, keepdims=True)
+        assert np.allclose(shares, wanted / wanted.sum(axis=1, keepdims=True), rtol=2e-2, atol=1e-4)
+    assert A.in_group(layer, top[:0], group[:0]).shape == (0, A.GROUP)
+
+
 def plain_odds(model, inputs, place):
     """Class odds at one place of a text, by loops over what it may see."""
     p = {k: v.astype(np.float64) for k, v in model.values.items()}
