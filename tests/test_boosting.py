@@ -221,3 +221,14 @@ def test_awkward_tables(spark):
 ])
 def test_stop_round(errors, patience, best):
     assert B.stop_round(errors, patience) == best
+
+
+def test_a_fit_starts_no_job_per_level(spark):
+    """Every look at open leaves was a job, about ten a tree, and scores were stored anew."""
+    frame = framed(spark, made_rows()).persist()
+    spark.sparkContext.setJobGroup("leaves", "")
+    model = B.fit(frame, SMALL)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("leaves")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == 6
+    assert len(jobs) < 2 * len(model.trees)
