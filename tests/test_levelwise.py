@@ -131,3 +131,24 @@ def test_columns_hold_every_bin(sizes):
         sums = np.bincount(cells[c], minlength=layout.widths[c])[None]
         got = dict(layout.by_feature(c, sums))[f][0]
         assert (got == np.bincount(own, minlength=sizes[f])).all()
+
+
+def test_scores_are_those_of_the_stored_model(spark, rows):
+    model = T.fit(rows, N_CODES, SETTINGS)
+    short = T.first_trees(model, 2)
+    odd = [(float(code), 1e9 * i - 1e9, 4.25, 2.0, 0.0, "test") for i in range(3) for code in range(N_CODES + 3)]
+    for own in (model, short):
+        for frame in (rows, assembled(spark, odd)):
+            got = W.predict(own, frame).select(T.PREDICTED_DELTA).toPandas()
+            assert np.allclose(got, own.transform(frame).select(T.PREDICTED_DELTA).toPandas(), atol=1e-9)
+    assert short.getNumTrees == 2
+    assert W.predict(model, rows).columns == model.transform(rows).columns
+    assert W.predict(model, rows.limit(0)).collect() == []
+
+
+def test_many_trees_are_scored_by_levels(rows):
+    """Spark went through them row by row and tree by tree, in 0.6 us a tree."""
+    model = T.fit(rows, N_CODES, SETTINGS)
+    scored = T.predict(model, rows.withColumn("current_vehicles", F.lit(1.0)))
+    assert "ArrowEvalPython" in scored._jdf.queryExecution().toString()
+    assert scored.where(F.abs(F.col(T.PREDICTED) - F.col(T.PREDICTED_DELTA) - 1) > 1e-9).count() == 0
